@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("base",)
+MODULES = ("base", "formula", "technical")
 
 
 def load():

@@ -152,3 +152,46 @@ define(
     "plan",
     "bars",
 )
+
+
+# --- text helpers -----------------------------------------------------------------
+
+W = "PARTITION BY symbol ORDER BY trade_date"
+
+
+def over(window: int | None = None, partition: str = W) -> str:
+    start = "UNBOUNDED" if window is None else str(window - 1)
+    return f"OVER ({partition} ROWS BETWEEN {start} PRECEDING AND CURRENT ROW)"
+
+
+def roll(x: str, window: int, minimum: int | None = None, fn: str = "avg", partition: str = W) -> str:
+    minimum = max(3, int(window * 0.8)) if minimum is None else minimum
+    o = over(window, partition)
+    return f"(CASE WHEN count({x}) {o} >= {minimum} THEN {fn}({x}) {o} END)"
+
+
+def lagged(x: str, n: int = 1, partition: str = W) -> str:
+    return f"(lag({x}, {n}) OVER ({partition}))"
+
+
+def div(a: str, b: str) -> str:
+    return f"(({a}) / nullif(({b})::DOUBLE, 0))"
+
+
+def ema(source: str, x: str, out: str, alpha: float, minimum: int) -> str:
+    """``source`` plus the closed-form EMA of x, valid when nulls only lead the history."""
+    q = 1 - alpha
+    return f"""SELECT * EXCLUDE (ema_k), CASE WHEN count({x}) {over()} >= {minimum} THEN pow({q!r}, ema_k) *
+      sum(CASE WHEN ema_k = 0 THEN {x} WHEN ema_k > 0 THEN {alpha!r} * ({x}) * pow({q!r}, -ema_k) END) {over()} END AS {out}
+      FROM (SELECT *, i - min(CASE WHEN ({x}) IS NOT NULL THEN i END) OVER (PARTITION BY symbol) AS ema_k FROM {source})"""
+
+
+define(
+    "tb",
+    f"""SELECT symbol, trade_date, row_number() OVER ({W}) AS i, adj_close AS c, adj_high AS h, adj_low AS l, adj_open AS o,
+       nullif(volume, 0) AS v, amount, turnover, {lagged('adj_close')} AS c1, {lagged('adj_high')} AS h1, {lagged('adj_low')} AS l1,
+       {lagged('adj_open')} AS o1, close, float_market_cap FROM bars""",
+    "bars",
+)
+define("tr", "SELECT *, greatest(h - l, abs(h - c1), abs(l - c1)) AS tr FROM tb", "tb")
+define("rt", "SELECT *, c / nullif(c1, 0) - 1 AS r FROM tb", "tb")
