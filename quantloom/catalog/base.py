@@ -3,11 +3,11 @@
 from quantloom.catalog.registry import query
 
 PRICES = "open high low close volume amount"
-query("table_daily", lambda m: m.daily, "symbol trade_date", f"{PRICES} turnover float_market_cap", ctes="daily", sql="SELECT * FROM daily")
+query("table_daily", lambda m: m.daily, "symbol trade_date", f"{PRICES} turnover float_market_cap", ctes="daily", sql="SELECT * FROM daily", digits=5)
 query("W13_adjustments", lambda m: m.adjustments, "symbol trade_date", "adjust_factor", ctes="adjustments", sql="SELECT * FROM adjustments")
 query(
     "J1_adjusted_bars", lambda m: m.bars, "symbol trade_date", "adjust_factor adj_open adj_high adj_low adj_close",
-    ctes="bars", sql="SELECT * FROM bars",
+    ctes="bars", sql="SELECT * FROM bars", digits=6,
 )
 query("table_calendar", lambda m: m.calendar, "trade_date is_open", ctes="cal", sql="SELECT trade_date, true AS is_open FROM cal")
 query("table_securities", lambda m: m.securities, "symbol list_date delist_date", ctes="securities", sql="SELECT * FROM securities")

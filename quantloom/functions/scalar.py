@@ -116,6 +116,12 @@ def day(c: str | Column) -> Column:
     return col(c).try_cast("date")
 
 
+def parse_day(c: str | Column) -> Column:
+    """Vendor text as a DATE: ISO forms or eight digits; null when neither."""
+    c = col(c)
+    return F.coalesce(c.try_cast("date"), F.try_to_timestamp(c.cast("string"), F.lit("yyyyMMdd")).cast("date"))
+
+
 def local_day(c: str | Column, unit: str = "s", zone: str = "Asia/Shanghai") -> Column:
     """Epoch seconds or milliseconds as the calendar day in ``zone``."""
     stamp = F.timestamp_seconds(col(c)) if unit == "s" else F.timestamp_millis(col(c))

@@ -274,3 +274,18 @@ def carry_marks(bars: DataFrame, calendar: DataFrame, price: str = "adj_open", s
         F.coalesce(F.last("quote", ignorenulls=True).over(w), F.lit(0.0)).alias("mark"),
         F.col("quote").isNotNull().alias("observed"),
     )
+
+
+def market_returns(index_daily: DataFrame) -> DataFrame:
+    """Index close-to-close returns: index_code, trade_date, market_return."""
+    w = Window.partitionBy("index_code").orderBy("trade_date")
+    return index_daily.select(
+        "index_code", "trade_date", (F.try_divide("close", F.lag("close").over(w)) - 1).alias("market_return")
+    )
+
+
+def benchmark_forward(index_daily: DataFrame, plan: DataFrame) -> DataFrame:
+    """Index open-to-open return per (index_code, signal_date)."""
+    return forward_open_returns(
+        index_daily.withColumnRenamed("index_code", "symbol"), plan, price="open"
+    ).select(F.col("symbol").alias("index_code"), "signal_date", F.col("forward_return").alias("benchmark_return"))

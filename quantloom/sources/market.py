@@ -251,3 +251,16 @@ class Market:
     @cached_property
     def forward(self) -> DataFrame:
         return asof.forward_open_returns(self.bars, self.month_end_plan)
+
+    @cached_property
+    def index_daily(self) -> DataFrame:
+        """Index level per session: mean adjusted prices of the securities traded."""
+        return self.bars.groupBy("trade_date").agg(
+            F.avg("adj_open").alias("open"), F.avg("adj_close").alias("close")
+        ).select(F.lit(INDEX_CODE).alias("index_code"), "trade_date", "open", "close")
+
+    @cached_property
+    def member_rows(self) -> DataFrame:
+        from quantloom.operators.library import member_rows
+
+        return member_rows(self.index_members, self.month_ends, self.securities, self.calendar)
