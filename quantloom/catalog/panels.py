@@ -121,14 +121,14 @@ for key, family in (("R3_momentum", "momentum"), ("R4_liquidity", "liquidity"),
     factor_query(key, library.names(family), **bar_sql(library.names(family)), digits=7)
 
 TECH = ["BIAS_20D", "ROC_12D", "WR_14D", "BOLL_MID_20D_PCT"]
-query("R7_technical_panel", lambda m: panels.technical_panel(m.bars, m.month_ends), "signal_date symbol", list(__import__("quantloom.operators.technical", fromlist=["x"]).ALL_NAMES))
+query("R7_technical_panel", lambda m: panels.technical_panel(m.stored().bars, m.month_ends), "signal_date symbol", list(__import__("quantloom.operators.technical", fromlist=["x"]).ALL_NAMES))
 query("W3_technical_at_signals", lambda m: panels.technical_panel(m.bars, m.month_ends, TECH), SIGNAL, TECH, ctes="tb signals",
       extra={"f": f"""SELECT symbol, trade_date, c / {roll('c', 20, 16)} - 1 AS BIAS_20D, c / nullif({lagged('c', 12)}, 0) - 1 AS ROC_12D,
         -100 * ({roll('h', 14, fn='max')} - c) / nullif({roll('h', 14, fn='max')} - {roll('l', 14, fn='min')}, 0) AS WR_14D, {roll('c', 20)} / c - 1 AS BOLL_MID_20D_PCT FROM tb"""},
       sql="SELECT trade_date AS signal_date, * FROM f JOIN signals s ON s.signal_date = f.trade_date")
 COMPUTE = ["MOMENTUM_60D", "AMIHUD_20D", "VOLATILITY_20D", "TURNOVER_MEAN_20D"]
 query("R8_compute_factors", lambda m: library.compute_factors(m.bars, m.fundamentals, m.month_ends, COMPUTE), "signal_date symbol factor_name available_date", "raw_value",
-      **{**bar_sql(COMPUTE), "sql": " UNION ALL ".join(f"SELECT trade_date AS signal_date, symbol, '{n}' AS factor_name, trade_date AS available_date, {n} AS raw_value FROM fac JOIN signals s ON s.signal_date = fac.trade_date" for n in COMPUTE)})
+      **{**bar_sql(COMPUTE), "sql": " UNION ALL ".join(f"SELECT s.signal_date, s.symbol, '{n}' AS factor_name, s.signal_date AS available_date, {n} AS raw_value FROM (SELECT signal_date, symbol FROM signals, (SELECT DISTINCT symbol FROM fac)) s ASOF JOIN fac ON fac.symbol = s.symbol AND s.signal_date >= fac.trade_date" for n in COMPUTE)})
 
 # --- batch panels -------------------------------------------------------------------
 BATCH = {"HIGH_252D_PROXIMITY": f"c / {roll('c', 252, 200, 'max')} - 1", "AMIHUD_7D": f"{roll('il', 7, 5)} * 1e8"}
@@ -146,9 +146,14 @@ def member_panel(names) -> dict:
       LEFT JOIN fac f ON f.symbol = x.symbol AND f.trade_date = s.signal_date"""}
 
 
-query("W1_base_panel", lambda m: panels.member_factors(m.bars, m.member_rows, library.BASE_PANEL, index_daily=m.index_daily), "signal_date symbol index_code", library.BASE_PANEL, **member_panel(library.BASE_PANEL), digits=7)
-query("W2_short_panel", lambda m: panels.member_factors(m.bars, m.member_rows, library.SHORT_PANEL), "signal_date symbol index_code", library.SHORT_PANEL, **member_panel(library.SHORT_PANEL), digits=7)
-query("W11_index_residuals", lambda m: panels.member_factors(m.bars, m.member_rows, ["IDIO_VOL_60D", "IDIO_SKEW_60D"], index_daily=m.index_daily), "signal_date symbol index_code",
+def member_factors(m, names, index=False):
+    m = m.stored()
+    return panels.member_factors(m.bars, m.member_rows, names, m.index_daily if index else None)
+
+
+query("W1_base_panel", lambda m: member_factors(m, library.BASE_PANEL, True), "signal_date symbol index_code", library.BASE_PANEL, **member_panel(library.BASE_PANEL), digits=7)
+query("W2_short_panel", lambda m: member_factors(m, library.SHORT_PANEL), "signal_date symbol index_code", library.SHORT_PANEL, **member_panel(library.SHORT_PANEL), digits=7)
+query("W11_index_residuals", lambda m: member_factors(m, ["IDIO_VOL_60D", "IDIO_SKEW_60D"], True), "signal_date symbol index_code",
       "IDIO_VOL_60D IDIO_SKEW_60D", **member_panel(["IDIO_VOL_60D", "IDIO_SKEW_60D"]), digits=7)
 query("W12_market_returns", lambda m: asof.market_returns(m.index_daily), "index_code trade_date", "market_return", ctes="bars", extra={"ix": INDEX["ix"]},
       sql=f"SELECT '{INDEX_CODE}' AS index_code, trade_date, cl / lag(cl) OVER (ORDER BY trade_date) - 1 AS market_return FROM ix")
@@ -214,12 +219,12 @@ query("J7_label_attach", lambda m: m.member_rows.join(m.forward, ["signal_date",
 BASE4 = ["MOMENTUM_60D", "REVERSAL_5D"]
 LONG = " UNION ALL ".join(f"SELECT trade_date AS signal_date, symbol, '{n}' AS factor_name, {n} AS raw_value FROM fac JOIN signals s ON s.signal_date = fac.trade_date" for n in BASE4)
 b4 = bar_sql(BASE4)
-query("J8_assembled_panel", lambda m: library.labelled_panel(library.compute_factors(m.bars, None, m.month_ends, BASE4), m.forward, INDEX_CODE, asof.active_on_dates(m.index_members, m.month_ends, ["symbol"])),
+query("J8_assembled_panel", lambda m: library.labelled_panel(library.compute_factors(m.bars, None, m.month_ends, BASE4, traded=True), m.forward, INDEX_CODE, asof.active_on_dates(m.index_members, m.month_ends, ["symbol"])),
       "signal_date symbol factor_name index_code", "raw_value forward_return", ctes="rt signals members forward", extra={**b4["extra"], "lg": LONG},
       sql=f"""SELECT l.*, '{INDEX_CODE}' AS index_code, f.forward_return FROM lg l LEFT JOIN forward f USING (signal_date, symbol)
         WHERE EXISTS (SELECT 1 FROM members x WHERE x.symbol = l.symbol AND x.valid_from <= l.signal_date AND (x.valid_to IS NULL OR x.valid_to >= l.signal_date))
         AND (f.symbol IS NOT NULL OR l.signal_date NOT IN (SELECT signal_date FROM forward))""")
-query("J9_latest_month_kept", lambda m: library.labelled_panel(library.compute_factors(m.bars, None, m.month_ends, ["REVERSAL_5D"]), m.forward).groupBy("signal_date").agg(
+query("J9_latest_month_kept", lambda m: library.labelled_panel(library.compute_factors(m.bars, None, m.month_ends, ["REVERSAL_5D"], traded=True), m.forward).groupBy("signal_date").agg(
       F.count("raw_value").alias("n"), F.count("forward_return").alias("labelled")), "signal_date", "n labelled", ints="n labelled", ctes="rt signals forward", extra={**b4["extra"], "lg": LONG},
       sql="""SELECT signal_date, count(raw_value) AS n, count(forward_return) AS labelled FROM lg LEFT JOIN forward f USING (signal_date, symbol)
         WHERE factor_name = 'REVERSAL_5D' AND (f.symbol IS NOT NULL OR signal_date NOT IN (SELECT signal_date FROM forward)) GROUP BY 1""")
@@ -245,7 +250,7 @@ query("W23_carried_marks", lambda m: asof.carry_marks(m.bars, m.calendar, sessio
       sql=f"""SELECT symbol, trade_date, q IS NOT NULL AS observed, coalesce(last_value(q IGNORE NULLS) OVER ({W} ROWS BETWEEN 60 PRECEDING AND CURRENT ROW), 0) AS mark
         FROM (SELECT g.symbol, g.trade_date, b.adj_open AS q FROM (SELECT symbol, trade_date FROM securities, cal) g LEFT JOIN bars b USING (symbol, trade_date))""")
 LABELLED = {"mm": MEMBER_LABEL}
-query("W26_labelled_member_panel", lambda m: panels.labelled_members(m, ["REVERSAL_5D", "TURNOVER_MEAN_5D"]), "signal_date symbol index_code factor_name entry_date exit_date", "raw_value forward_return",
+query("W26_labelled_member_panel", lambda m: panels.labelled_members(m.stored(), ["REVERSAL_5D", "TURNOVER_MEAN_5D"]), "signal_date symbol index_code factor_name entry_date exit_date", "raw_value forward_return",
       ctes="rt signals members forward securities status cal", extra={**bar_sql(["REVERSAL_5D", "TURNOVER_MEAN_5D"])["extra"], "mm": MEMBER_LABEL,
         "el": """SELECT mm.*, fac.REVERSAL_5D, fac.TURNOVER_MEAN_5D FROM mm JOIN fac ON fac.symbol = mm.symbol AND fac.trade_date = mm.signal_date JOIN status t ON t.symbol = mm.symbol AND t.trade_date = mm.signal_date
           JOIN securities q ON q.symbol = mm.symbol WHERE NOT is_st AND NOT is_suspended AND (SELECT count(*) FROM cal WHERE cal.trade_date >= q.list_date AND cal.trade_date <= mm.signal_date) >= 250""",

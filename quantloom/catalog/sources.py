@@ -80,8 +80,8 @@ query("S10_versioned_count", lambda m: changelog.read(event_log(m), ["user_id"],
 query("S11_pinned_version", lambda m: changelog.pinned({"events": event_log(m)}, {"events": ["user_id", "event_type"]}, 12)["events"],
       "user_id event_type", "value", extra={"log": LOG["log"]}, sql="""SELECT * FROM log WHERE ver <= 12 AND ver >= 10
         QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ver DESC, event_id DESC) = 1""")
-query("S12_table_read", lambda m: tables.read_table(m.raw_daily, ["symbol", "trade_date", "close"], [[("volume", ">=", 40.0)], [("close", "<", 950.0), ("volume", "not in", [1.0, 2.0])]]),
-      KEY, "close", ctes="raw_daily", sql="SELECT * FROM raw_daily WHERE volume >= 40 OR (close < 950 AND volume NOT IN (1, 2))")
+query("S12_table_read", lambda m: tables.read_table(m.raw_daily, ["symbol", "trade_date", "close"], [[("volume", ">=", 40.0)], [("close", "<", 21.0), ("volume", "not in", [1.0, 2.0])]]),
+      KEY, "close", ctes="raw_daily", sql="SELECT * FROM raw_daily WHERE volume >= 40 OR (close < 21 AND volume NOT IN (1, 2))")
 query("S16_fingerprint_rows", lambda m: tables.fingerprint(m.calendar).select("rows"), (), "rows", ints="rows", ctes="cal", sql="SELECT count(*) AS rows FROM cal")
 
 

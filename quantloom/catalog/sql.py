@@ -30,12 +30,12 @@ def with_ctes(body: str, *names: str, extra: dict[str, str] | None = None) -> st
 define(
     "trades",
     """SELECT 'S' || lpad(l_suppkey::VARCHAR, 9, '0') AS symbol, l_suppkey, l_shipdate::DATE AS trade_date,
-       l_extendedprice / l_quantity AS price, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice,
+       20.0 + l_extendedprice / 10000.0 AS price, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice,
        l_discount, l_tax, l_returnflag, l_linestatus FROM lineitem""",
 )
 define(
     "raw_daily",
-    """SELECT symbol, trade_date, s.d / s.e AS open, high, low, t.d / t.e AS close, volume, amount FROM (
+    """SELECT symbol, trade_date, 20.0 + s.d / 10000.0 AS open, high, low, 20.0 + t.d / 10000.0 AS close, volume, amount FROM (
        SELECT symbol, trade_date,
          min({'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey, 'd': l_extendedprice, 'e': l_quantity, 'f': l_discount, 'g': l_tax}) AS s,
          max({'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey, 'd': l_extendedprice, 'e': l_quantity, 'f': l_discount, 'g': l_tax}) AS t,
@@ -195,3 +195,18 @@ define(
 )
 define("tr", "SELECT *, greatest(h - l, abs(h - c1), abs(l - c1)) AS tr FROM tb", "tb")
 define("rt", "SELECT *, c / nullif(c1, 0) - 1 AS r FROM tb", "tb")
+
+define(
+    "marks",
+    """SELECT g.symbol, g.trade_date, CASE WHEN g.session - q.session <= 60 THEN q.adj_open ELSE 0 END AS mark, g.session = q.session AS observed
+       FROM (SELECT symbol, trade_date, session FROM (SELECT DISTINCT symbol FROM bars), calnext WHERE trade_date IN (SELECT entry_date FROM plan)) g
+       ASOF LEFT JOIN (SELECT symbol, trade_date, adj_open, session FROM bars JOIN calnext USING (trade_date) WHERE adj_open > 0) q ON q.symbol = g.symbol AND g.trade_date >= q.trade_date""",
+    "bars", "calnext", "plan",
+)
+define(
+    "mforward",
+    """SELECT p.signal_date, e.symbol, p.entry_date, p.exit_date, x.mark / nullif(e.mark, 0) - 1 AS forward_return, coalesce(e.observed, false) AS tradable
+       FROM plan p JOIN marks e ON e.trade_date = p.entry_date JOIN marks x ON x.trade_date = p.exit_date AND x.symbol = e.symbol
+       WHERE x.mark / nullif(e.mark, 0) IS NOT NULL""",
+    "plan", "marks",
+)

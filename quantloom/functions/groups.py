@@ -145,4 +145,4 @@ def quintile(rank: str | Column, count: str | Column, groups: int = 5) -> Column
     """
     r, n = col(rank), col(count)
     k = F.greatest(F.lit(1), F.ceil(F.try_divide(groups * (r - 1), n - 1)))
-    return (groups + 1 - k).cast("int")
+    return F.when(r.isNotNull(), groups + 1 - k).cast("int")

@@ -289,3 +289,35 @@ def benchmark_forward(index_daily: DataFrame, plan: DataFrame) -> DataFrame:
     return forward_open_returns(
         index_daily.withColumnRenamed("index_code", "symbol"), plan, price="open"
     ).select(F.col("symbol").alias("index_code"), "signal_date", F.col("forward_return").alias("benchmark_return"))
+
+
+def marks_on_dates(bars: DataFrame, dates: DataFrame, calendar: DataFrame, price: str = "adj_open", sessions: int = 60) -> DataFrame:
+    """``carry_marks`` at some dates only: symbol x dates rows instead of the full grid."""
+    numbered = numbered_sessions(calendar).select("trade_date", "session")
+    quote = bars.where(F.col(price) > 0).select("symbol", "trade_date", F.col(price).alias("__quote")).join(numbered, "trade_date")
+    quote = quote.withColumnRenamed("session", "__seen")
+    grid = densify(dates, bars.select("symbol").distinct()).join(numbered, "trade_date")
+    known = attach_latest(grid, quote, columns=["__quote", "__seen"])
+    fresh = F.col("session") - F.col("__seen") <= sessions
+    return known.select("symbol", "trade_date", F.when(fresh, F.col("__quote")).otherwise(F.lit(0.0)).alias("mark"),
+                        (F.col("session") == F.col("__seen")).alias("observed"))
+
+
+def forward_mark_returns(bars: DataFrame, plan: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Forward returns on carried marks: a position without a quote keeps its last one for 60 sessions, then is worth 0.
+
+    The grid has every security on every execution date, so the exit mark is
+    the next row of the same security and the marks are built once.
+    """
+    dates = plan.select(F.col("entry_date").alias("trade_date")).where(F.col("trade_date").isNotNull()).distinct()
+    w = Window.partitionBy("symbol").orderBy("trade_date")
+    marks = marks_on_dates(bars, dates, calendar).select(
+        "symbol",
+        F.col("trade_date").alias("entry_date"),
+        (F.try_divide(F.lead("mark").over(w), "mark") - 1).alias("forward_return"),
+        F.coalesce("observed", F.lit(False)).alias("tradable"),
+    )
+    spans = plan.where(F.col("exit_date").isNotNull()).select("signal_date", "entry_date", "exit_date")
+    return marks.where(F.col("forward_return").isNotNull()).join(spans, "entry_date").select(
+        "signal_date", "symbol", "entry_date", "exit_date", "forward_return", "tradable"
+    )

@@ -17,6 +17,7 @@ from quantloom.functions.scalar import log, ratio
 from quantloom.operators import formula
 
 KEYS = ("signal_date",)
+NOISE = 1e-9
 
 
 def mad_winsorize(df: DataFrame, keys: Sequence[str], value: str, out: str, scale: float = 5.0, hot: bool = False) -> DataFrame:
@@ -80,7 +81,10 @@ def neutralize(df: DataFrame, keys: Sequence[str] = KEYS, value: str = "raw_valu
     slope = F.when(flat, F.lit(0.0)).otherwise(ratio("__sxy", "__sxx"))
     df = df.withColumn("__res", F.when(F.col("__n") >= 3, F.col("__dy") - slope * F.col("__dx")))
     df = zscore(df, keys, "__res", out, weight="__cap", hot=hot)
-    return df.drop("__z", "__y", "__x", "__cap", "__sw", "__swy", "__swx", "__dy", "__dx", "__sxy", "__sxx", "__n", "__total", "__res")
+    # a perfect fit leaves rounding noise, not a residual
+    df = groups.stats(df, keys, {"__size": F.max(F.abs("__res"))}, hot=hot)
+    df = df.withColumn(out, F.when(F.col("__size") > NOISE, F.col(out)))
+    return df.drop("__size").drop("__z", "__y", "__x", "__cap", "__sw", "__swy", "__swx", "__dy", "__dx", "__sxy", "__sxx", "__n", "__total", "__res")
 
 
 def require_context(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.rolling import change, lag, rolling
 from quantloom.functions.scalar import at_least, at_most, ratio
-from quantloom.operators import asof, formula, fundamentals, technical
+from quantloom.operators import asof, formula, fundamentals, pit, technical
 from quantloom.operators.fundamentals import latest, stability, ttm, yoy
 
 
@@ -197,13 +197,16 @@ def wide(
     *,
     batch: bool = False,
     market: DataFrame | None = None,
+    traded: bool = True,
 ) -> DataFrame:
     """symbol, trade_date and one column per factor, for every bar or the bars of some dates.
 
     Price, volume and residual factors share one sort per security; technical
     outputs are one more pass; disclosures attach as-of. Only the rows of the
     signal dates leave the window stages. ``market`` (trade_date, market_return)
-    replaces the mean return as the market of residual factors.
+    replaces the mean return as the market of residual factors. With
+    ``traded=False`` every security with any history gets its latest values at
+    each signal date, not only those traded that day.
     """
     unknown = [n for n in selected if n not in REGISTRY]
     if unknown:
@@ -211,7 +214,12 @@ def wide(
     signal_rows = None if signals is None else signals.select(F.col("signal_date").alias("trade_date"))
 
     def at_signals(df: DataFrame) -> DataFrame:
-        return df if signal_rows is None else df.join(signal_rows, "trade_date", "left_semi")
+        if signal_rows is None:
+            return df
+        if traded:
+            return df.join(signal_rows, "trade_date", "left_semi")
+        columns = [c for c in df.columns if c not in ("symbol", "trade_date")]
+        return pit.latest_on_dates(df, signals, columns).withColumnRenamed("signal_date", "trade_date")
 
     plain = [n for n in selected if REGISTRY[n].bar is not None]
     residual = [n for n in selected if n in IDIO]
@@ -246,22 +254,28 @@ def melt(table: DataFrame, selected: Sequence[str], keys: Sequence[str] = ("sign
     return table.unpivot(list(keys), list(selected), "factor_name", "raw_value")
 
 
-def compute_factors(bars: DataFrame, filings: DataFrame | None, signals: DataFrame, selected: Sequence[str]) -> DataFrame:
-    """Long panel of factor values at the signal dates for securities traded that day."""
-    table = wide(bars, filings, selected, signals).withColumnRenamed("trade_date", "signal_date")
+def compute_factors(
+    bars: DataFrame, filings: DataFrame | None, signals: DataFrame, selected: Sequence[str], traded: bool = False
+) -> DataFrame:
+    """Long panel of factor values at the signal dates, for all visible securities or those traded that day."""
+    table = wide(bars, filings, selected, signals, traded=traded).withColumnRenamed("trade_date", "signal_date")
     return melt(table, selected).withColumns(
         {"neutralized_value": F.lit(None).cast("double"), "available_date": F.col("signal_date")}
     )
 
 
-def labelled_panel(values: DataFrame, forward: DataFrame, index_code: str = "ALL_A", universe: DataFrame | None = None) -> DataFrame:
+def labelled_panel(
+    values: DataFrame, forward: DataFrame, index_code: str = "ALL_A", universe: DataFrame | None = None, plan: DataFrame | None = None
+) -> DataFrame:
     """Attach forward returns; a date whose exit lies ahead keeps its values with a null label.
 
-    On dates with prices ahead only securities with an entry price stay.
+    On dates with prices ahead only securities with an entry price stay. The
+    holding ``plan`` tells those dates without reading the returns twice.
     """
     rows = values if universe is None else values.join(universe, ["signal_date", "symbol"], "left_semi")
     labels = forward.select("signal_date", "symbol", "forward_return", F.lit(True).alias("__priced"))
-    dated = forward.select("signal_date").distinct().withColumn("__dated", F.lit(True))
+    priced = forward if plan is None else plan.where(F.col("exit_date").isNotNull())
+    dated = priced.select("signal_date").distinct().withColumn("__dated", F.lit(True))
     joined = rows.join(labels, ["signal_date", "symbol"], "left").join(dated, "signal_date", "left")
     return joined.where(F.col("__priced") | F.col("__dated").isNull()).select(
         "signal_date", "symbol", "factor_name", "raw_value", "neutralized_value", "forward_return",

@@ -51,7 +51,8 @@ def _spread(values: Column) -> Column:
 
 
 def annual_return(values: Column, per_year: float = 12.0) -> Column:
-    return F.when(F.size(values) > 0, F.pow(growth(values), F.try_divide(F.lit(per_year), F.size(values))) - 1)
+    total = growth(values)  # a total loss or worse has no yearly rate
+    return F.when((F.size(values) > 0) & (total >= 0), F.pow(total, F.try_divide(F.lit(per_year), F.size(values))) - 1)
 
 
 METRICS = ("annualized_return", "annualized_volatility", "sharpe", "sortino", "max_drawdown", "calmar", "monthly_win_rate")

@@ -1,7 +1,7 @@
 """Canonical market tables derived from an order-line star schema.
 
-``lineitem`` rows are trades: the supplier is the security, the ship date the
-session and extended price over quantity the trade price.
+``lineitem`` rows are trades: the supplier is the security and the ship date
+the session; the trade price is 20 plus a ten-thousandth of the line's price.
 """
 
 from __future__ import annotations
@@ -43,6 +43,16 @@ class Market:
         """Number of securities, read from file footers: the most rows a cross-section can hold."""
         return self.table("supplier").count()
 
+    def stored(self) -> Market:
+        """The same tables with bars written once, as a research store would hold them."""
+        from quantloom.session import cut
+
+        other = Market(self.spark, self.folder)
+        bars = cut(self.bars)
+        other.__dict__["bars"] = bars
+        other.__dict__["daily"] = bars.drop("adjust_factor", "adj_open", "adj_high", "adj_low", "adj_close")
+        return other
+
     def hot(self, factors: int = 1) -> bool:
         """Whether one cross-section (times factors kept together) may exceed a task."""
         return self.symbols * factors > groups.ROWS_PER_TASK
@@ -53,7 +63,7 @@ class Market:
             {
                 "symbol": symbol(),
                 "trade_date": F.to_date("l_shipdate"),
-                "price": F.col("l_extendedprice") / F.col("l_quantity"),
+                "price": 20.0 + F.col("l_extendedprice") / 10000.0,
             }
         )
 
@@ -252,6 +262,11 @@ class Market:
     def forward(self) -> DataFrame:
         return asof.forward_open_returns(self.bars, self.month_end_plan)
 
+    @cached_property
+    def marked_forward(self) -> DataFrame:
+        """Monthly forward returns on carried marks, for every security ever quoted."""
+        return asof.forward_mark_returns(self.bars, self.month_end_plan, self.calendar)
+
     @cached_property
     def index_daily(self) -> DataFrame:
         """Index level per session: mean adjusted prices of the securities traded."""
