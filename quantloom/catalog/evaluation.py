@@ -189,7 +189,7 @@ def wide(m, names=NAMES):
 x("X4_wide_zscores", lambda m: (lambda w: cross_section.zscore(cross_section.zscore(w, ["signal_date"], "MOMENTUM_60D", "z1", hot=m.hot()), ["signal_date"], "VOLATILITY_20D", "z2", hot=m.hot()))(wide(m)), "signal_date symbol", "z1 z2",
   """SELECT signal_date, symbol, (a - avg(a) OVER p) / nullif(stddev_pop(a) OVER p, 0) AS z1, (b - avg(b) OVER p) / nullif(stddev_pop(b) OVER p, 0) AS z2 FROM wd WINDOW p AS (PARTITION BY signal_date)""",
   {"wd": "SELECT signal_date, symbol, max(raw_value) FILTER (factor_name = 'MOMENTUM_60D') AS a, max(raw_value) FILTER (factor_name = 'VOLATILITY_20D') AS b FROM pan GROUP BY 1, 2"})
-CORR = {"pairs": "SELECT a.signal_date, a.factor_name AS l, b.factor_name AS r, count(*) AS pairs, corr(a.rx, b.rx) AS c FROM rk a JOIN rk b ON a.signal_date = b.signal_date AND a.symbol = b.symbol AND a.rx IS NOT NULL AND b.rx IS NOT NULL GROUP BY ALL"}
+CORR = {"pairs": "SELECT a.signal_date, a.factor_name AS l, b.factor_name AS r, count(*) AS pairs, CASE WHEN isfinite(corr(a.rx, b.rx)) THEN corr(a.rx, b.rx) END AS c FROM rk a JOIN rk b ON a.signal_date = b.signal_date AND a.symbol = b.symbol AND a.rx IS NOT NULL AND b.rx IS NOT NULL GROUP BY ALL"}
 ORDERED = " AND ".join(["list_position(['" + "', '".join(NAMES) + "'], l) <= list_position(['" + "', '".join(NAMES) + "'], r)"])
 x("X19_mean_correlation", lambda m: evaluate.mean_correlation(evaluate.correlation_by_date(wide(m), NAMES, hot=m.hot(len(NAMES)))).withColumnsRenamed({"left": "factor_a", "right": "factor_b"}), "factor_a factor_b", "correlation",
   f"SELECT l AS factor_a, r AS factor_b, avg(c) AS correlation FROM pairs WHERE {ORDERED} GROUP BY ALL", {**ICM, **CORR})

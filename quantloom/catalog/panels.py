@@ -151,8 +151,8 @@ def member_factors(m, names, index=False):
     return panels.member_factors(m.bars, m.member_rows, names, m.index_daily if index else None)
 
 
-query("W1_base_panel", lambda m: member_factors(m, library.BASE_PANEL, True), "signal_date symbol index_code", library.BASE_PANEL, **member_panel(library.BASE_PANEL), digits=7)
-query("W2_short_panel", lambda m: member_factors(m, library.SHORT_PANEL), "signal_date symbol index_code", library.SHORT_PANEL, **member_panel(library.SHORT_PANEL), digits=7)
+query("W1_base_panel", lambda m: member_factors(m, library.BASE_PANEL, True), "signal_date symbol index_code", library.BASE_PANEL, **member_panel(library.BASE_PANEL), digits=6)
+query("W2_short_panel", lambda m: member_factors(m, library.SHORT_PANEL), "signal_date symbol index_code", library.SHORT_PANEL, **member_panel(library.SHORT_PANEL), digits=6)
 query("W11_index_residuals", lambda m: member_factors(m, ["IDIO_VOL_60D", "IDIO_SKEW_60D"], True), "signal_date symbol index_code",
       "IDIO_VOL_60D IDIO_SKEW_60D", **member_panel(["IDIO_VOL_60D", "IDIO_SKEW_60D"]), digits=7)
 query("W12_market_returns", lambda m: asof.market_returns(m.index_daily), "index_code trade_date", "market_return", ctes="bars", extra={"ix": INDEX["ix"]},
