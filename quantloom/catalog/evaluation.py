@@ -177,7 +177,7 @@ query("X17_merged_panel_evaluation", lambda m: evaluate.summary_statistics(evalu
 ICM = {"rk": """SELECT *, CASE WHEN raw_value IS NOT NULL THEN rank() OVER (PARTITION BY signal_date, factor_name ORDER BY raw_value NULLS LAST) + (count(raw_value) OVER (PARTITION BY signal_date, factor_name, raw_value) - 1) / 2.0 END AS rx,
   CASE WHEN forward_return IS NOT NULL THEN rank() OVER (PARTITION BY signal_date, factor_name ORDER BY forward_return NULLS LAST) + (count(forward_return) OVER (PARTITION BY signal_date, factor_name, forward_return) - 1) / 2.0 END AS ry FROM pan""",
   "rm": "SELECT *, avg(rx) OVER p AS mx, avg(ry) OVER p AS my FROM rk WINDOW p AS (PARTITION BY signal_date, factor_name)",
-  "icm": "SELECT signal_date, factor_name, corr(rx, ry) AS rank_ic, sum((rx - mx) * (ry - my)) / nullif(sum((rx - mx) * (rx - mx)), 0) AS factor_return FROM rm GROUP BY 1, 2"}
+  "icm": "SELECT signal_date, factor_name, CASE WHEN isfinite(corr(rx, ry)) THEN corr(rx, ry) END AS rank_ic, sum((rx - mx) * (ry - my)) / nullif(sum((rx - mx) * (rx - mx)), 0) AS factor_return FROM rm GROUP BY 1, 2"}
 x("X18_ic_matrix", lambda m: evaluate.ic_matrix(panel(m), hot=m.hot()), "signal_date factor_name", "rank_ic factor_return", "SELECT * FROM icm", ICM)
 WIDE = {"wide": "PIVOT pan ON factor_name USING first(raw_value) GROUP BY signal_date, symbol"}
 

@@ -327,3 +327,11 @@ def member_rows(members: DataFrame, signals: DataFrame, securities: DataFrame, c
     """Index members at each signal date with their sessions since listing."""
     active = asof.active_on_dates(members, signals, ["index_code", "symbol"])
     return asof.listed_sessions(active, securities, calendar)
+
+
+def technical_catalog(spark) -> DataFrame:
+    """Catalog of technical outputs: implemented names, exact vendor aliases and blocked vendor names."""
+    rows = [(n, "implemented", n, REGISTRY[n].lookback) for n in technical.ALL_NAMES]
+    rows += [(a, "exact_alias", n, REGISTRY[n].lookback) for a, n in technical.ALIASES.items()]
+    rows += [(n, "blocked", None, None) for n in technical.BLOCKED]
+    return spark.createDataFrame(rows, "name string, state string, output string, lookback int")

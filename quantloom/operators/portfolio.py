@@ -26,8 +26,10 @@ def holding_changes(holdings: DataFrame, ids: Sequence[str], weight: str = "weig
     ids = list(ids)
     opened = holdings.select(*ids, number, "symbol", F.col(weight).alias("__d"))
     closed = holdings.select(*ids, (F.col(number) + 1).alias(number), "symbol", (-F.col(weight)).alias("__d"))
-    last = holdings.groupBy(*ids).agg(F.max(number).alias("__last"))
     moved = opened.unionByName(closed).groupBy(*ids, number, "symbol").agg(F.sum("__d").alias("change"))
+    if not ids:
+        return moved.where(F.col(number) <= holdings.agg(F.max(number)).scalar())
+    last = holdings.groupBy(*ids).agg(F.max(number).alias("__last"))
     return moved.join(last, ids).where(F.col(number) <= F.col("__last")).drop("__last")
 
 
