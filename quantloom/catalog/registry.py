@@ -69,14 +69,14 @@ def query(
     keys, values, ints, texts, ctes = (tuple(x.split()) if isinstance(x, str) else tuple(x) for x in (keys, values, ints, texts, ctes))
     full = None
     if sql is not None:
-        parts = list(keys)
+        parts = [f'"{k}"' for k in keys]
         for v in values:
             if v in texts:
-                parts.append(v)
+                parts.append(f'"{v}"')
             elif v in ints:
-                parts.append(f"CAST({v} AS BIGINT) AS {v}")
+                parts.append(f'CAST("{v}" AS BIGINT) AS "{v}"')
             else:
-                parts.append(f"round(CAST({v} AS DOUBLE) + {off_midpoint(digits)!r}::DOUBLE, {digits}) + 0.0::DOUBLE AS {v}")
+                parts.append(f'round(CAST("{v}" AS DOUBLE) + {off_midpoint(digits)!r}::DOUBLE, {digits}) + 0.0::DOUBLE AS "{v}"')
         full = with_ctes(f"SELECT {', '.join(parts)} FROM (\n{sql}\n) AS answer", *ctes, extra=extra)
     if name in REGISTRY:
         raise ValueError(f"query {name} registered twice")

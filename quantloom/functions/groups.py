@@ -40,7 +40,7 @@ def stats(df: DataFrame, keys: Sequence[str], aggregates: Mapping[str, Column],
     if not hot:
         w = Window.partitionBy(*keys)
         return df.withColumns({name: agg.over(w) for name, agg in aggregates.items()})
-    df = cut(df)
+    df = cut(df.drop(*aggregates))
     small = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in aggregates.items()])
     return _attach(df, small, keys)
 

@@ -62,9 +62,9 @@ def neutralize(df: DataFrame, keys: Sequence[str] = KEYS, value: str = "raw_valu
     inside = [*keys, "industry_code"]
     cap = F.col("__cap")
     df = groups.stats(
-        df, inside, {"__sw": F.sum(cap), "__swy": F.sum(cap * F.col("__y")), "__swx": F.sum(cap * F.col("__x"))}, hot=hot
+        df, inside, {"__iw": F.sum(cap), "__iwy": F.sum(cap * F.col("__y")), "__iwx": F.sum(cap * F.col("__x"))}, hot=hot
     )
-    df = df.withColumns({"__dy": F.col("__y") - ratio("__swy", "__sw"), "__dx": F.col("__x") - ratio("__swx", "__sw")})
+    df = df.withColumns({"__dy": F.col("__y") - ratio("__iwy", "__iw"), "__dx": F.col("__x") - ratio("__iwx", "__iw")})
     df = groups.stats(
         df,
         keys,
@@ -84,7 +84,7 @@ def neutralize(df: DataFrame, keys: Sequence[str] = KEYS, value: str = "raw_valu
     # a perfect fit leaves rounding noise, not a residual
     df = groups.stats(df, keys, {"__size": F.max(F.abs("__res"))}, hot=hot)
     df = df.withColumn(out, F.when(F.col("__size") > NOISE, F.col(out)))
-    return df.drop("__size").drop("__z", "__y", "__x", "__cap", "__sw", "__swy", "__swx", "__dy", "__dx", "__sxy", "__sxx", "__n", "__total", "__res")
+    return df.drop("__size").drop("__z", "__y", "__x", "__cap", "__iw", "__iwy", "__iwx", "__dy", "__dx", "__sxy", "__sxx", "__n", "__total", "__res")
 
 
 def require_context(df: DataFrame) -> DataFrame:
