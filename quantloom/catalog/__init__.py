@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("base", "formula", "technical", "sources", "panels", "evaluation", "portfolios", "operations")
+MODULES = ("base", "formula", "technical", "sources", "panels", "evaluation", "portfolios", "operations", "extras")
 
 
 def load():

@@ -301,9 +301,6 @@ query("P13_panel_filter", lambda m: models.feature_matrix(panel(m, NAMES[:2]).wh
       sql="SELECT signal_date, symbol, raw_value AS REVERSAL_5D FROM pan WHERE factor_name = 'REVERSAL_5D'")
 query("P15_visible_history", lambda m: pit.disclosures_on(m.fundamentals, "2000-06-30").groupBy("symbol").agg(F.count(F.lit(1)).alias("periods"), F.max("stat_date").alias("newest")), "symbol newest", "periods", ints="periods", ctes="fund",
       sql="SELECT symbol, max(stat_date) AS newest, count(DISTINCT stat_date) AS periods FROM fund WHERE available_date <= DATE '2000-06-30' GROUP BY 1")
-query("W25_standardised_long_panel", lambda m: panels.melt_panel(panels.member_factors(m.stored().bars, m.member_rows, ["REVERSAL_5D"]).join(m.marked_forward, ["signal_date", "symbol"], "left"), ["REVERSAL_5D"], PERIODS, m.hot()), "signal_date symbol index_code factor_name period", "raw_value")
-
-
 def stored_weights(m):
     """Weights of four methods from one stored IC history."""
     from quantloom.catalog.portfolios import ic_history

@@ -118,7 +118,7 @@ def bar_sql(names, extra=None, tail="", more=None) -> dict:
 
 
 for key, family in (("R3_momentum", "momentum"), ("R4_liquidity", "liquidity"), ("R5_risk", "risk")):
-    factor_query(key, library.names(family), **bar_sql(library.names(family)), digits=7)
+    factor_query(key, library.names(family), **bar_sql(library.names(family)), digits=6)
 
 TECH = ["BIAS_20D", "ROC_12D", "WR_14D", "BOLL_MID_20D_PCT"]
 query("R7_technical_panel", lambda m: panels.technical_panel(m.stored().bars, m.month_ends), "signal_date symbol", list(__import__("quantloom.operators.technical", fromlist=["x"]).ALL_NAMES))
@@ -166,7 +166,7 @@ WEEKLY = "SELECT max(trade_date) AS signal_date FROM cal GROUP BY trade_date + (
 mf["sql"] = mf["sql"].replace("JOIN signals s", "JOIN wk s")
 mf["extra"]["wk"] = WEEKLY
 mf["ctes"] = "rt cal"
-query("W4_market_features_weekly", lambda m: library.market_features(m.bars, asof.signal_dates(m.calendar, "weekly"), MF), SIGNAL, [*MF, "close"], **mf, digits=7)
+query("W4_market_features_weekly", lambda m: library.market_features(m.bars, asof.signal_dates(m.calendar, "weekly"), MF), SIGNAL, [*MF, "close"], **mf, digits=6)
 query("W17_weekly_signals", lambda m: asof.signal_dates(m.calendar, "weekly", "1996-01-01", "2001-06-30"), "signal_date", ctes="cal", extra={"wk": WEEKLY},
       sql="SELECT * FROM wk WHERE signal_date BETWEEN DATE '1996-01-01' AND DATE '2001-06-30'")
 query("W17_monthly_signals", lambda m: asof.signal_dates(m.calendar, "monthly"), "signal_date", ctes="cal",

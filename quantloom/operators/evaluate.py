@@ -20,6 +20,7 @@ from quantloom.operators import pit
 VALUE_TYPES = ("raw", "neutralized")
 GROUPS = tuple(f"group_{k}" for k in range(1, 6))
 MINIMUM_NAMES = 3
+SLICES = 16
 
 
 def _variant(n: str, rank: str, back: str, quint: str, sign: float) -> Column:
@@ -253,7 +254,9 @@ def power_sums(table: DataFrame, names: Sequence[str], date: str) -> DataFrame:
             )
 
     schema = f"{date} date, left string, right string, n double, x double, y double, xx double, yy double, xy double"
-    parts = table.select(date, *names).mapInPandas(partial, schema)
+    # a few slices per date: a task keeps matrices of few dates, and a large date is shared by several tasks
+    spread = table.repartition(F.col(date), F.pmod(F.xxhash64("symbol"), F.lit(SLICES)))
+    parts = spread.select(date, *names).mapInPandas(partial, schema)
     return parts.groupBy(date, "left", "right").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
 
 

@@ -102,7 +102,7 @@ def combination(
         weights = one if weights is None else weights.unionByName(one)
     sign_map = F.create_map(*[x for n, s in signs.items() for x in (F.lit(n), F.lit(s))])
     signed = z.where(F.col("factor_name").isin(*kept)).select("signal_date", "symbol", "factor_name", "forward_return", (F.col("z") * sign_map[F.col("factor_name")]).alias("value"))
-    scores = combine.combine_scores(signed, F.broadcast(weights), ["signal_date"])
+    scores = combine.combine_scores(signed, weights, ["signal_date"])
     labels = panel.groupBy("signal_date", "symbol").agg(F.first("forward_return", ignorenulls=True).alias("forward_return"))
     composite = scores.where(F.col("score").isNotNull()).join(labels, ["signal_date", "symbol"]).select(
         "signal_date", "symbol", F.col("method").alias("factor_name"), F.col("score").alias("raw_value"), "forward_return")
