@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from quantloom.catalog.registry import query
 from quantloom.catalog.sql import W, lagged, over, roll
+from quantloom.catalog.technical import RAW
 from quantloom.operators import asof, fundamentals, library, pit
+from quantloom.operators.technical import ALL_NAMES
 from quantloom.plans import panels
 from quantloom.sources.market import INDEX_CODE
 
@@ -121,7 +123,9 @@ for key, family in (("R3_momentum", "momentum"), ("R4_liquidity", "liquidity"),
     factor_query(key, library.names(family), **bar_sql(library.names(family)), digits=6)
 
 TECH = ["BIAS_20D", "ROC_12D", "WR_14D", "BOLL_MID_20D_PCT"]
-query("R7_technical_panel", lambda m: panels.technical_panel(m.stored().bars, m.month_ends), "signal_date symbol", list(__import__("quantloom.operators.technical", fromlist=["x"]).ALL_NAMES))
+query("R7_technical_panel", lambda m: panels.technical_panel(m.stored().bars, m.month_ends), SIGNAL, ALL_NAMES, ctes="raw_daily signals", digits=4,
+      sql="SELECT * FROM (SELECT trade_date AS signal_date, trade_date, symbol FROM raw_daily JOIN signals ON signal_date = trade_date) "
+      + " ".join(f"JOIN ({sql}) AS g{i} USING (symbol, trade_date)" for i, sql in enumerate(RAW.values())))
 query("W3_technical_at_signals", lambda m: panels.technical_panel(m.bars, m.month_ends, TECH), SIGNAL, TECH, ctes="tb signals",
       extra={"f": f"""SELECT symbol, trade_date, c / {roll('c', 20, 16)} - 1 AS BIAS_20D, c / nullif({lagged('c', 12)}, 0) - 1 AS ROC_12D,
         -100 * ({roll('h', 14, fn='max')} - c) / nullif({roll('h', 14, fn='max')} - {roll('l', 14, fn='min')}, 0) AS WR_14D, {roll('c', 20)} / c - 1 AS BOLL_MID_20D_PCT FROM tb"""},

@@ -1,16 +1,18 @@
 """Technical indicators T1-T40."""
 
 from quantloom.catalog.registry import query
-from quantloom.catalog.sql import div, ema, lagged, over, roll
+from quantloom.catalog.sql import div, ema, lagged, over, roll, with_ctes
 from quantloom.operators import technical as t
 
 KEY = "symbol trade_date"
+RAW: dict[str, str] = {}  # unrounded SQL per indicator group
 
 
 def check(name: str, group: str, columns: dict[str, str], source: str = "tb", extra: dict[str, str] | None = None, ctes: str = "", digits: int = 8) -> None:
     outputs = t.NAMES[group]
     assert list(columns) == outputs, (outputs, list(columns))
     body = ", ".join(f"{sql} AS {out}" for out, sql in columns.items())
+    RAW[group] = with_ctes(f"SELECT symbol, trade_date, {body} FROM {source}", *(ctes or "tb").split(), extra=extra)
     query(name, lambda m: t.indicators(m.bars, outputs), KEY, outputs, ctes=(ctes or "tb").split(), extra=extra, digits=digits,
           sql=f"SELECT symbol, trade_date, {body} FROM {source}")
 
