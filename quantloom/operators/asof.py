@@ -45,9 +45,10 @@ def attach_latest(
     w = Window.partitionBy("__entity").orderBy("__time", "__side").rowsBetween(Window.unboundedPreceding, 0)
     stacked = asked.unionByName(known, allowMissingColumns=True)
     filled = stacked.withColumn("__last", F.last("__known", ignorenulls=True).over(w))
-    return filled.where(F.col("__row").isNotNull()).select(
-        "__row.*", *[F.col(f"__last.{c}").alias(c) for c in columns]
-    )
+    # entity and time come back as plain columns, so later windows reuse this shuffle and sort
+    plain = {left_time: F.col("__time"), on: F.col("__entity")}
+    kept = [plain[c].alias(c) if c in plain else F.col(f"__row.{c}").alias(c) for c in keep]
+    return filled.where(F.col("__row").isNotNull()).select(*kept, *[F.col(f"__last.{c}").alias(c) for c in columns])
 
 
 def adjust(daily: DataFrame, adjustments: DataFrame) -> DataFrame:
