@@ -28,6 +28,17 @@ def symbol(c: str = "l_suppkey"):
     return F.concat(F.lit("S"), F.lpad(F.col(c).cast("string"), 9, "0"))
 
 
+def trade_place():
+    """Order of trades inside a session as one fixed-width number: order, line (one
+    digit), part, price in cents. A struct would force sorting aggregations; a
+    decimal keeps them hashed. Trades equal in all four have equal prices."""
+    return F.expr(
+        "cast(l_orderkey * 10 + l_linenumber as decimal(17, 0)) * cast(1000000000000000000000 as decimal(22, 0))"
+        " + cast(l_partkey as decimal(12, 0)) * cast(1000000000 as decimal(10, 0))"
+        " + cast(round(l_extendedprice * 100) as decimal(9, 0))"
+    )
+
+
 class Market:
     """Lazy canonical tables over one folder of Parquet files."""
 
@@ -71,14 +82,11 @@ class Market:
     def raw_daily(self) -> DataFrame:
         """One bar per security and session. Partial aggregation runs before the
         shuffle, so a security with a third of all trades is no hot task."""
-        sequence = F.struct(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"
-        )
-        return self.trades.groupBy("symbol", "trade_date").agg(
-            F.min_by("price", sequence).alias("open"),
+        return self.trades.withColumn("__place", trade_place()).groupBy("symbol", "trade_date").agg(
+            F.min_by("price", "__place").alias("open"),
             F.max("price").alias("high"),
             F.min("price").alias("low"),
-            F.max_by("price", sequence).alias("close"),
+            F.max_by("price", "__place").alias("close"),
             F.sum("l_quantity").alias("volume"),
             F.sum("l_extendedprice").alias("amount"),
         )
