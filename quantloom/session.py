@@ -1,14 +1,22 @@
-"""Session settings and reliable lineage cuts."""
+"""Session settings, reliable lineage cuts and stored intermediates."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+FOLDER_SETTING = "spark.checkpoint.dir"
+_SCRATCH: dict[str, str] = {}
 
-def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
-    """A laptop session for tests and bench; clusters bring their own session."""
+
+def local_session(cores: int | str = 8, shuffle_partitions: int = 8, folder: str | None = None) -> SparkSession:
+    """A laptop session for tests and bench; clusters bring their own session.
+
+    ``folder`` holds checkpoints and stored intermediates; a new temporary one if not given.
+    """
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("quantloom")
@@ -20,6 +28,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(FOLDER_SETTING, folder or tempfile.mkdtemp(prefix="quantloom-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -27,20 +36,54 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a private one only on a local master."""
+    """The shared checkpoint folder; a private one only on a local master without the setting."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get(FOLDER_SETTING, None)
     if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError(f"set {FOLDER_SETTING} to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="quantloom-checkpoint-")
     context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's folder for stored intermediates, in the shared folder.
+
+    It is removed when the driver ends, or by ``clear_scratch``.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        _SCRATCH[app] = f"{checkpoint_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+        atexit.register(clear_scratch, spark)
+    return _SCRATCH[app]
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what ``stored`` wrote for this application; frames read from it end with it."""
+    context = spark.sparkContext
+    if context._jsc is None:
+        return
+    folder = _SCRATCH.pop(context.applicationId, None)
+    if folder is not None:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, name: str = "part") -> DataFrame:
+    """``df`` written as Parquet in the scratch folder and read again.
+
+    Unlike a checkpoint the copy is columnar: later readers take only the
+    columns and rows they need, and a lost executor reads them again.
+    """
+    path = f"{scratch_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and continue from the files.
 
