@@ -24,6 +24,8 @@ rows that repeat an id are matched each, and the best match per document and ite
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +36,9 @@ SIMILARITY = 0.8
 RADIUS = 19
 #: Blocks of a fingerprint: first bit and width.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Item shingles up to which their table is broadcast: 24 bytes each, so under 50 MB.
-BROADCAST_SHINGLES = 2_000_000
+#: Rows up to which a table made of the items is broadcast, at most 64 bytes each but for
+#: shingle arrays; larger ones are sorted and merged, whatever Spark's estimate says.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingle_hashes(text: Column, words: int) -> Column:
@@ -87,13 +90,16 @@ def _block(fp: Column, at: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1))
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for a broadcast if it has few ``rows``, else for a merge join."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
 def window_starts(docs: DataFrame, items: DataFrame, words: int, similarity: float) -> DataFrame:
     """``doc``, ``text_hash``, ``size`` and ``starts``: where windows of an item size can be similar enough."""
     shingle_sizes = items.select(F.explode("shingles").alias("h"), "size").distinct()
-    if shingle_sizes.count() <= BROADCAST_SHINGLES:
-        shingle_sizes = F.broadcast(shingle_sizes)
     each = docs.select("doc", "text_hash", F.posexplode(shingle_hashes(F.col("text"), words)).alias("pos", "h"))
-    hits = each.join(shingle_sizes, "h").groupBy("doc", "text_hash", "size").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    hits = each.join(sized(shingle_sizes, shingle_sizes.count()), "h").groupBy("doc", "text_hash", "size").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     need = F.ceil(F.col("size") * similarity - 1e-9).cast("int")
 
     def first_to_last(i: Column) -> Column:
@@ -117,12 +123,14 @@ def leaks(
     shingled = plain.join(starts, ["doc", "text_hash"]).select("doc", "size", "starts", shingle_hashes(F.col("text"), words).alias("all"))
     # Windows at the end of a text are shorter than the item; they keep what is there.
     windows = shingled.select("doc", "size", "all", F.explode("starts").alias("start")).withColumn("window", F.slice("all", F.col("start") + 1, F.col("size"))).drop("all")
+    n, total = items.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    keys = sized(item_keys(items, radius), n * sum(comb(w, e) for _, w in BLOCKS for e in range(radius // len(BLOCKS) + 1)))
     printed = windows.withColumn("print", simhash(F.col("window")))
     blocks = F.array(*(F.struct(F.lit(k).alias("block"), _block(F.col("print"), at, width).alias("value")) for k, (at, width) in enumerate(BLOCKS)))
     near = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius
-    met = printed.withColumn("b", F.explode(blocks)).select("*", "b.block", "b.value").join(item_keys(items, radius), ["size", "block", "value"]).filter(near)
+    met = printed.withColumn("b", F.explode(blocks)).select("*", "b.block", "b.value").join(keys, ["size", "block", "value"]).filter(near)
     pairs = met.select("doc", "item", "start", "size", "window").distinct()
-    weights = items.select(F.col("item").alias("of"), "shingles")
+    weights = sized(items.select(F.col("item").alias("of"), "shingles"), total)
     found = pairs.join(weights, F.col("item") == F.col("of"))
     held = F.size(F.filter("shingles", lambda s: F.array_contains("window", s)))
     scored = found.withColumn("similarity", held / F.col("size")).filter(F.col("similarity") >= similarity)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import bpe, decontam, lines, quality, simhash
+from quantloom.llm import bpe, decontam, lines, packing, quality, simhash, urls
+from quantloom.session import scratch_folder
 
 QUERIES = {}
 SQL = {}
@@ -26,6 +29,22 @@ def register(f):
     return f
 
 
+#: The rules of the query.
+URL_RULES = (
+    urls.UrlRule("block", "com", "/en/"),
+    urls.UrlRule("allow", "example.com", "/en/7"),
+    urls.UrlRule("allow", "net", "/de/"),
+    urls.UrlRule("block", "example.net", "/de/8"),
+    urls.UrlRule("block", "org", "/es/"),
+)
+
+
+@register
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, fitting rule and verdict of every page."""
+    return urls.judge(table(spark, folder, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
 @register
 def op2_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every text and the text they decode to, as digests."""
@@ -64,6 +83,29 @@ def op8_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@register
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, from the files written for all documents."""
+    files = f"{scratch_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    packing.write(table(spark, folder, "documents"), files, vocabulary("word_bpe_49k.json"), end_id=2)
+    read = packing.checksums(packing.read(spark, files))
+    return read.select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+
+
+SQL["op1_url_filter"] = r"""
+WITH parts AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
+),
+rules(verdict, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+fits AS (
+  SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+  FROM split JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id
+)
+SELECT s.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM split s LEFT JOIN fits USING (page_id)
+"""
+
 SQL["op7_line_dedup"] = r"""
 WITH lines AS (
   SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
