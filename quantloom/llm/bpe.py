@@ -36,8 +36,9 @@ WHITE = "\t-\r \x85\xa0  -     　"
 NO_RANK = 1 << 30
 #: Pieces up to this many bytes are merged many at once.
 SHORT = 32
-#: Chunks whose ids a task keeps.
-KEPT_CHUNKS = 300_000
+MERGED_AT_ONCE = 8192
+#: Chunks, and pieces, whose ids a task keeps.
+KEPT_CHUNKS = 600_000
 #: Size limit of a vocabulary file, which every executor holds.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -208,74 +209,78 @@ class ByteBpe:
         self.split = regex.compile(PATTERN).findall
         self.chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.cache: dict[str, list[int]] = {}
+        # Ids as little-endian 32-bit numbers, by piece and by chunk.
+        self.known_pieces: dict[str, bytes] = {}
+        self.known_chunks: dict[str, bytes] = {}
 
-    def pieces_ids(self, pieces: list[str]) -> list[list[int]]:
+    def pieces_ids(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces that the split pattern has made."""
-        out: list[list[int]] = [[]] * len(pieces)
+        out = [b""] * len(pieces)
         by_width: dict[int, list[int]] = {}
         data = [p.encode("utf-8", "surrogatepass") for p in pieces]
         for k, b in enumerate(data):
             if len(b) > SHORT:
-                out[k] = self.merger.merge(self.first[np.frombuffer(b, np.uint8)].tolist())
+                out[k] = np.array(self.merger.merge(self.first[np.frombuffer(b, np.uint8)].tolist()), "<i4").tobytes()
             else:
                 by_width.setdefault(max(2, 1 << (len(b) - 1).bit_length()), []).append(k)
         for width, members in by_width.items():
-            for at in range(0, len(members), 8192):
-                part = members[at : at + 8192]
+            for at in range(0, len(members), MERGED_AT_ONCE):
+                part = members[at : at + MERGED_AT_ONCE]
                 raw = np.frombuffer(b"".join(data[k].ljust(width, b"\0") for k in part), np.uint8).reshape(-1, width)
                 lengths = np.array([len(data[k]) for k in part])
                 ids = self.merger.merge_many(np.where(np.arange(width) < lengths[:, None], self.first[raw], -1))
-                for k, row in zip(part, ids.tolist(), strict=True):
-                    out[k] = [x for x in row if x >= 0]
+                kept = ids >= 0
+                flat = ids[kept].astype("<i4").tobytes()
+                ends = (4 * np.cumsum(kept.sum(axis=1))).tolist()
+                for k, a, b in zip(part, [0, *ends], ends):
+                    out[k] = flat[a:b]
         return out
 
     def learn(self, chunks: set[str]) -> None:
-        """Put the ids of new chunks into the cache."""
-        if len(self.cache) + len(chunks) > KEPT_CHUNKS:
-            self.cache.clear()
-        chunks = [c for c in chunks if c not in self.cache]
-        pieces = [self.split(c) for c in chunks]
-        distinct = {p: k for k, p in enumerate(dict.fromkeys(p for ps in pieces for p in ps))}
-        ids = self.pieces_ids(list(distinct))
-        for c, ps in zip(chunks, pieces, strict=True):
-            self.cache[c] = [i for p in ps for i in ids[distinct[p]]]
+        """Put the ids of chunks that are not known into the cache."""
+        if len(self.known_chunks) + len(chunks) > KEPT_CHUNKS:
+            self.known_chunks.clear()
+        split = {c: self.split(c) for c in chunks}
+        new = set().union(*split.values()).difference(self.known_pieces)
+        if len(self.known_pieces) + len(new) > KEPT_CHUNKS:
+            self.known_pieces.clear()
+            new = set().union(*split.values())
+        listed = list(new)
+        self.known_pieces.update(zip(listed, self.pieces_ids(listed), strict=True))
+        get = self.known_pieces.__getitem__
+        for c, pieces in split.items():
+            self.known_chunks[c] = b"".join(map(get, pieces))
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        cut: list[list[tuple[int, list[str]]]] = []
-        new: set[str] = set()
+        """The ids of each text."""
+        cut: list[list[str]] = []
         for t in texts:
-            parts = []
-            for part in (self.parts(t) if self.parts else [t]) if t else []:
-                if part in self.special:
-                    parts.append((self.special[part], []))
-                elif part:
-                    found = self.chunks(part)
-                    new.update(found)
-                    parts.append((-1, found))
-            cut.append(parts)
-        new.difference_update(self.cache)
-        if len(self.cache) + len(new) > KEPT_CHUNKS:
-            new = {c for parts in cut for _, found in parts for c in found}
-            self.cache.clear()
-        self.learn(new)
-        out = []
-        ids_of = self.cache.__getitem__
-        for parts in cut:
-            ids: list[int] = []
-            for special, found in parts:
-                if special >= 0:
-                    ids.append(special)
-                for x in map(ids_of, found):
-                    ids += x
-            out.append(np.array(ids, np.int32))
-        return out
+            if not t:
+                cut.append([])
+            elif self.parts and any(x in t for x in self.special):
+                cut.append([c for part in self.parts(t) for c in ([part] if part in self.special else self.chunks(part))])
+            else:
+                cut.append(self.chunks(t))
+        used = set().union(*cut)
+        new = used.difference(self.known_chunks)
+        if len(self.known_chunks) + len(new) > KEPT_CHUNKS:
+            self.known_chunks.clear()
+            new = used
+        self.learn(new.difference(self.special))
+        for x in new.intersection(self.special):
+            self.known_chunks[x] = np.array([self.special[x]], "<i4").tobytes()
+        get = self.known_chunks.__getitem__
+        return [np.frombuffer(b"".join(map(get, c)), "<i4") for c in cut]
 
     def decode(self, ids: Iterable[int]) -> str:
         n = len(self.bytes)
         known = self.bytes
         return b"".join([known[i] for i in ids if 0 <= i < n]).decode("utf-8", "replace")
 
+    def decode_known(self, ids: np.ndarray) -> str:
+        """``decode`` of ids that the vocabulary has."""
+        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+
 
 _CODERS: dict[int, ByteBpe] = {}
 
@@ -314,7 +319,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
             arrays = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))]
-            return [*arrays, [bpe.decode(x.tolist()) for x in ids]] if decoded else arrays
+            return [*arrays, [bpe.decode_known(x) for x in ids]] if decoded else arrays
 
         return run
 

@@ -33,8 +33,9 @@ from quantloom.llm.common import map_texts, partitions
 
 #: Blocks hold about this many packed bytes, one document at least.
 BLOCK_BYTES = 1 << 20
-#: Chunks whose ids a task keeps.
-KEPT_CHUNKS = 300_000
+#: Runs whose ids a task keeps, and for which the library is asked at once.
+KEPT_CHUNKS = 600_000
+ASKED_AT_ONCE = 4000
 MAX_VOCABULARY_BYTES = 64 << 20
 BLOCKS = "shard int, block int, first_id long, last_id long, width int, before long, n_ids long, ids array<long>, lengths array<long>, groups array<long>, payload binary"
 
@@ -72,32 +73,75 @@ def unpack(payload: bytes, width: int, first: int = 0, n: int | None = None) ->
     return out.ravel()[:n].astype(np.uint32)
 
 
+#: Characters of texts that may be cut at the ends of runs of letters, and the runs.
+#: These letters have no other composed form, and without an apostrophe the split pattern
+#: of the vocabulary ends a piece wherever such a run begins or ends.
+PLAIN_TEXT = r"[ -&(-~\nÀ-ÖØ-öø-ÿ]*"
+PLAIN_RUNS = r"[a-zß-öø-ÿ]+|[^ \na-zß-öø-ÿ]+"
+
+
 class ChunkEncoder:
-    """The tokenizers library, asked once per chunk between spaces and line ends.
+    """The tokenizers library, asked once per run of letters, or of other characters, of a text.
 
-    Only for vocabularies that drop white space and never join text across it;
-    special tokens must hold no white space.
+    Only for vocabularies that lower-case, drop white space and split at the ends
+    of words; texts with other characters are cut at spaces and line ends only.
+    Special tokens must hold no white space.
     """
 
     def __init__(self, description: str):
+        import json
+        import re
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(description)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.known: dict[str, bytes] = {}
+        described = json.loads(description)
+        self.special = [t["content"] for t in described.get("added_tokens") or []]
+        suffix = described["model"].get("end_of_word_suffix")
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = bool(suffix) and token.endswith(suffix)
+        self.plain = re.compile(PLAIN_TEXT).fullmatch
+        self.runs = re.compile(PLAIN_RUNS).findall
+
+    def chunks(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if self.plain(text) and not any(x in text for x in self.special):
+            return self.runs(text.lower())
+        return text.replace("\n", " ").split(" ")
+
+    def learn(self, new: list[str]) -> None:
+        words = [c for c in new if c.isascii() and c.isalpha()]
+        rest = [c for c in new if not (c.isascii() and c.isalpha())]
+        for at in range(0, len(words), ASKED_AT_ONCE):
+            part = words[at : at + ASKED_AT_ONCE]
+            # One call for many words: a word ends with the token that says so.
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) != len(part):
+                rest += part
+                continue
+            data = ids.tobytes()
+            for c, a, b in zip(part, [0, *ends], ends):
+                self.known[c] = data[a:b]
+        for at in range(0, len(rest), ASKED_AT_ONCE):
+            part = rest[at : at + ASKED_AT_ONCE]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[c] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers, then ``end``."""
-        cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = set().union(*cut).difference(self.known)
+        cut = [self.chunks(t) for t in texts]
+        used = set().union(*cut)
+        new = used.difference(self.known)
         if len(self.known) + len(new) > KEPT_CHUNKS:
             self.known.clear()
-            new = set().union(*cut)
-        if new:
-            listed = list(new)
-            for c, e in zip(listed, self.tokenizer.encode_batch_fast(listed, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
+            new = used
+        self.learn(list(new))
         get = self.known.__getitem__
         return [b"".join(map(get, c)) + end for c in cut]
 
