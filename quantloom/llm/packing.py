@@ -18,6 +18,7 @@ table gives no blocks.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ from quantloom.llm.common import map_texts, partitions
 #: Blocks hold about this many packed bytes, one document at least.
 BLOCK_BYTES = 1 << 20
 #: Runs whose ids a task keeps, and for which the library is asked at once.
-KEPT_CHUNKS = 600_000
+KEPT_CHUNKS = 400_000
 ASKED_AT_ONCE = 4000
 MAX_VOCABULARY_BYTES = 64 << 20
 BLOCKS = "shard int, block int, first_id long, last_id long, width int, before long, n_ids long, ids array<long>, lengths array<long>, groups array<long>, payload binary"
@@ -88,8 +89,8 @@ class ChunkEncoder:
     Special tokens must hold no white space.
     """
 
-    def __init__(self, description: str):
-        import json
+    def __init__(self, description: str, special: list[str], last: bytes):
+        """``last``: one byte per id, not zero if the token ends a word."""
         import re
 
         from tokenizers import Tokenizer
@@ -97,87 +98,107 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_str(description)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known: dict[str, bytes] = {}
-        described = json.loads(description)
-        self.special = [t["content"] for t in described.get("added_tokens") or []]
-        suffix = described["model"].get("end_of_word_suffix")
-        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.last[i] = bool(suffix) and token.endswith(suffix)
+        self.words = Tokenizer.from_str(description)
+        self.words.normalizer = None  # it does not change lower-case letters without accents
+        self.special = special
+        self.last = np.frombuffer(last, bool)
         self.plain = re.compile(PLAIN_TEXT).fullmatch
         self.runs = re.compile(PLAIN_RUNS).findall
+        # Ids as little-endian 32-bit numbers: of chunks between spaces of plain texts and of others, and of runs.
+        self.plain_chunks: dict[str, bytes] = {}
+        self.other_chunks: dict[str, bytes] = {}
+        self.known_runs: dict[str, bytes] = {}
+
+    def _ask(self, chunks: list[str], into: dict[str, bytes]) -> None:
+        for at in range(0, len(chunks), ASKED_AT_ONCE):
+            part = chunks[at : at + ASKED_AT_ONCE]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                into[c] = np.array(e.ids, "<u4").tobytes()
 
-    def chunks(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        if self.plain(text) and not any(x in text for x in self.special):
-            return self.runs(text.lower())
-        return text.replace("\n", " ").split(" ")
-
-    def learn(self, new: list[str]) -> None:
-        words = [c for c in new if c.isascii() and c.isalpha()]
-        rest = [c for c in new if not (c.isascii() and c.isalpha())]
+    def _ask_words(self, words: list[str]) -> None:
+        """One call for many words: a word ends with the token that says so."""
         for at in range(0, len(words), ASKED_AT_ONCE):
             part = words[at : at + ASKED_AT_ONCE]
-            # One call for many words: a word ends with the token that says so.
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.words.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
             if len(ends) != len(part):
-                rest += part
+                self._ask(part, self.known_runs)
                 continue
             data = ids.tobytes()
             for c, a, b in zip(part, [0, *ends], ends):
-                self.known[c] = data[a:b]
-        for at in range(0, len(rest), ASKED_AT_ONCE):
-            part = rest[at : at + ASKED_AT_ONCE]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
+                self.known_runs[c] = data[a:b]
+
+    def _learn_plain(self, chunks: set[str]) -> None:
+        cut = {c: self.runs(c) for c in chunks}
+        new = set().union(*cut.values()).difference(self.known_runs)
+        if len(self.known_runs) + len(new) > KEPT_CHUNKS:
+            self.known_runs.clear()
+            new = set().union(*cut.values())
+        self._ask_words([c for c in new if c.isascii() and c.isalpha()])
+        self._ask([c for c in new if not (c.isascii() and c.isalpha())], self.known_runs)
+        get = self.known_runs.__getitem__
+        for c, runs in cut.items():
+            self.plain_chunks[c] = b"".join(map(get, runs))
 
     def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers, then ``end``."""
-        cut = [self.chunks(t) for t in texts]
-        used = set().union(*cut)
-        new = used.difference(self.known)
-        if len(self.known) + len(new) > KEPT_CHUNKS:
-            self.known.clear()
-            new = used
-        self.learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) + end for c in cut]
+        plain = [bool(t) and self.plain(t) is not None and not any(x in t for x in self.special) for t in texts]
+        cut = [((t.lower() if p else t).replace("\n", " ").split(" ") if t else []) for t, p in zip(texts, plain, strict=True)]
+        for kind, known in ((True, self.plain_chunks), (False, self.other_chunks)):
+            used = set().union(*(c for c, p in zip(cut, plain, strict=True) if p == kind))
+            new = used.difference(known)
+            if len(known) + len(new) > KEPT_CHUNKS:
+                known.clear()
+                new = used
+            self._learn_plain(new) if kind else self._ask(list(new), known)
+        get = {True: self.plain_chunks.__getitem__, False: self.other_chunks.__getitem__}
+        return [b"".join(map(get[p], c)) + end for c, p in zip(cut, plain, strict=True)]
 
 
 _ENCODERS: dict[int, ChunkEncoder] = {}
 
 
-def _encoder(description: str) -> ChunkEncoder:
+def _encoder(description: str, special: list[str], last: bytes) -> ChunkEncoder:
     key = hash(description)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = ChunkEncoder(description)
+        _ENCODERS[key] = ChunkEncoder(description, special, last)
     return _ENCODERS[key]
 
 
-def packed_documents(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row ``id``, the number of ids ``n`` and their ``packed`` bytes."""
+def vocabulary_facts(path: str) -> tuple[str, list[str], bytes]:
+    """What ``ChunkEncoder`` takes, from a vocabulary file read on the driver."""
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         description = f.read(MAX_VOCABULARY_BYTES + 1)
     if len(description) > MAX_VOCABULARY_BYTES:
         raise ValueError(f"{path} is larger than {MAX_VOCABULARY_BYTES} bytes")
-    width = width_of(max(Tokenizer.from_str(description).get_vocab_size(), end_id + 1))
-    sent = docs.sparkSession.sparkContext.broadcast(description)
+    described = json.loads(description)
+    suffix = described["model"].get("end_of_word_suffix")
+    vocab = Tokenizer.from_str(description).get_vocab()
+    last = np.zeros(max(vocab.values()) + 1, bool)
+    for token, i in vocab.items():
+        last[i] = bool(suffix) and token.endswith(suffix)
+    return description, [t["content"] for t in described.get("added_tokens") or []], last.tobytes()
+
+
+def packed_documents(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row ``id``, the number of ids ``n``, their ``packed`` bytes and the ``width``."""
+    facts = vocabulary_facts(path)
+    width = width_of(max(len(facts[2]), end_id + 1))
+    sent = docs.sparkSession.sparkContext.broadcast(facts)
     end = np.array([end_id], "<u4").tobytes()
 
     def start():
         def run(texts: list[str | None]):
-            ids = _encoder(sent.value).encode(texts, end)
+            ids = _encoder(*sent.value).encode(texts, end)
             return [[len(x) // 4 for x in ids], [pack(np.frombuffer(x, "<u4"), width) for x in ids]]
 
         return run
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = map_texts(plain, "text", ["id"], [("n", T.LongType()), ("packed", T.BinaryType())], start)
+    out = map_texts(plain, "text", ["id"], [("n", T.LongType()), ("packed", T.BinaryType())], start, limit=1 << 20)
     return out.withColumn("width", F.lit(width))
 
 
