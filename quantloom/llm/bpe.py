@@ -22,15 +22,22 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.common import map_texts
+from quantloom.llm.common import IdStore, map_texts
 
 #: The pattern that splits text before merging, and Unicode's white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A character that marks cuts, and two places where a piece always ends: before white space, and
+#: after the last of some letters. Texts that hold the character are cut in Python.
+MARK = "\x01"
+BEFORE_WHITE = f"([^{WHITE}])([{WHITE}])"
+AFTER_LETTER = rf"(\p{{L}})([^\p{{L}}{MARK}])"
 
 #: Rank of a pair that cannot be merged.
 NO_RANK = 1 << 30
@@ -209,9 +216,7 @@ class ByteBpe:
         self.split = regex.compile(PATTERN).findall
         self.chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        # Ids as little-endian 32-bit numbers, by piece and by chunk.
-        self.known_pieces: dict[str, bytes] = {}
-        self.known_chunks: dict[str, bytes] = {}
+        self.known = IdStore(self.learn, KEPT_CHUNKS)
 
     def pieces_ids(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces that the split pattern has made."""
@@ -236,41 +241,28 @@ class ByteBpe:
                     out[k] = flat[a:b]
         return out
 
-    def learn(self, chunks: set[str]) -> None:
-        """Put the ids of chunks that are not known into the cache."""
-        if len(self.known_chunks) + len(chunks) > KEPT_CHUNKS:
-            self.known_chunks.clear()
-        split = {c: self.split(c) for c in chunks}
-        new = set().union(*split.values()).difference(self.known_pieces)
-        if len(self.known_pieces) + len(new) > KEPT_CHUNKS:
-            self.known_pieces.clear()
-            new = set().union(*split.values())
-        listed = list(new)
-        self.known_pieces.update(zip(listed, self.pieces_ids(listed), strict=True))
-        get = self.known_pieces.__getitem__
-        for c, pieces in split.items():
-            self.known_chunks[c] = b"".join(map(get, pieces))
-
-    def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        """The ids of each text."""
-        cut: list[list[str]] = []
-        for t in texts:
-            if not t:
-                cut.append([])
-            elif self.parts and any(x in t for x in self.special):
-                cut.append([c for part in self.parts(t) for c in ([part] if part in self.special else self.chunks(part))])
-            else:
-                cut.append(self.chunks(t))
-        used = set().union(*cut)
-        new = used.difference(self.known_chunks)
-        if len(self.known_chunks) + len(new) > KEPT_CHUNKS:
-            self.known_chunks.clear()
-            new = used
-        self.learn(new.difference(self.special))
-        for x in new.intersection(self.special):
-            self.known_chunks[x] = np.array([self.special[x]], "<i4").tobytes()
-        get = self.known_chunks.__getitem__
-        return [np.frombuffer(b"".join(map(get, c)), "<i4") for c in cut]
+    def learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks as little-endian 32-bit numbers."""
+        split = [[c] if c in self.special else self.split(c) for c in chunks]
+        pieces = list(set().union(*split).difference(self.special))
+        found = dict(zip(pieces, self.pieces_ids(pieces), strict=True))
+        found.update((x, np.array([i], "<i4").tobytes()) for x, i in self.special.items())
+        return [b"".join(map(found.__getitem__, p)) for p in split]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and their number per text."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        plain = pc.invert(pc.match_substring(texts, MARK))
+        for x in self.special:
+            plain = pc.and_not(plain, pc.match_substring(texts, x))
+        if pc.all(plain).as_py() is not False:
+            marked = pc.replace_substring_regex(texts, BEFORE_WHITE, f"\\1{MARK}\\2")
+            return self.known.encode(pc.split_pattern(pc.replace_substring_regex(marked, AFTER_LETTER, f"\\1{MARK}\\2"), MARK))
+        cut = []
+        for t in texts.to_pylist():
+            parts = self.parts(t) if self.parts else [t]
+            cut.append([c for part in parts for c in ([part] if part in self.special else self.chunks(part))])
+        return self.known.encode(pa.array(cut, pa.list_(pa.string())))
 
     def decode(self, ids: Iterable[int]) -> str:
         n = len(self.bytes)
@@ -310,21 +302,18 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     sent = _description(docs, path)
 
     def start():
-        import pyarrow as pa
-
         bpe = coder(sent.value)
 
-        def run(texts: list[str | None]):
-            ids = bpe.encode(texts)
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            arrays = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))]
-            return [*arrays, [bpe.decode_known(x) for x in ids]] if decoded else arrays
+        def run(texts: pa.Array):
+            ids, counts = bpe.encode(texts)
+            ends = np.concatenate(([0], np.cumsum(counts)))
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            return [lists, [bpe.decode_known(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]] if decoded else [lists]
 
         return run
 
     more = [("ids", T.ArrayType(T.IntegerType())), *([("decoded", T.StringType())] if decoded else [])]
-    out = map_texts(plain, "text", ["doc_id", *(["text"] if keep_text else [])], more, start, limit=2 << 20)
+    out = map_texts(plain, "text", ["doc_id", *(["text"] if keep_text else [])], more, start, limit=4 << 20, arrow=True)
     return out.withColumnRenamed("text", keep_text) if keep_text else out
 
 

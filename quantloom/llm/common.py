@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,7 +58,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = BATCH_BYTES) -> Iterat
     if not batch.num_rows:
         return
     column = batch.column(text)
-    sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, size in enumerate(sizes):
         if held and held + size > limit:
@@ -68,12 +70,12 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = BATCH_BYTES) -> Iterat
 
 def map_texts(
     df: DataFrame, text: str, keep: Sequence[str], more: Sequence[tuple[str, T.DataType]],
-    start: Callable[[], Callable[[list[str | None]], Sequence[pa.Array | Iterable]]], limit: int = BATCH_BYTES,
+    start: Callable[[], Callable[[list[str | None]], Sequence[pa.Array | Iterable]]], limit: int = BATCH_BYTES, arrow: bool = False,
 ) -> DataFrame:
     """``keep`` columns plus columns computed from whole texts, in one Arrow pass without a shuffle.
 
     ``start`` is called once per task and gives the function from a list of texts
-    to one array or list per new column.
+    (an Arrow array with ``arrow``) to one array or list per new column.
     """
     source = df.select(*dict.fromkeys([*keep, text]))
     schema = T.StructType([*(source.schema[c] for c in keep), *(T.StructField(n, t) for n, t in more)])
@@ -81,14 +83,55 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        import pyarrow.compute  # noqa: F401
-
         kinds = [to_arrow_type(t) for _, t in more]
         function = start()
         for batch in batches:
             for piece in slices(batch, text, limit):
-                made = function(piece.column(text).to_pylist())
+                made = function(piece.column(text) if arrow else piece.column(text).to_pylist())
                 arrays = [m if isinstance(m, pa.Array) else pa.array(m, type=k) for m, k in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *arrays], names=[*keep, *(n for n, _ in more)])
 
     return source.mapInArrow(run, schema)
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its count, one after another."""
+    counts = np.asarray(counts, np.int64)
+    ends = np.cumsum(counts)
+    return np.repeat(np.asarray(starts, np.int64) - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class IdStore:
+    """Ids of text chunks, learned once and kept up to a number of chunks."""
+
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], limit: int):
+        """``learn`` gives the ids of new chunks as little-endian 32-bit numbers."""
+        self.learn, self.limit = learn, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.row: dict[str, int] = {}
+        self.starts, self.counts, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4")
+
+    def rows(self, chunks: list[str]) -> np.ndarray:
+        new = [c for c in chunks if c not in self.row]
+        if len(self.row) + len(new) > self.limit:
+            self.clear()
+            new = chunks
+        if new:
+            ids = self.learn(new)
+            counts = np.array([len(x) // 4 for x in ids], np.int64)
+            self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(counts) - counts))
+            self.counts = np.concatenate((self.counts, counts))
+            self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(ids), "<u4")))
+            self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
+        return np.array([self.row[c] for c in chunks], np.int64)
+
+    def encode(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lists of chunks one after another, and their number per list."""
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values[offsets[0] : offsets[-1]].dictionary_encode()
+        rows = self.rows(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+        counts = self.counts[rows]
+        upto = np.concatenate(([0], np.cumsum(counts)))
+        return self.flat[spread(self.starts[rows], counts)], np.diff(upto[offsets - offsets[0]])

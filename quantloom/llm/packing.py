@@ -24,18 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quantloom.llm.common import map_texts, partitions
+from quantloom.llm.common import IdStore, map_texts, partitions, spread
 
 #: Blocks hold about this many packed bytes, one document at least.
 BLOCK_BYTES = 1 << 20
 #: Runs whose ids a task keeps, and for which the library is asked at once.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 600_000
 ASKED_AT_ONCE = 4000
 MAX_VOCABULARY_BYTES = 64 << 20
 BLOCKS = "shard int, block int, first_id long, last_id long, width int, before long, n_ids long, ids array<long>, lengths array<long>, groups array<long>, payload binary"
@@ -74,25 +75,23 @@ def unpack(payload: bytes, width: int, first: int = 0, n: int | None = None) ->
     return out.ravel()[:n].astype(np.uint32)
 
 
-#: Characters of texts that may be cut at the ends of runs of letters, and the runs.
-#: These letters have no other composed form, and without an apostrophe the split pattern
-#: of the vocabulary ends a piece wherever such a run begins or ends.
-PLAIN_TEXT = r"[ -&(-~\nÀ-ÖØ-öø-ÿ]*"
-PLAIN_RUNS = r"[a-zß-öø-ÿ]+|[^ \na-zß-öø-ÿ]+"
+#: Characters of texts that may be cut where a run of letters ends, and that place.
+#: These letters have no other composed form, and the split pattern of the vocabulary ends
+#: a piece there if no apostrophe is near.
+PLAIN_TEXT = r"\A[ -&(-~\nÀ-ÖØ-öø-ÿ]*\z"
+RUN_END = r"([a-zß-öø-ÿ])([^a-zß-öø-ÿ ])"
 
 
 class ChunkEncoder:
-    """The tokenizers library, asked once per run of letters, or of other characters, of a text.
+    """The tokenizers library, asked once per chunk of text between spaces, line ends and, in
+    plain texts, ends of runs of letters.
 
     Only for vocabularies that lower-case, drop white space and split at the ends
-    of words; texts with other characters are cut at spaces and line ends only.
-    Special tokens must hold no white space.
+    of words. Special tokens must hold no white space.
     """
 
     def __init__(self, description: str, special: list[str], last: bytes):
         """``last``: one byte per id, not zero if the token ends a word."""
-        import re
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(description)
@@ -102,57 +101,53 @@ class ChunkEncoder:
         self.words.normalizer = None  # it does not change lower-case letters without accents
         self.special = special
         self.last = np.frombuffer(last, bool)
-        self.plain = re.compile(PLAIN_TEXT).fullmatch
-        self.runs = re.compile(PLAIN_RUNS).findall
-        # Ids as little-endian 32-bit numbers: of chunks between spaces of plain texts and of others, and of runs.
-        self.plain_chunks: dict[str, bytes] = {}
-        self.other_chunks: dict[str, bytes] = {}
-        self.known_runs: dict[str, bytes] = {}
-
-    def _ask(self, chunks: list[str], into: dict[str, bytes]) -> None:
+        self.plain_chunks = IdStore(self._learn_plain, KEPT_CHUNKS)
+        self.other_chunks = IdStore(self._ask, KEPT_CHUNKS)
+
+    def _ask(self, chunks: list[str]) -> list[bytes]:
+        out = []
         for at in range(0, len(chunks), ASKED_AT_ONCE):
-            part = chunks[at : at + ASKED_AT_ONCE]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                into[c] = np.array(e.ids, "<u4").tobytes()
+            found = self.tokenizer.encode_batch_fast(chunks[at : at + ASKED_AT_ONCE], add_special_tokens=False)
+            out += [np.array(e.ids, "<u4").tobytes() for e in found]
+        return out
 
-    def _ask_words(self, words: list[str]) -> None:
+    def _learn_plain(self, chunks: list[str]) -> list[bytes]:
         """One call for many words: a word ends with the token that says so."""
+        words = [c for c in chunks if c.isascii() and c.isalpha()]
+        found: dict[str, bytes] = {}
         for at in range(0, len(words), ASKED_AT_ONCE):
             part = words[at : at + ASKED_AT_ONCE]
             ids = np.array(self.words.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
-            if len(ends) != len(part):
-                self._ask(part, self.known_runs)
-                continue
-            data = ids.tobytes()
-            for c, a, b in zip(part, [0, *ends], ends):
-                self.known_runs[c] = data[a:b]
-
-    def _learn_plain(self, chunks: set[str]) -> None:
-        cut = {c: self.runs(c) for c in chunks}
-        new = set().union(*cut.values()).difference(self.known_runs)
-        if len(self.known_runs) + len(new) > KEPT_CHUNKS:
-            self.known_runs.clear()
-            new = set().union(*cut.values())
-        self._ask_words([c for c in new if c.isascii() and c.isalpha()])
-        self._ask([c for c in new if not (c.isascii() and c.isalpha())], self.known_runs)
-        get = self.known_runs.__getitem__
-        for c, runs in cut.items():
-            self.plain_chunks[c] = b"".join(map(get, runs))
-
-    def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit numbers, then ``end``."""
-        plain = [bool(t) and self.plain(t) is not None and not any(x in t for x in self.special) for t in texts]
-        cut = [((t.lower() if p else t).replace("\n", " ").split(" ") if t else []) for t, p in zip(texts, plain, strict=True)]
-        for kind, known in ((True, self.plain_chunks), (False, self.other_chunks)):
-            used = set().union(*(c for c, p in zip(cut, plain, strict=True) if p == kind))
-            new = used.difference(known)
-            if len(known) + len(new) > KEPT_CHUNKS:
-                known.clear()
-                new = used
-            self._learn_plain(new) if kind else self._ask(list(new), known)
-        get = {True: self.plain_chunks.__getitem__, False: self.other_chunks.__getitem__}
-        return [b"".join(map(get[p], c)) + end for c, p in zip(cut, plain, strict=True)]
+            if len(ends) == len(part):
+                data = ids.tobytes()
+                found.update((c, data[a:b]) for c, a, b in zip(part, [0, *ends], ends))
+        rest = [c for c in chunks if c not in found]
+        found.update(zip(rest, self._ask(rest), strict=True))
+        return [found[c] for c in chunks]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and their number per text."""
+        texts = pc.fill_null(texts, "")
+        plain = pc.match_substring_regex(texts, PLAIN_TEXT)
+        for x in self.special:
+            plain = pc.and_not(plain, pc.match_substring(texts, x))
+        plain = plain.to_numpy(zero_copy_only=False)
+        counts = np.zeros(len(texts), np.int64)
+        made = []
+        for kind, store in ((True, self.plain_chunks), (False, self.other_chunks)):
+            members = np.flatnonzero(plain == kind)
+            if len(members):
+                part = pc.replace_substring(texts.take(pa.array(members)), "\n", " ")
+                if kind:
+                    part = pc.replace_substring_regex(pc.utf8_lower(part), RUN_END, r"\1 \2")
+                ids, counts[members] = store.encode(pc.split_pattern(part, " "))
+                made.append((members, ids))
+        starts = np.cumsum(counts) - counts
+        out = np.empty(counts.sum(), "<u4")
+        for members, ids in made:
+            out[spread(starts[members], counts[members])] = ids
+        return out, counts
 
 
 _ENCODERS: dict[int, ChunkEncoder] = {}
@@ -188,17 +183,26 @@ def packed_documents(docs: DataFrame, path: str, end_id: int, id_col: str, text_
     facts = vocabulary_facts(path)
     width = width_of(max(len(facts[2]), end_id + 1))
     sent = docs.sparkSession.sparkContext.broadcast(facts)
-    end = np.array([end_id], "<u4").tobytes()
 
     def start():
-        def run(texts: list[str | None]):
-            ids = _encoder(*sent.value).encode(texts, end)
-            return [[len(x) // 4 for x in ids], [pack(np.frombuffer(x, "<u4"), width) for x in ids]]
+        encoder = _encoder(*sent.value)
+
+        def run(texts: pa.Array):
+            ids, counts = encoder.encode(texts)
+            groups = -(-(counts + 1) // 8)
+            ends = np.cumsum(groups)
+            padded = np.zeros(8 * (ends[-1] if len(ends) else 0), np.uint32)
+            starts = 8 * (ends - groups)
+            padded[spread(starts, counts)] = ids
+            padded[starts + counts] = end_id
+            offsets = pa.array(np.concatenate(([0], ends * width)).astype(np.int32))
+            bits = pa.Array.from_buffers(pa.binary(), len(counts), [None, offsets.buffers()[1], pa.py_buffer(pack(padded, width))])
+            return [pa.array(counts + 1, pa.int64()), bits]
 
         return run
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = map_texts(plain, "text", ["id"], [("n", T.LongType()), ("packed", T.BinaryType())], start, limit=1 << 20)
+    out = map_texts(plain, "text", ["id"], [("n", T.LongType()), ("packed", T.BinaryType())], start, limit=8 << 20, arrow=True)
     return out.withColumn("width", F.lit(width))
 
 
