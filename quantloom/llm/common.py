@@ -90,6 +90,7 @@ def map_texts(
                 made = function(piece.column(text) if arrow else piece.column(text).to_pylist())
                 arrays = [m if isinstance(m, pa.Array) else pa.array(m, type=k) for m, k in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *arrays], names=[*keep, *(n for n, _ in more)])
+            pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema)
 

@@ -36,7 +36,7 @@ from quantloom.llm.common import IdStore, map_texts, partitions, spread
 #: Blocks hold about this many packed bytes, one document at least.
 BLOCK_BYTES = 1 << 20
 #: Runs whose ids a task keeps, and for which the library is asked at once.
-KEPT_CHUNKS = 600_000
+KEPT_CHUNKS = 400_000
 ASKED_AT_ONCE = 4000
 MAX_VOCABULARY_BYTES = 64 << 20
 BLOCKS = "shard int, block int, first_id long, last_id long, width int, before long, n_ids long, ids array<long>, lengths array<long>, groups array<long>, payload binary"
@@ -97,8 +97,6 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_str(description)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.words = Tokenizer.from_str(description)
-        self.words.normalizer = None  # it does not change lower-case letters without accents
         self.special = special
         self.last = np.frombuffer(last, bool)
         self.plain_chunks = IdStore(self._learn_plain, KEPT_CHUNKS)
@@ -117,7 +115,7 @@ class ChunkEncoder:
         found: dict[str, bytes] = {}
         for at in range(0, len(words), ASKED_AT_ONCE):
             part = words[at : at + ASKED_AT_ONCE]
-            ids = np.array(self.words.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
             if len(ends) == len(part):
                 data = ids.tobytes()
@@ -202,7 +200,7 @@ def packed_documents(docs: DataFrame, path: str, end_id: int, id_col: str, text_
         return run
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = map_texts(plain, "text", ["id"], [("n", T.LongType()), ("packed", T.BinaryType())], start, limit=8 << 20, arrow=True)
+    out = map_texts(plain, "text", ["id"], [("n", T.LongType()), ("packed", T.BinaryType())], start, limit=2 << 20, arrow=True)
     return out.withColumn("width", F.lit(width))
 
 
