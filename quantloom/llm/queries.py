@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import bpe, decontam, lines, packing, quality, simhash, urls
+from quantloom.llm import bpe, decontam, langid, lines, packing, quality, simhash, urls
 from quantloom.session import scratch_folder
 
 QUERIES = {}
@@ -55,6 +55,14 @@ def op2_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document, by a network that never saw the held-out third."""
+    docs = table(spark, folder, "documents")
+    found = langid.predict(docs, langid.fit(docs))
+    return found.withColumn("held_out", langid.is_held_out("doc_id"))
+
+
 @register
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and verdict for every document."""
