@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import bpe, decontam, langid, lines, packing, quality, simhash, urls
+from quantloom.llm import automata, bpe, decontam, langid, lines, packing, quality, simhash, urls
 from quantloom.session import scratch_folder
 
 QUERIES = {}
@@ -100,6 +100,27 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read.select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
 
+@register
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document, how many start earlier in windows of twenty, and the digest of the rest."""
+    found = automata.drop_repeated_words(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op10_substring_dedup"] = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words),
+windows AS (
+  SELECT doc_id, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS t,
+    count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS n, word FROM each
+),
+ranked AS (SELECT doc_id, i, word, n = 20 AND row_number() OVER (PARTITION BY t, n ORDER BY doc_id, i) > 1 AS again FROM windows),
+judged AS (SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS lost FROM ranked),
+kept AS (SELECT doc_id, sum(CASE WHEN lost THEN 1 ELSE 0 END) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT lost) AS kept FROM judged GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k USING (doc_id)
+"""
+
 SQL["op1_url_filter"] = r"""
 WITH parts AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 split AS (
