@@ -8,7 +8,10 @@ at different places in them. Every window is in one region, and all windows
 equal to it are in regions with the same anchor hash. So only regions whose anchor
 recurs need comparing, and they meet by anchor.
 
-An anchor that very many regions share (the edge of a passage that a large part of
+Regions that are equal as a whole are reduced to the first of them before any text
+moves: their other members hold nothing new, and every window of theirs recurs.
+
+An anchor that very many different regions share (the edge of a passage that a large part of
 all documents hold) is refined: its regions are cut into single windows that meet by
 a 128-bit hash of the window, with nothing to compare and combined before the shuffle.
 """
@@ -59,14 +62,28 @@ def gram_hashes(symbols: np.ndarray, gram: int) -> np.ndarray:
         size *= 2
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number from 0 on, and of its inverse."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = []
+        for base in (_ODD[1], pow(_ODD[1], -1, 1 << 64)):
+            factors = np.full(n, base, np.uint64)
+            factors[:1] = 1
+            _POWERS.append(np.multiply.accumulate(factors))
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 def regions_of(symbols: np.ndarray, counts: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Of texts one after another with so many symbols each: the text, first window, number of
-    windows and anchor hash of each region."""
+    windows, anchor hash and content hash of each region."""
     hashes = gram_hashes(symbols, gram)
     width = length - gram + 1
     total = len(symbols) - length + 1
     if total <= 0:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     anchor = np.empty(total, np.int64)
     for at in range(0, total, _BLOCK):
         n = min(_BLOCK, total - at)
@@ -84,12 +101,16 @@ def regions_of(symbols: np.ndarray, counts: np.ndarray, length: int, gram: int)
     start = np.arange(total)
     inside = np.flatnonzero(start + length <= ends[text])
     if not len(inside):
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     a, t = anchor[inside], text[inside]
     first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (t[1:] != t[:-1]))))
     n = np.diff(np.concatenate((first, [len(inside)])))
     place = inside[first]
-    return t[first], place - (ends - counts)[t[first]], n, hashes[a[first]]
+    # The hashes of a region's grams times growing powers, from sums up to each place.
+    up, down = _powers(len(hashes))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up, dtype=np.uint64)))
+    content = _mixed((sums[place + n + width - 1] - sums[place]) * down[place] + n.astype(np.uint64))
+    return t[first], place - (ends - counts)[t[first]], n, hashes[a[first]], content
 
 
 @dataclass(frozen=True)
@@ -102,122 +123,154 @@ class Kind:
     symbols: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
     form: Callable[[bytes], Sequence]
     cut: Callable[[Sequence, int, int], bytes]
+    piece: int = 4 << 20  # text bytes whose symbols are looked at together
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id`` and ``text`` of all rows, with ``id`` and ``th``, which say what is the same document."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return own.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "th": F.hash(F.coalesce("text", F.lit("")))})
 
 
 def _batch(names: str, *arrays) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=names.split())
 
 
-def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by ``h, id, th, s`` whose ``h`` is in another row too; rows that repeat count once."""
-    held, met = None, False
-    for batch in batches:
-        rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(5)])
-        if held is not None:
-            rows = np.concatenate((held[:, None], rows), axis=1)
-        if not rows.shape[1]:
-            continue
-        new = np.concatenate(([True], (rows[:4, 1:] != rows[:4, :-1]).any(axis=0)))
-        rows = rows[:, new]
-        same = rows[0, 1:] == rows[0, :-1]
-        before = np.concatenate(([met if held is not None else False], same))
-        keep = before[:-1] | same
-        held, met = rows[:, -1], bool(before[-1])
-        yield _batch("h id th s n", *(rows[i, :-1][keep] for i in range(5)))
-    if held is not None and met:
-        yield _batch("h id th s n", *(held[i : i + 1] for i in range(5)))
+REGION = "h long, c long, id long, th int, s int, n int"
+#: Regions as ``reduced`` gives them: ``first`` of its content, ``again`` if the content occurs again.
+REDUCED = "h long, id long, th int, s int, n int, first boolean, again boolean"
+
 
+def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From regions sorted by all columns: those whose content has come before, and of the
+    others those whose anchor has another content or whose content comes again.
 
-ROWS = "h long, id long, th long, s long, n long"
+    One region is held from batch to batch, however many share an anchor.
+    """
+    empty = [np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32)]
+    last = lead = empty  # the last row, and the first row of its content
+    lead_again = lead_met = False
 
+    def out(rows: list[np.ndarray], first: bool, again: np.ndarray) -> pa.RecordBatch:
+        return _batch("h id th s n first again", rows[0], *rows[2:], np.full(len(rows[0]), first), again)
 
-def candidates(keyed: DataFrame, kind: Kind) -> DataFrame:
-    """Regions of all documents whose anchor recurs: ``h, id, th, s, n``."""
+    for batch in batches:
+        rows = [batch.column(i).to_numpy() for i in range(6)]
+        joined = [np.concatenate(x) for x in zip(last, rows, strict=True)]
+        held = len(last[0])
+        differs = [x[1:] != x[:-1] for x in joined]
+        new_row = np.concatenate(([True], np.logical_or.reduce(differs[:5])))[held:]
+        new_content = np.concatenate(([True], differs[0] | differs[1]))[held:]
+        if not len(new_row):
+            continue
+        copy = new_row & ~new_content
+        yield out([x[copy] for x in rows], False, np.ones(copy.sum(), bool))
+        at = np.flatnonzero(new_content)
+        copies = np.concatenate(([0], np.cumsum(copy)))
+        begins = np.concatenate(([0], at)) if len(lead[0]) else at
+        leads = [np.concatenate((x, y[at])) for x, y in zip(lead, rows, strict=True)]
+        again = np.diff(copies[np.concatenate((begins, [len(copy)]))]) > 0
+        if len(lead[0]):
+            again[0] |= lead_again
+        same = leads[0][1:] == leads[0][:-1]
+        before = np.concatenate(([lead_met if len(lead[0]) else False], same))
+        keep = (before[:-1] | same | again[:-1])
+        yield out([x[:-1][keep] for x in leads], True, again[:-1][keep])
+        lead, lead_again, lead_met = [x[-1:] for x in leads], bool(again[-1]), bool(before[-1])
+        last = [x[-1:] for x in rows]
+    if len(lead[0]) and (lead_again or lead_met):
+        yield out(lead, True, np.array([lead_again]))
+
+
+def regions(docs: DataFrame, kind: Kind) -> DataFrame:
+    """Regions of ``keyed`` documents that may hold a recurring window, as in ``REDUCED``."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text"):
-                t, s, n, h = regions_of(*kind.symbols(piece.column("text")), kind.length, kind.gram)
-                ids, ths = (piece.column(c).to_numpy()[t] for c in ("id", "th"))
-                yield _batch("h id th s n", h.view(np.int64), ids, ths, s, n)
+            for piece in slices(batch, "text", kind.piece):
+                t, s, n, h, c = regions_of(*kind.symbols(piece.column("text")), kind.length, kind.gram)
+                ids, ths = (piece.column(x).to_numpy()[t] for x in ("id", "th"))
+                yield _batch("h c id th s n", h.view(np.int64), c.view(np.int64), ids, ths, s.astype(np.int32), n.astype(np.int32))
             pa.default_memory_pool().release_unused()
 
-    found = keyed.mapInArrow(find, ROWS)
-    return found.repartition("h").sortWithinPartitions("h", "id", "th", "s").mapInArrow(_recurring, ROWS)
+    found = docs.select("id", "th", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(find, REGION)
+    return found.repartition("h").sortWithinPartitions("h", "c", "id", "th", "s").mapInArrow(_reduced, REDUCED)
 
 
 def recurring_windows(
-    docs: DataFrame, kind: Kind, judge: Callable[[list[tuple[int, int, int, int, bytes]]], list[tuple[int, int, int, int]]],
-    earlier_only: bool, id_col: str, text_col: str, heavy: int = HEAVY,
+    docs: DataFrame, kind: Kind, judge: Callable[[list[tuple[int, int, int, int, int, bool, bytes]]], list[tuple[int, int, int, int]]],
+    earlier_only: bool, heavy: int = HEAVY,
 ) -> DataFrame:
     """Per document with recurring windows: ``id``, ``th`` and ``spans``, a list of first window and number.
 
-    ``judge`` gets the regions of one or more anchors in order (id, th, s, n, bytes), together
-    with all regions of these anchors, and gives the windows that recur (id, th, s, n).
+    ``docs`` come from ``keyed``. ``judge`` gets all different regions of one or more anchors, in
+    order: (h, id, th, s, n, again, bytes), and gives the windows that recur as (id, th, s, n).
     With ``earlier_only`` the first of equal windows does not count as recurring.
     """
-    keyed = _keyed(docs, id_col, text_col)
-    rows = stored(candidates(keyed, kind), "regions")
-    many = rows.groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") > heavy).select("h", F.lit(True).alias("many"))
-    marked = rows.join(many, "h", "left").withColumn("many", F.coalesce("many", F.lit(False)))
-    lists = marked.groupBy("id", "th").agg(F.collect_list(F.struct("s", "n", "h", "many")).alias("regions"))
-    joined = keyed.join(lists, ["id", "th"])
+    rows = stored(regions(docs, kind), "regions")
+    # Whole regions that recur: the copies, and if any of equals counts, the first as well.
+    whole = rows.filter(~F.col("first") if earlier_only else F.col("again")).select("id", "th", "s", "n")
+    leads = rows.filter("first")
+    groups = leads.groupBy("h").agg(F.count("*").alias("different")).filter("different > 1")
+    marked = leads.join(groups, "h").withColumn("many", F.col("different") > heavy)
+    lists = marked.groupBy("id", "th").agg(F.collect_list(F.struct("s", "n", "h", "again", "many")).alias("regions"))
+    joined = docs.join(lists, ["id", "th"])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             for piece in slices(batch, "text", 1 << 20):
-                out = [[] for _ in range(8)]
-                for i, th, text, regions in zip(*(piece.column(c).to_pylist() for c in ("id", "th", "text", "regions")), strict=True):
-                    form = kind.form(text.encode("utf-8", "surrogatepass"))
-                    for r in regions:
-                        parts = [(r["s"] + k, 1) for k in range(r["n"])] if r["many"] else [(r["s"], r["n"])]
-                        for s, n in parts:
-                            data = kind.cut(form, s, n + kind.length - 1)
-                            two = xxhash.xxh128_intdigest(data) if r["many"] else 0
-                            row = (two >> 64, two & (2**64 - 1)) if r["many"] else (r["h"] & (2**64 - 1), 0)
-                            for column, v in zip(out, (*row, i, th, s, n, r["many"], b"" if r["many"] else data), strict=True):
+                out: list[list] = [[] for _ in range(9)]
+                for i, th, text, found in zip(*(piece.column(x).to_pylist() for x in ("id", "th", "text", "regions")), strict=True):
+                    form = kind.form((text or "").encode("utf-8", "surrogatepass"))
+                    for r in found:
+                        if r["many"]:
+                            for k in range(r["n"]):
+                                two = xxhash.xxh128_intdigest(kind.cut(form, r["s"] + k, kind.length))
+                                made = (two >> 64, two & (2**64 - 1), i, th, r["s"] + k, 1, r["again"], True, b"")
+                                for column, v in zip(out, made, strict=True):
+                                    column.append(v)
+                        else:
+                            made = (r["h"] & (2**64 - 1), 0, i, th, r["s"], r["n"], r["again"], False, kind.cut(form, r["s"], r["n"] + kind.length - 1))
+                            for column, v in zip(out, made, strict=True):
                                 column.append(v)
                 signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in out[:2]]
-                yield _batch("h h2 id th s n many data", *signed, *(pa.array(x, pa.int64()) for x in out[2:6]), pa.array(out[6], pa.bool_()), pa.array(out[7], pa.binary()))
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
+                yield _batch("h h2 id th s n again many data", *signed, *(pa.array(x, k) for x, k in zip(out[2:], kinds, strict=True)))
 
-    pieces = joined.mapInArrow(extract, "h long, h2 long, id long, th long, s long, n long, many boolean, data binary")
+    pieces = stored(joined.mapInArrow(extract, "h long, h2 long, id long, th int, s int, n int, again boolean, many boolean, data binary"), "pieces")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
-        def judged(upto: int) -> pa.RecordBatch:
-            found = judge(held[:upto])
-            return _batch("id th s n", *(pa.array([x[k] for x in found], pa.int64()) for k in range(4)))
+        def judged() -> pa.RecordBatch:
+            found = judge(held)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            return _batch("id th s n", *(pa.array([x[k] for x in found], t) for k, t in enumerate(kinds)))
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "id", "th", "s", "n", "data")), strict=True):
+            for row in zip(*(batch.column(x).to_pylist() for x in ("h", "id", "th", "s", "n", "again", "data")), strict=True):
                 if held and row[:4] == held[-1][:4]:
                     continue  # a repeated row
                 if size > SHARD_BYTES and row[0] != held[-1][0]:
-                    yield judged(len(held))
+                    yield judged()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[5])
+                size += len(row[6])
         if held:
-            yield judged(len(held))
+            yield judged()
 
-    light = pieces.filter(~F.col("many")).select("h", "id", "th", "s", "n", "data")
-    found = light.repartition("h").sortWithinPartitions("h", "id", "th", "s").mapInArrow(compare, "id long, th long, s long, n long")
-    if many.limit(1).count():
-        single = pieces.filter("many").select("h", "h2", "id", "th", "s").distinct()
-        first = single.groupBy("h", "h2").agg(F.min(F.struct("id", "th", "s")).alias("first"), F.count("*").alias("c")).filter("c > 1")
-        met = single.join(first, ["h", "h2"])
-        lost = met.filter(F.struct("id", "th", "s") != F.col("first")) if earlier_only else met
-        found = found.unionByName(lost.select("id", "th", "s", F.lit(1).cast("long").alias("n")))
-    return found.groupBy("id", "th").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
+    light = pieces.filter("not many").select("h", "id", "th", "s", "n", "again", "data")
+    found = light.repartition("h").sortWithinPartitions("h", "id", "th", "s").mapInArrow(compare, "id long, th int, s int, n int")
+    # Single windows: equal ones by hash alone, a copied region's windows count as met again.
+    single = pieces.filter("many").select("h", "h2", "id", "th", "s", "again").distinct()
+    first = single.groupBy("h", "h2").agg(F.min(F.struct("id", "th", "s")).alias("first"), F.count("*").alias("c"), F.max("again").alias("any")).filter("c > 1 or any")
+    met = single.join(first, ["h", "h2"])
+    lost = met.filter(F.struct("id", "th", "s") != F.col("first")) if earlier_only else met
+    everything = whole.unionByName(found).unionByName(lost.select("id", "th", "s", F.lit(1).alias("n")))
+    return everything.groupBy("id", "th").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
 
 
 def covered(spans: list[dict] | None, n: int, length: int) -> np.ndarray:
@@ -229,8 +282,6 @@ def covered(spans: list[dict] | None, n: int, length: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id``, ``text`` and ``spans`` (null where nothing recurs) of all rows."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = own.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return keyed.join(spans, ["id", "th"], "left").select("doc_id", "text", "spans")
+def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and ``spans`` (null where nothing recurs) of all rows of ``keyed`` documents."""
+    return docs.join(spans, ["id", "th"], "left").select("doc_id", "text", "spans")

@@ -9,9 +9,8 @@ state of the last ``length`` words tells whether they ended earlier. Shards are
 and each goes only to the task that holds the documents' regions with its anchors:
 sent to all tasks, every document would meet every shard.
 
-Regions with the same words enter an automaton once. Later copies of a region
-match the first from end to end, so the automaton's answer for one of them
-holds for all.
+Regions with the same words enter an automaton once: a later copy would match the
+first from end to end, so all its windows start earlier.
 
 Defined cases: null and blank texts have no words; rows that repeat an id and
 text are one document; other rows that repeat an id are ordered by a hash of their
@@ -27,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from quantloom.llm.anchors import Kind, covered, recurring_windows, with_spans
+from quantloom.llm.anchors import HEAVY, Kind, covered, keyed, recurring_windows, with_spans
 from quantloom.llm.common import slices
 
 LENGTH = 20
@@ -104,24 +103,19 @@ class SuffixAutomaton:
 
 
 def earlier(rows: list[tuple], length: int) -> list[tuple[int, int, int, int]]:
-    """The windows of regions (h, id, th, s, n, bytes) that start earlier among the regions."""
+    """The windows of regions (h, id, th, s, n, again, bytes), all different, that start earlier among them."""
     automaton = SuffixAutomaton()
-    firsts: dict[bytes, tuple[int, tuple]] = {}
-    out: list[tuple[int, int, int, int]] = []
+    places = []
     place = 0
     for row in rows:
-        data = row[5]
-        if data in firsts:
-            out.append(row[1:5])  # a later copy: every window of it ended earlier in the first
-            continue
-        firsts[data] = (place, row)
+        places.append(place)
         automaton.start()
-        for w in data.split():
+        for w in row[6].split():
             automaton.add(w, place)
             place += 1
-    for data, (at, row) in firsts.items():
+    out: list[tuple[int, int, int, int]] = []
+    for at, (_, i, th, s, n, _, data) in zip(places, rows, strict=True):
         begin = None
-        _, i, th, s, n, _ = row
         for k, (size, state) in enumerate(automaton.matches(data.split())):
             again = size >= length and automaton.first_end(state, length) < at + k
             window = k - length + 1
@@ -153,12 +147,12 @@ def word_kind(length: int = LENGTH, gram: int = GRAM) -> Kind:
     return Kind(length, min(gram, length), _symbols, bytes.split, lambda words, s, n: b" ".join(words[s : s + n]))
 
 
-def drop_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, heavy: int | None = None) -> DataFrame:
+def drop_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, heavy: int = HEAVY) -> DataFrame:
     """Per row ``doc_id``, ``n_words``, ``n_removed``, ``kept`` (the kept words joined by spaces) and the
     removed ``spans`` as lists of first word and number."""
     kind = word_kind(length)
-    options = {} if heavy is None else {"heavy": heavy}
-    spans = recurring_windows(docs, kind, lambda rows: earlier(rows, length), True, id_col, text_col, **options)
+    plain = keyed(docs, id_col, text_col)
+    spans = recurring_windows(plain, kind, lambda rows: earlier(rows, length), True, heavy)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,5 +168,5 @@ def drop_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_words", "n_removed", "kept", "spans"])
 
-    joined = with_spans(docs, spans, id_col, text_col)
+    joined = with_spans(plain, spans)
     return joined.mapInArrow(apply, f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept string, spans array<array<long>>")
