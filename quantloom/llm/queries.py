@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import automata, bpe, decontam, langid, lines, packing, quality, simhash, urls
+from quantloom.llm import automata, bpe, decontam, langid, lines, packing, quality, simhash, suffix, urls
 from quantloom.session import scratch_folder
 
 QUERIES = {}
@@ -70,6 +70,13 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), *quality.COUNTS[:5], "base_failed", "kept")
 
 
+@register
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document, how many lie in strings of 200 bytes that recur, and the digest of the rest."""
+    found = suffix.drop_repeated_bytes(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every document and benchmark item that it holds."""
