@@ -146,7 +146,7 @@ def synced_events(m):
     landing = f"{folder}/landing"
     source.select("event_id", "user_id", "event_type", "value").write.parquet(landing)
     schema = m.spark.read.parquet(landing).schema
-    sync.append_batches(m.spark, landing, schema, ["user_id"], f"{folder}/log", f"{folder}/checkpoint", files_per_batch=1000).awaitTermination()
+    sync.append_batches(m.spark, landing, schema, ["user_id"], f"{folder}/log", f"{folder}/checkpoint", files_per_batch=1).awaitTermination()
     return changelog.read(sync.read_log(m.spark, f"{folder}/log"), ["event_id"])
 
 
@@ -157,10 +157,10 @@ def streamed_replay(m):
     folder = scratch(m, "replay")
     m.fundamentals.write.parquet(f"{folder}/in")
     schema = m.spark.read.parquet(f"{folder}/in").schema
-    stream = m.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/in")
+    stream = m.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     job = replay.replay(stream).writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     job.awaitTermination()
-    return m.spark.read.parquet(f"{folder}/out")
+    return replay.newest(m.spark.read.parquet(f"{folder}/out"))
 
 
 query("ST2_streamed_replay", streamed_replay, "symbol available_date", list(FE), ctes="fund", extra=REPLAY, digits=4, sql=f"SELECT symbol, signal_date AS available_date, {', '.join(f'{v} AS {k}' for k, v in FE.items())} FROM x")
@@ -194,8 +194,10 @@ query("E3_audited_factors", lambda m: research.audited_factors({**bundle(m.store
 
 
 def report(m):
-    names = [r["factor_name"] for r in kept_names(m).collect()]
-    p = panel(m, sorted(names) if len(names) > 1 else NAMES[:2])
+    names = sorted(r["factor_name"] for r in kept_names(m).collect())
+    if not names:
+        raise ValueError("no factor is left to report")
+    p = panel(m, names)
     used = sorted(r["factor_name"] for r in p.select("factor_name").distinct().collect())
     return research.combination(p, p.select("factor_name").distinct().withColumn("direction", F.lit("unknown")), PERIODS, used, methods=("equal", "ic_decay", "max_icir"), hot=m.hot())["summary"]
 

@@ -95,8 +95,8 @@ x("O9_best_group", lambda m: selection.best_by(performance.performance(performan
 query("O10_consistent_factors", lambda m: selection.consistent_factors(part_summary(m).where("index_code = 'R'")), "factor_name", "weakest_ic", extra=SUMM,
       sql="""SELECT factor_name, CASE WHEN d IS NOT NULL AND v IS NOT NULL THEN least(d, v) END AS weakest_ic FROM (SELECT factor_name, max(rank_ic) FILTER (period = 'development') AS d, max(rank_ic) FILTER (period = 'validation') AS v
         FROM sm WHERE index_code = 'R' GROUP BY 1) ORDER BY weakest_ic DESC NULLS LAST, factor_name LIMIT 10""")
-query("O11_capped_sample", lambda m: selection.capped_sample(m.table("orders").select("o_orderkey"), 5000, ["o_orderkey"]).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("d")), (), "n d", ints="n d",
-      sql="SELECT least(5000, count(*)) AS n, least(5000, count(*)) AS d FROM orders")
+query("O11_keyed_sample", lambda m: selection.keyed_sample(m.table("orders").select("o_orderkey"), 0.25, ["o_orderkey"]), "o_orderkey", ints="o_orderkey",
+      sql="SELECT o_orderkey FROM orders WHERE CAST('0x' || substr(md5('42|' || o_orderkey), 1, 8) AS BIGINT) < 1073741824")
 query("O12_family_order", lambda m: selection.in_family_order(parts(m).withColumnRenamed("factor_id", "factor_name").withColumn("family", F.element_at(F.array(*[F.lit(f) for f in selection.FAMILY_ORDER]), (F.col("p_size") % 7 + 1).cast("int")))), "factor_name family", sql="SELECT 'P' || p_partkey AS factor_name, ['value', 'growth', 'momentum', 'liquidity', 'risk', 'quality', 'technical'][p_size % 7 + 1] AS family FROM part")
 query("O13_family_leaders", lambda m: selection.family_leaders(part_summary(m).where("index_code = 'R' AND period = 'validation'").join(part_directions(m).select("factor_name", F.col("hypothesis").alias("family")), "factor_name"), 3), "family factor_name", "rank_ic place", ints="place",
       extra=SUMM, sql="""SELECT * FROM (SELECT p_type AS family, factor_name, rank_ic, row_number() OVER (PARTITION BY p_type ORDER BY abs(rank_ic) DESC NULLS LAST, factor_name) AS place, count(*) OVER (PARTITION BY p_type) AS n
@@ -202,7 +202,7 @@ x("M25_latest_month_scored", lambda m: frozen(m).groupBy("signal_date").agg(F.co
 for name, method in (("M13_frozen_ridge", "ridge"), ("M27_frozen_lasso", "lasso"), ("M27_frozen_tree", "dtree")):
     query(name, lambda m, k=method: frozen(m, k, NAMES), "signal_date symbol", "prediction")
 query("M13_rank_label", lambda m: frozen(m, "ridge", NAMES, label_mode="rank"), "signal_date symbol", "prediction")
-query("M18_capped_training", lambda m: frozen(m, "ols", NAMES, cap=2000), "signal_date symbol", "prediction")
+query("M18_full_training", lambda m: frozen(m, "ols", NAMES), "signal_date symbol", "prediction")
 query("M14_walk_forward", lambda m: models.walk_forward(cut(models.feature_matrix(panel(m), NAMES)), NAMES, PERIODS, "ols", hot=m.hot()), "signal_date symbol", "prediction")
 
 
@@ -236,8 +236,9 @@ def scored_documents(m):
 
 
 query("A25_text_score", scored_documents, "doc_id", "score")
-query("A26_embedding", lambda m: models.document_vectors(m.table("documents"), "text").select("doc_id", F.size("embedding").alias("size"), F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v).alias("words")), "doc_id", "size words", ints="size",
-      sql="SELECT doc_id, 64 AS size, len(list_filter(regexp_split_to_array(lower(text), '\\W+'), lambda w: w <> ''))::DOUBLE AS words FROM documents")
+query("A26_embedding", lambda m: models.document_vectors(m.table("documents"), "text").select("doc_id", F.posexplode("embedding").alias("place", "weight")).where("weight > 0"), "doc_id place", "weight", ints="place",
+      sql=r"""SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS place, count(*) AS weight
+        FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS w FROM documents) WHERE w <> '' GROUP BY 1, 2""")
 query("A27_document_agg", lambda m: formula.document_agg(m.table("documents"), "source", "n_chars", "mean", "mean_chars"), "source", "mean_chars", sql="SELECT source, avg(n_chars) AS mean_chars FROM documents GROUP BY 1")
 
 # --- portfolios ----------------------------------------------------------------------------

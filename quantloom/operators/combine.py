@@ -183,12 +183,15 @@ def frozen_weights(weights: DataFrame, keys: Sequence[str], freeze_from: str, te
 ML_FEATURES = ("mean12", "mean3", "mean6", "spread", "last", "low", "high", "place", "breadth")
 
 
-def learning_rows(history: DataFrame, months: int = 36) -> DataFrame:
-    """Per factor and month: features of its previous 12 values, the target, and the final scoring row (null target)."""
-    dates = history.select("signal_date").distinct()
-    w0 = Window.partitionBy(F.lit(0)).orderBy(F.desc("signal_date"))
-    recent = dates.withColumn("__back", F.row_number().over(w0)).where(F.col("__back") <= months)
-    rows = history.join(recent, "signal_date")
+def learning_rows(history: DataFrame, months: int | None = None) -> DataFrame:
+    """Per factor and month: features of its previous 12 values, the target, and the final scoring row (null target).
+
+    ``months`` keeps only the last so many dates; all of them if not given.
+    """
+    rows = history
+    if months is not None:
+        recent = history.select("signal_date").distinct().orderBy(F.desc("signal_date")).limit(months)
+        rows = history.join(recent, "signal_date")
     month = Window.partitionBy("signal_date")
     rows = rows.withColumns(
         {

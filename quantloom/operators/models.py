@@ -187,7 +187,6 @@ def frozen(
     *,
     label_mode: str = "return",
     label_ends: DataFrame | None = None,
-    cap: int | None = None,
     hot: bool = False,
     settings: Mapping = STOCK_MODELS,
 ) -> tuple[DataFrame, dict]:
@@ -198,8 +197,6 @@ def frozen(
     count = train.count()
     if count < MINIMUM_TRAINING:
         raise ValueError(f"development sample too small: {count}")
-    if cap is not None:
-        train = selection.capped_sample(train.where(F.col("label").isNotNull()), cap, ["signal_date", "symbol"])
     fill = medians(train, names)
     model = fit(impute(train, names, fill).where(F.col("label").isNotNull()), names, "label", method, settings)
     scored = model.predict(impute(features, names, fill))
@@ -260,6 +257,10 @@ def predictions_panel(scored: DataFrame, name: str, index_code: str = "ALL_A") -
     )
 
 
+#: What separates words: anything but letters and digits of any script.
+NO_WORD = r"[^\p{L}\p{N}]+"
+
+
 def text_model(documents: DataFrame, text: str, label: str, features: int = 1 << 12):
     """Hashed-word linear text scorer."""
     from pyspark.ml import Pipeline
@@ -267,7 +268,7 @@ def text_model(documents: DataFrame, text: str, label: str, features: int = 1 <<
     from pyspark.ml.regression import LinearRegression
 
     stages = [
-        RegexTokenizer(inputCol=text, outputCol="__words", pattern=r"\W+"),
+        RegexTokenizer(inputCol=text, outputCol="__words", pattern=NO_WORD),
         HashingTF(inputCol="__words", outputCol="__tf", numFeatures=features),
         LinearRegression(featuresCol="__tf", labelCol=label, regParam=0.1, solver="l-bfgs", maxIter=20),
     ]
@@ -275,10 +276,11 @@ def text_model(documents: DataFrame, text: str, label: str, features: int = 1 <<
 
 
 def document_vectors(documents: DataFrame, text: str, out: str = "embedding", features: int = 64) -> DataFrame:
-    """Hashed word counts as an array."""
-    from pyspark.ml.feature import HashingTF, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
+    """Word counts as an array, each word in the place that its hash gives."""
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), NO_WORD), lambda w: w != "")
+    places = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % features)
+
+    def counts(p):
+        return F.transform(F.sequence(F.lit(0), F.lit(features - 1)), lambda k: F.size(F.filter(p, lambda x: x == k)).cast("double"))
 
-    words = RegexTokenizer(inputCol=text, outputCol="__words", pattern=r"\W+").transform(documents)
-    hashed = HashingTF(inputCol="__words", outputCol="__tf", numFeatures=features).transform(words)
-    return hashed.withColumn(out, vector_to_array("__tf")).drop("__words", "__tf")
+    return documents.withColumn(out, F.element_at(F.transform(F.array(places), counts), 1))

@@ -163,20 +163,12 @@ def consistent_factors(summary: DataFrame, n: int = 10) -> DataFrame:
     return wide.withColumn("weakest_ic", weakest).orderBy(F.desc_nulls_last("weakest_ic"), "factor_name").limit(n)
 
 
-def capped_sample(df: DataFrame, cap: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
-    """At most ``cap`` rows, chosen by a keyed hash, the same on every run.
-
-    A hash threshold first leaves a little more than ``cap`` rows; only those are ranked.
-    """
-    rows = df.count()
-    if rows <= cap:
-        return df
-    draw = F.xxhash64(F.lit(seed), *keys)
-    share = min(1.0, cap / rows * 1.1 + 10.0 / rows**0.5)
-    top = int(-(2**63) + share * 2**64) if share < 1.0 else 2**63 - 1
-    near = df.withColumns({"__draw": draw, "__all": F.lit(0)}).where(F.col("__draw") <= F.lit(min(top, 2**63 - 1)))
-    ranked = groups.ranks(near, ["__all"], "__draw", list(keys), first="__k", hot=cap > groups.ROWS_PER_TASK)
-    return ranked.where(F.col("__k") <= cap).drop("__draw", "__all", "__k")
+def keyed_sample(df: DataFrame, share: float, keys: Sequence[str], seed: int = 42) -> DataFrame:
+    """About ``share`` of the rows, chosen by a hash of seed and keys: the same on every run,
+    in one pass, and growing with the input."""
+    text = F.concat_ws("|", F.lit(str(seed)), *keys)
+    draw = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return df.where(draw < int(share * 2**32))
 
 
 FAMILY_ORDER = ("value", "growth", "momentum", "liquidity", "risk", "quality", "technical")

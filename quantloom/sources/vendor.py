@@ -50,7 +50,10 @@ def broken_files(files: DataFrame) -> DataFrame:
 
 
 def decode_bars(files: DataFrame) -> DataFrame:
-    """Typed daily bars from file contents; truncated files and invalid bars are left out."""
+    """Typed daily bars from file contents; invalid bars are left out.
+
+    A truncated file fails the read; ``broken_files`` lists such files beforehand.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ("open", "high", "low", "close")
@@ -63,7 +66,8 @@ def decode_bars(files: DataFrame) -> DataFrame:
                 yield pd.DataFrame(out)
 
     schema = "symbol string, seconds long, open double, high double, low double, close double, volume double, amount double"
-    raw = files.where(whole_records()).select("symbol", "content").mapInPandas(parse, schema)
+    refused = F.raise_error(F.concat(F.lit("truncated bar file: "), "symbol")).cast("binary")
+    raw = files.select("symbol", F.when(whole_records(), F.col("content")).otherwise(refused).alias("content")).mapInPandas(parse, schema)
     return raw.withColumn("trade_date", local_day("seconds")).drop("seconds").where(pit.holds())
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 FIELDS = ("bps", "revenue", "ocfps", "net_profit", "roe", "gross_margin")
 OUTPUT = (
@@ -46,23 +47,40 @@ def outcome(state: dict) -> dict:
 
 
 def replay(disclosures: DataFrame) -> DataFrame:
-    """Figures after each release day; releases arrive in time order within a company.
+    """Figures after each release day, whatever order the filings arrive in.
 
-    The state is a company's filings so far: bounded by its reporting periods.
+    The state is a company's filings so far with their release days: bounded by its
+    reporting periods and revisions. A filing that arrives late changes the figures of
+    its release day and later ones, and those days are put out again with a larger
+    ``filings``; ``newest`` keeps the last word. A day never sees a later release, and
+    an older release never replaces a newer one.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         known = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(batches)).sort_values(["available_date", "stat_date"])
+        rows = pd.concat(list(batches))
+        for r in rows.to_dict("records"):
+            released = known.setdefault(str(r["available_date"]), {})
+            released[str(r["stat_date"])] = {f: None if pd.isna(r[f]) else float(r[f]) for f in FIELDS}
+        changed = str(rows["available_date"].min())
+        seen: dict = {}
+        filings = sum(map(len, known.values()))
         out = []
-        for day, released in rows.groupby("available_date", sort=True):
-            for r in released.to_dict("records"):
-                known[str(r["stat_date"])] = {f: None if pd.isna(r[f]) else float(r[f]) for f in FIELDS}
-            out.append({"symbol": key[0], "available_date": day, **outcome(known)})
+        for day in sorted(known):
+            seen.update(known[day])
+            if day >= changed:
+                out.append({"symbol": key[0], "available_date": pd.Timestamp(day).date(), **outcome(seen), "filings": filings})
         state.update((json.dumps(known),))
         frame = pd.DataFrame(out)
         yield frame.astype(object).where(frame.notna(), None)
 
     return disclosures.select("symbol", "stat_date", "available_date", *FIELDS).groupBy("symbol").applyInPandasWithState(
-        step, OUTPUT, "known string", "append", "NoTimeout"
+        step, f"{OUTPUT}, filings long", "known string", "append", "NoTimeout"
     )
+
+
+def newest(out: DataFrame) -> DataFrame:
+    """Per company and release day the figures put out last."""
+    figures = [c for c in out.columns if c not in ("symbol", "available_date", "filings")]
+    last = F.max_by(F.struct(*figures), "filings").alias("last")
+    return out.groupBy("symbol", "available_date").agg(last).select("symbol", "available_date", "last.*")

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -88,6 +89,21 @@ def test_stream_outcome_matches_batch(spark):
     np.testing.assert_allclose(out, [np.nan, np.nan, 160.0, 150.0])
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stream_does_not_depend_on_the_order_of_files(spark, tmp_path, seed):
+    rows = filings(spark).collect()
+    schema = filings(spark).schema
+    random.Random(seed).shuffle(rows)
+    for k, r in enumerate(rows):
+        spark.createDataFrame([r], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    job = replay.replay(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    job.awaitTermination()
+    got = replay.newest(spark.read.parquet(str(tmp_path / "out"))).orderBy("available_date").toPandas()
+    np.testing.assert_allclose(got["revenue_ttm"].astype(float), [np.nan, np.nan, 160.0, 150.0])
+    assert got["bps"].tolist() == [1.0, 1.1, 1.1, 1.3]
+
+
 def test_disclosure_rules(spark):
     good = filings(spark)
     fundamentals.require_disclosures(good)

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -156,12 +157,21 @@ def test_selection_refuses_test_figures(spark):
         selection.check_isolation(spark.createDataFrame([(dt.date(2019, 1, 1),)], "signal_date date"), "2019-01-01")
 
 
-def test_capped_sample_is_exact_and_repeatable(spark):
+def test_keyed_sample_is_repeatable_and_grows(spark):
     df = spark.range(20000).withColumnRenamed("id", "k")
-    a = {r["k"] for r in selection.capped_sample(df, 500, ["k"]).collect()}
-    b = {r["k"] for r in selection.capped_sample(df.repartition(7), 500, ["k"]).collect()}
-    assert len(a) == 500 and a == b
-    assert selection.capped_sample(df, 30000, ["k"]).count() == 20000
+    a = {r["k"] for r in selection.keyed_sample(df, 0.1, ["k"]).collect()}
+    assert a == {r["k"] for r in selection.keyed_sample(df.repartition(7), 0.1, ["k"]).collect()}
+    assert 1800 < len(a) < 2200 and a > {r["k"] for r in selection.keyed_sample(df.where("k < 5000"), 0.1, ["k"]).collect()}
+    assert selection.keyed_sample(df, 1.0, ["k"]).count() == 20000
+
+
+def test_words_keep_their_letters(spark):
+    docs = spark.createDataFrame([(1, "Été, straße été"), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["embedding"] for r in models.document_vectors(docs, "text").collect()}
+    expected = [0.0] * 64
+    for w in ("été", "straße", "été"):
+        expected[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64] += 1
+    assert got == {1: expected, 2: [0.0] * 64}
 
 
 def test_pairwise_correlation_against_pandas(spark):
