@@ -64,6 +64,7 @@ def ranks(
     first: str | None = None,
     average: str | None = None,
     count: str | None = None,
+    reverse: str | None = None,
     descending: bool = False,
     hot: bool = False,
     slices: int | None = None,
@@ -72,22 +73,29 @@ def ranks(
 
     ``first`` numbers rows uniquely, equal values in the order of ``ties``;
     ``average`` gives equal values their mean rank; ``count`` is the number of
-    non-null values. ``ties`` must make rows unique inside a group.
+    non-null values; ``reverse`` is what ``first`` would be in the other direction,
+    equal values still in the order of ``ties``. ``ties`` must make rows unique inside
+    a group. All of them come from one sort.
     """
     value = col(value)
     ties = [col(t) for t in ties]
     order = [value.desc_nulls_last() if descending else value.asc_nulls_last(), *[t.asc() for t in ties]]
     if not hot:
         group = Window.partitionBy(*keys)
+        by_value = group.orderBy(order[0])
+        number = F.row_number().over(group.orderBy(*order))
+        place = F.rank().over(by_value)
+        same = F.count(value).over(by_value.rangeBetween(Window.currentRow, Window.currentRow))
+        total = F.count(value).over(group)
         columns = {}
         if first:
-            columns[first] = F.when(value.isNotNull(), F.row_number().over(group.orderBy(*order)))
+            columns[first] = F.when(value.isNotNull(), number)
         if average:
-            same = F.count(value).over(Window.partitionBy(*keys, value))
-            place = F.rank().over(group.orderBy(order[0]))
             columns[average] = F.when(value.isNotNull(), place + (same - 1) / F.lit(2.0))
         if count:
-            columns[count] = F.count(value).over(group)
+            columns[count] = total
+        if reverse:
+            columns[reverse] = F.when(value.isNotNull(), total - same - 2 * place + 2 + number)
         return df.withColumns(columns)
 
     df = df.withColumn("__v", value)
@@ -108,20 +116,23 @@ def ranks(
         "__first", F.when(F.col("__v").isNotNull(), F.row_number().over(inside) + F.col("__offset"))
     )
     out = {}
-    if average:
+    if average or reverse:
         placed = cut(placed)
         spans = (
             placed.where(F.col("__v").isNotNull())
             .groupBy(*keys, "__v")
-            .agg(((F.min("__first") + F.max("__first")) / 2.0).alias("__average"))
+            .agg(F.min("__first").alias("__least"), F.max("__first").alias("__most"))
         )
         placed = _attach(placed, spans, [*keys, "__v"])
-        out[average] = F.col("__average")
+    if average:
+        out[average] = (F.col("__least") + F.col("__most")) / 2.0
+    if reverse:
+        out[reverse] = F.col("__total") - F.col("__most") - F.col("__least") + 1 + F.col("__first")
     if first:
         out[first] = F.col("__first")
     if count:
         out[count] = F.col("__total")
-    return placed.withColumns(out).drop("__v", "__slice", "__offset", "__total", "__first", "__average")
+    return placed.withColumns(out).drop("__v", "__slice", "__offset", "__total", "__first", "__least", "__most")
 
 
 def median(

@@ -83,8 +83,7 @@ def monthly_statistics(
     for n in value_types:
         both = F.col(f"{n}_value").isNotNull() & F.col("forward_return").isNotNull()
         df = df.withColumns({f"__v_{n}": F.when(both, F.col(f"{n}_value")), f"__f_{n}": F.when(both, F.col("forward_return"))})
-        df = groups.ranks(df, keys, f"__v_{n}", ["symbol"], first=f"__up_{n}", average=f"__r_{n}", count=f"__n_{n}", hot=hot)
-        df = groups.ranks(df, keys, f"__v_{n}", ["symbol"], first=f"__dn_{n}", descending=True, hot=hot)
+        df = groups.ranks(df, keys, f"__v_{n}", ["symbol"], first=f"__up_{n}", average=f"__r_{n}", count=f"__n_{n}", reverse=f"__dn_{n}", hot=hot)
         df = groups.ranks(df, keys, f"__f_{n}", ["symbol"], average=f"__b_{n}", hot=hot)
         df = df.withColumns(
             {

@@ -132,3 +132,14 @@ def test_hot_layers_equal(spark):
     a = cross_section.industry_layers(df).toPandas().sort_values(order).reset_index(drop=True)
     b = cross_section.industry_layers(df, hot=True).toPandas().sort_values(order).reset_index(drop=True)
     pd.testing.assert_frame_equal(a, b)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_reverse_place_equals_a_descending_rank(spark, hot):
+    rng = np.random.default_rng(3)
+    rows = [(int(k % 3), f"s{k:03d}", None if rng.random() < 0.1 else float(rng.integers(0, 6))) for k in range(200)]
+    df = spark.createDataFrame(rows, "g int, symbol string, v double")
+    up = groups.ranks(df, ["g"], "v", ["symbol"], first="up", reverse="down", hot=hot, **({"slices": 5} if hot else {}))
+    other = groups.ranks(df, ["g"], "v", ["symbol"], first="expected", descending=True).select("symbol", "expected")
+    got = up.join(other, "symbol").collect()
+    assert len(got) == 200 and all(r["down"] == r["expected"] for r in got)
