@@ -9,7 +9,8 @@ equal to it are in regions with the same anchor hash. So only regions whose anch
 recurs need comparing, and they meet by anchor.
 
 Regions that are equal as a whole are reduced to the first of them before any text
-moves: their other members hold nothing new, and every window of theirs recurs.
+moves, in each task and then over all: their other members hold nothing new, and every
+window of theirs recurs.
 
 An anchor that very many different regions share (the edge of a passage that a large part of
 all documents hold) is refined: its regions are cut into single windows that meet by
@@ -136,14 +137,14 @@ def _batch(names: str, *arrays) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=names.split())
 
 
-REGION = "h long, c long, id long, th int, s int, n int"
+REGION = "copy boolean, h long, c long, id long, th int, s int, n int, again boolean"
 #: Regions as ``reduced`` gives them: ``first`` of its content, ``again`` if the content occurs again.
 REDUCED = "h long, id long, th int, s int, n int, first boolean, again boolean"
 
 
 def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From regions sorted by all columns: those whose content has come before, and of the
-    others those whose anchor has another content or whose content comes again.
+    """From regions sorted by all columns, those a task has found to be copies first: the
+    copies, and of the others those whose anchor has another content or whose content comes again.
 
     One region is held from batch to batch, however many share an anchor.
     """
@@ -155,7 +156,14 @@ def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _batch("h id th s n first again", rows[0], *rows[2:], np.full(len(rows[0]), first), again)
 
     for batch in batches:
-        rows = [batch.column(i).to_numpy() for i in range(6)]
+        early = batch.column("copy").to_numpy(zero_copy_only=False)
+        marks = batch.column("again").to_numpy(zero_copy_only=False)
+        rows = [batch.column(i).to_numpy() for i in range(1, 7)]
+        if early.any():
+            yield out([x[early] for x in rows], False, np.ones(early.sum(), bool))
+            rows, marks = [x[~early] for x in rows], marks[~early]
+        if not len(rows[0]):
+            continue
         joined = [np.concatenate(x) for x in zip(last, rows, strict=True)]
         held = len(last[0])
         differs = [x[1:] != x[:-1] for x in joined]
@@ -169,7 +177,10 @@ def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         copies = np.concatenate(([0], np.cumsum(copy)))
         begins = np.concatenate(([0], at)) if len(lead[0]) else at
         leads = [np.concatenate((x, y[at])) for x, y in zip(lead, rows, strict=True)]
-        again = np.diff(copies[np.concatenate((begins, [len(copy)]))]) > 0
+        # A content comes again if a copy follows, or if any task has seen a copy of it.
+        ends = np.concatenate((begins, [len(copy)]))
+        noted = np.concatenate(([0], np.cumsum(marks)))
+        again = (np.diff(copies[ends]) > 0) | (np.diff(noted[ends]) > 0)
         if len(lead[0]):
             again[0] |= lead_again
         same = leads[0][1:] == leads[0][:-1]
@@ -190,11 +201,22 @@ def regions(docs: DataFrame, kind: Kind) -> DataFrame:
             for piece in slices(batch, "text", kind.piece):
                 t, s, n, h, c = regions_of(*kind.symbols(piece.column("text")), kind.length, kind.gram)
                 ids, ths = (piece.column(x).to_numpy()[t] for x in ("id", "th"))
-                yield _batch("h c id th s n", h.view(np.int64), c.view(np.int64), ids, ths, s.astype(np.int32), n.astype(np.int32))
+                rows = [h.view(np.int64), c.view(np.int64), ids, ths, s.astype(np.int32), n.astype(np.int32)]
+                order = np.lexsort(rows[4::-1])
+                rows = [x[order] for x in rows]
+                if not len(order):
+                    continue
+                differs = [x[1:] != x[:-1] for x in rows]
+                new = np.concatenate(([True], np.logical_or.reduce(differs[:5])))
+                rows, same = [x[new] for x in rows], ~np.concatenate(([True], differs[0] | differs[1]))[new]
+                yield _batch("copy h c id th s n again", same, *rows, np.concatenate((same[1:], [False])))
             pa.default_memory_pool().release_unused()
 
     found = docs.select("id", "th", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(find, REGION)
-    return found.repartition("h").sortWithinPartitions("h", "c", "id", "th", "s").mapInArrow(_reduced, REDUCED)
+    # A copy needs no meeting point: it lies anywhere.
+    place = F.when(F.col("copy"), F.xxhash64("id", "s")).otherwise(F.col("h"))
+    order = [F.col("copy").desc(), "h", "c", "id", "th", "s"]
+    return found.repartition(place).sortWithinPartitions(*order).mapInArrow(_reduced, REDUCED)
 
 
 def recurring_windows(

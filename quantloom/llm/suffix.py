@@ -38,12 +38,12 @@ def suffix_array(s: list[int], alphabet: int) -> list[int]:
     n = len(s)
     if n < 3:
         return [n - 1, 0][:n]
-    smaller = bytearray(n)  # 1: the suffix is smaller than the one after it
-    smaller[n - 1] = 1
-    for i in range(n - 2, -1, -1):
-        if s[i] < s[i + 1] or (s[i] == s[i + 1] and smaller[i + 1]):
-            smaller[i] = 1
-    leftmost = [i for i in range(1, n) if smaller[i] and not smaller[i - 1]]
+    # 1: the suffix is smaller than the one after it; equal characters take the next one's class.
+    rise = np.append(np.sign(np.diff(np.array(s))), 1)
+    decided = np.where(rise != 0, np.arange(n), n)
+    classes = rise[np.minimum.accumulate(decided[::-1])[::-1]] > 0
+    smaller = bytearray(classes.astype(np.uint8))
+    leftmost = (np.flatnonzero(classes[1:] & ~classes[:-1]) + 1).tolist()
     upto = np.cumsum(np.bincount(s, minlength=alphabet))
     heads, tails = [0, *upto[:-1].tolist()], upto.tolist()
 
@@ -86,41 +86,50 @@ def suffix_array(s: list[int], alphabet: int) -> list[int]:
     return induce(order)
 
 
-def permuted_common_prefixes(s: bytes, order: list[int], limit: int) -> list[int]:
-    """Per place of ``s`` the common prefix with the suffix before it in ``order``, up to ``limit``."""
+def permuted_common_prefixes(s: bytes, order: list[int], limit: int) -> np.ndarray:
+    """Per place of ``s`` the common prefix with the suffix before it in ``order``, up to ``limit``.
+
+    Where both suffixes have the same character before them, the prefix is that of the
+    place before less one; only the other places are compared.
+    """
     n = len(s)
-    previous = [-1] * n
-    for a, b in zip(order, order[1:]):
-        previous[b] = a
-    out, size = [0] * n, 0
-    for i in range(n):
-        j = previous[i]
-        if j < 0:
-            size = 0
-            continue
-        if size:
-            size -= 1
-        while size < limit and i + size < n and j + size < n and s[i + size] == s[j + size]:
-            size += 1
-        out[i] = size
-    return out
+    text = np.frombuffer(s, np.uint8)
+    previous = np.full(n, -1)
+    previous[order[1:]] = order[:-1]
+    i = np.flatnonzero(previous >= 0)
+    j = previous[i]
+    edge = np.minimum(i, j) == 0
+    own = edge | (text[i - 1] != text[j - 1])
+    i, j = i[own], j[own]
+    size = np.zeros(n, np.int64)
+    live, step = np.arange(len(i)), 0
+    while len(live):
+        live = live[np.maximum(i[live], j[live]) + step < n]
+        live = live[text[i[live] + step] == text[j[live] + step]]
+        step += 1
+        size[i[live]] = step
+    reach = np.full(n, -1)
+    reach[i] = i + size[i]
+    reach[previous < 0] = np.flatnonzero(previous < 0)
+    return np.clip(np.maximum.accumulate(reach) - np.arange(n), 0, limit) if n else size
 
 
 def recurring(rows: list[tuple], length: int) -> list[tuple[int, int, int, int]]:
     """The windows of regions (h, id, th, s, n, again, bytes), all different, that recur."""
     text = b"".join(row[6] + bytes([END]) for row in rows)
     starts = np.cumsum([0, *(len(row[6]) + 1 for row in rows)])
-    order = suffix_array([x + 1 for x in text] + [0], 257)[1:]
-    common = permuted_common_prefixes(text, order, length)
-    region = np.searchsorted(starts, np.array(order), "right") - 1
-    offset = np.array(order) - starts[region]
+    listed = suffix_array([x + 1 for x in text] + [0], 257)[1:]
+    common = permuted_common_prefixes(text, listed, length)
+    order = np.array(listed)
+    region = np.searchsorted(starts, order, "right") - 1
+    offset = order - starts[region]
     is_window = offset < np.array([row[4] for row in rows])[region]
     # Suffixes with the same first bytes lie next to each other.
-    group = np.cumsum(np.array([common[i] < length for i in order]))
+    group = np.cumsum(common[order] < length)
     weight = np.where(is_window, 1 + np.array([row[5] for row in rows], np.int64)[region], 0)
     recurs = is_window & (np.bincount(group, weight)[group] > 1)
     marked = np.zeros(len(text) + 1, np.int8)
-    marked[np.array(order)[recurs]] = 1
+    marked[order[recurs]] = 1
     edges = np.flatnonzero(np.diff(np.concatenate(([0], marked)))).reshape(-1, 2)
     out = []
     for a, b in edges.tolist():
