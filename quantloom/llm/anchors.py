@@ -12,6 +12,9 @@ Regions that are equal as a whole are reduced to the first of them before any te
 moves, in each task and then over all: their other members hold nothing new, and every
 window of theirs recurs.
 
+Anchors whose regions lie in the same documents are compared together, and regions that
+follow one another in a document then travel as one segment instead of overlapping.
+
 An anchor that very many different regions share (the edge of a passage that a large part of
 all documents hold) is refined: its regions are cut into single windows that meet by
 a 128-bit hash of the window, with nothing to compare and combined before the shuffle.
@@ -220,22 +223,28 @@ def regions(docs: DataFrame, kind: Kind) -> DataFrame:
 
 
 def recurring_windows(
-    docs: DataFrame, kind: Kind, judge: Callable[[list[tuple[int, int, int, int, int, bool, bytes]]], list[tuple[int, int, int, int]]],
+    docs: DataFrame, kind: Kind, judge: Callable[[list[tuple[int, int, int, int, int, list[int], bytes]]], list[tuple[int, int, int, int]]],
     earlier_only: bool, heavy: int = HEAVY,
 ) -> DataFrame:
     """Per document with recurring windows: ``id``, ``th`` and ``spans``, a list of first window and number.
 
-    ``docs`` come from ``keyed``. ``judge`` gets all different regions of one or more anchors, in
-    order: (h, id, th, s, n, again, bytes), and gives the windows that recur as (id, th, s, n).
+    ``docs`` come from ``keyed``. ``judge`` gets all segments of one or more groups, in order: group,
+    id, th, first window, number of windows, marks and bytes. Marks are twice the windows of each
+    of its regions, plus one if the region as a whole occurs again. It gives the windows that
+    recur as (id, th, s, n).
     With ``earlier_only`` the first of equal windows does not count as recurring.
     """
     rows = stored(regions(docs, kind), "regions")
     # Whole regions that recur: the copies, and if any of equals counts, the first as well.
     whole = rows.filter(~F.col("first") if earlier_only else F.col("again")).select("id", "th", "s", "n")
     leads = rows.filter("first")
-    groups = leads.groupBy("h").agg(F.count("*").alias("different")).filter("different > 1")
+    document = F.xxhash64("id", "th")
+    documents = F.xxhash64(F.min(document), F.max(document), F.bit_xor(document)).alias("group")
+    groups = leads.groupBy("h").agg(F.count("*").alias("different"), documents, F.min("again").alias("known")).filter("different > 1")
+    if not earlier_only:
+        groups = groups.filter("not known")  # else every window is known to recur
     marked = leads.join(groups, "h").withColumn("many", F.col("different") > heavy)
-    lists = marked.groupBy("id", "th").agg(F.collect_list(F.struct("s", "n", "h", "again", "many")).alias("regions"))
+    lists = marked.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("s", "n", "group", "again", "many"))).alias("regions"))
     joined = docs.join(lists, ["id", "th"])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,22 +255,30 @@ def recurring_windows(
                 out: list[list] = [[] for _ in range(9)]
                 for i, th, text, found in zip(*(piece.column(x).to_pylist() for x in ("id", "th", "text", "regions")), strict=True):
                     form = kind.form((text or "").encode("utf-8", "surrogatepass"))
+                    segments: list[list] = []
                     for r in found:
+                        mark = 2 * r["n"] + r["again"]
+                        last = segments[-1] if segments else None
                         if r["many"]:
                             for k in range(r["n"]):
                                 two = xxhash.xxh128_intdigest(kind.cut(form, r["s"] + k, kind.length))
-                                made = (two >> 64, two & (2**64 - 1), i, th, r["s"] + k, 1, r["again"], True, b"")
+                                made = (two >> 64, two & (2**64 - 1), i, th, r["s"] + k, 1, [2 + r["again"]], True, b"")
                                 for column, v in zip(out, made, strict=True):
                                     column.append(v)
+                        elif last and last[0] == r["group"] and last[1] + last[2] == r["s"]:
+                            last[2] += r["n"]
+                            last[3].append(mark)
                         else:
-                            made = (r["h"] & (2**64 - 1), 0, i, th, r["s"], r["n"], r["again"], False, kind.cut(form, r["s"], r["n"] + kind.length - 1))
-                            for column, v in zip(out, made, strict=True):
-                                column.append(v)
+                            segments.append([r["group"], r["s"], r["n"], [mark]])
+                    for group, s, n, marks in segments:
+                        made = (group & (2**64 - 1), 0, i, th, s, n, marks, False, kind.cut(form, s, n + kind.length - 1))
+                        for column, v in zip(out, made, strict=True):
+                            column.append(v)
                 signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in out[:2]]
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
-                yield _batch("h h2 id th s n again many data", *signed, *(pa.array(x, k) for x, k in zip(out[2:], kinds, strict=True)))
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.bool_(), pa.binary())
+                yield _batch("h h2 id th s n marks many data", *signed, *(pa.array(x, k) for x, k in zip(out[2:], kinds, strict=True)))
 
-    pieces = stored(joined.mapInArrow(extract, "h long, h2 long, id long, th int, s int, n int, again boolean, many boolean, data binary"), "pieces")
+    pieces = stored(joined.mapInArrow(extract, "h long, h2 long, id long, th int, s int, n int, marks array<int>, many boolean, data binary"), "pieces")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -273,7 +290,7 @@ def recurring_windows(
             return _batch("id th s n", *(pa.array([x[k] for x in found], t) for k, t in enumerate(kinds)))
 
         for batch in batches:
-            for row in zip(*(batch.column(x).to_pylist() for x in ("h", "id", "th", "s", "n", "again", "data")), strict=True):
+            for row in zip(*(batch.column(x).to_pylist() for x in ("h", "id", "th", "s", "n", "marks", "data")), strict=True):
                 if held and row[:4] == held[-1][:4]:
                     continue  # a repeated row
                 if size > SHARD_BYTES and row[0] != held[-1][0]:
@@ -284,10 +301,10 @@ def recurring_windows(
         if held:
             yield judged()
 
-    light = pieces.filter("not many").select("h", "id", "th", "s", "n", "again", "data")
+    light = pieces.filter("not many").select("h", "id", "th", "s", "n", "marks", "data")
     found = light.repartition("h").sortWithinPartitions("h", "id", "th", "s").mapInArrow(compare, "id long, th int, s int, n int")
     # Single windows: equal ones by hash alone, a copied region's windows count as met again.
-    single = pieces.filter("many").select("h", "h2", "id", "th", "s", "again").distinct()
+    single = pieces.filter("many").select("h", "h2", "id", "th", "s", (F.col("marks")[0] == 3).alias("again")).distinct()
     first = single.groupBy("h", "h2").agg(F.min(F.struct("id", "th", "s")).alias("first"), F.count("*").alias("c"), F.max("again").alias("any")).filter("c > 1 or any")
     met = single.join(first, ["h", "h2"])
     lost = met.filter(F.struct("id", "th", "s") != F.col("first")) if earlier_only else met

@@ -103,7 +103,7 @@ class SuffixAutomaton:
 
 
 def earlier(rows: list[tuple], length: int) -> list[tuple[int, int, int, int]]:
-    """The windows of regions (h, id, th, s, n, again, bytes), all different, that start earlier among them."""
+    """The windows of segments (group, id, th, s, n, marks, bytes) that start earlier among them."""
     automaton = SuffixAutomaton()
     places = []
     place = 0

@@ -2,7 +2,7 @@
 
 Bytes that a string of ``length`` bytes covers go if the string also starts anywhere
 else, in the same document or another. Strings that may recur meet by anchor
-(``anchors``). The different regions of a shard are written one after another and get
+(``anchors``). The segments of a shard are written one after another and get
 a suffix array: suffixes are classified, the leftmost-smaller substrings sorted by
 induction and named, recursively if names repeat, and their order induces that of all
 suffixes in linear time. Common prefixes are computed in text order (permuted), where
@@ -115,7 +115,7 @@ def permuted_common_prefixes(s: bytes, order: list[int], limit: int) -> np.ndarr
 
 
 def recurring(rows: list[tuple], length: int) -> list[tuple[int, int, int, int]]:
-    """The windows of regions (h, id, th, s, n, again, bytes), all different, that recur."""
+    """The windows of segments (group, id, th, s, n, marks, bytes) that recur."""
     text = b"".join(row[6] + bytes([END]) for row in rows)
     starts = np.cumsum([0, *(len(row[6]) + 1 for row in rows)])
     listed = suffix_array([x + 1 for x in text] + [0], 257)[1:]
@@ -126,7 +126,11 @@ def recurring(rows: list[tuple], length: int) -> list[tuple[int, int, int, int]]
     is_window = offset < np.array([row[4] for row in rows])[region]
     # Suffixes with the same first bytes lie next to each other.
     group = np.cumsum(common[order] < length)
-    weight = np.where(is_window, 1 + np.array([row[5] for row in rows], np.int64)[region], 0)
+    again = np.zeros(len(text), np.int64)
+    for at, row in zip(starts.tolist(), rows, strict=False):
+        marks = np.array(row[5])
+        again[at : at + row[4]] = np.repeat(marks & 1, marks >> 1)
+    weight = np.where(is_window, 1 + again[order], 0)
     recurs = is_window & (np.bincount(group, weight)[group] > 1)
     marked = np.zeros(len(text) + 1, np.int8)
     marked[order[recurs]] = 1
