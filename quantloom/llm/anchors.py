@@ -36,7 +36,7 @@ from quantloom.session import stored
 #: Regions with one anchor that a task compares; more are refined.
 HEAVY = 50_000
 #: Text of the regions that one index is built of; an anchor's regions stay together.
-SHARD_BYTES = 256 << 10
+SHARD_BYTES = 16 << 10
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 _BLOCK = 1 << 23
 
