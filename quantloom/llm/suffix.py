@@ -29,49 +29,55 @@ from quantloom.llm.common import slices
 
 LENGTH = 200
 GRAM = 32
-#: Ends a region; no byte of UTF-8 text.
-END = 0xFF
+#: Ends a region, and stands for the character 0, which ends all; no bytes of UTF-8 text.
+END, ZERO = 0xFF, 0xFE
 
 
-def suffix_array(s: list[int], alphabet: int) -> list[int]:
+def suffix_array(s: bytes | list[int], alphabet: int) -> list[int]:
     """The suffixes of ``s`` in order; its last number is 0 and occurs nowhere else."""
     n = len(s)
     if n < 3:
         return [n - 1, 0][:n]
     # 1: the suffix is smaller than the one after it; equal characters take the next one's class.
-    rise = np.append(np.sign(np.diff(np.array(s))), 1)
+    chars = np.array(list(s))
+    rise = np.append(np.sign(np.diff(chars)), 1)
     decided = np.where(rise != 0, np.arange(n), n)
     classes = rise[np.minimum.accumulate(decided[::-1])[::-1]] > 0
-    smaller = bytearray(classes.astype(np.uint8))
     leftmost = (np.flatnonzero(classes[1:] & ~classes[:-1]) + 1).tolist()
-    upto = np.cumsum(np.bincount(s, minlength=alphabet))
+    upto = np.cumsum(np.bincount(chars, minlength=alphabet))
     heads, tails = [0, *upto[:-1].tolist()], upto.tolist()
+    # The character before each place, by its class, else -1; the last entry is for empty cells.
+    ahead = np.concatenate(([-1], chars[:-1], [-1]))
+    falls = np.concatenate(([True], classes[:-1], [True]))
+    larger_before = np.where(falls, -1, ahead).tolist()
+    smaller_before = np.where(falls, ahead, -1).tolist()
 
     def induce(order: list[int]) -> list[int]:
         out = [-1] * n
         end = tails.copy()
         for i in reversed(order):
             c = s[i]
-            end[c] -= 1
-            out[end[c]] = i
+            end[c] = k = end[c] - 1
+            out[k] = i
         begin = heads.copy()
         for i in out:
-            if i > 0 and not smaller[i - 1]:
-                c = s[i - 1]
-                out[begin[c]] = i - 1
-                begin[c] += 1
+            c = larger_before[i]
+            if c >= 0:
+                k = begin[c]
+                out[k] = i - 1
+                begin[c] = k + 1
         end = tails.copy()
         for i in reversed(out):
-            if i > 0 and smaller[i - 1]:
-                c = s[i - 1]
-                end[c] -= 1
-                out[end[c]] = i - 1
+            c = smaller_before[i]
+            if c >= 0:
+                end[c] = k = end[c] - 1
+                out[k] = i - 1
         return out
 
     after = dict(zip(leftmost, [*leftmost[1:], n - 1]))
     name, names, before = -1, {}, None
     for i in induce(leftmost):
-        if i > 0 and smaller[i] and not smaller[i - 1]:
+        if i in after:
             substring = s[i : after[i] + 1]
             if substring != before:
                 name += 1
@@ -116,9 +122,9 @@ def permuted_common_prefixes(s: bytes, order: list[int], limit: int) -> np.ndarr
 
 def recurring(rows: list[tuple], length: int) -> list[tuple[int, int, int, int]]:
     """The windows of segments (group, id, th, s, n, marks, bytes) that recur."""
-    text = b"".join(row[6] + bytes([END]) for row in rows)
+    text = b"".join(row[6] + bytes([END]) for row in rows).replace(b"\0", bytes([ZERO]))
     starts = np.cumsum([0, *(len(row[6]) + 1 for row in rows)])
-    listed = suffix_array([x + 1 for x in text] + [0], 257)[1:]
+    listed = suffix_array(text + b"\0", 256)[1:]
     common = permuted_common_prefixes(text, listed, length)
     order = np.array(listed)
     region = np.searchsorted(starts, order, "right") - 1
