@@ -157,7 +157,7 @@ SVALUES = "rank_ic icir hac_t fama_macbeth_return fama_macbeth_hac_t coverage mo
 x("X12_summary", lambda m: evaluate.summary_statistics(monthly(m)), f"{VARIANT} period", SVALUES, "SELECT * FROM summ", {**MONTHLY, **SUMMARY}, neutral=True, digits=6)
 x("X13_rank_turnover", lambda m: evaluate.rank_turnover(panel(m), "raw_value", hot=m.hot()), "signal_date factor_name", "original reversed",
   "SELECT d.signal_date, d.factor_name, max(rank_turnover) FILTER (orientation = 'original') AS original, max(rank_turnover) FILTER (orientation = 'reversed') AS reversed FROM ds d LEFT JOIN to1 t ON t.signal_date = d.signal_date AND t.factor_name = d.factor_name AND value_type = 'raw' GROUP BY ALL", MONTHLY, neutral=True)
-query("X14_benjamini_hochberg", lambda m: benjamini_hochberg(m.table("orders").groupBy("o_custkey").agg((F.abs(F.sin(F.sum("o_totalprice"))) / 10).alias("p")), "p", "q"), "o_custkey", "p q",
+query("X14_benjamini_hochberg", lambda m: benjamini_hochberg(m.table("orders").groupBy("o_custkey").agg((F.abs(F.sin(F.sum("o_totalprice"))) / 10).alias("p")), "p", "q", ties=["o_custkey"], hot=True), "o_custkey", "p q",
       extra={"ps": "SELECT o_custkey, abs(sin(sum(o_totalprice))) / 10 AS p FROM orders GROUP BY 1", "rk": "SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS n FROM ps"},
       sql="SELECT o_custkey, p, least(1, min(p * n / k) OVER (ORDER BY k DESC)) AS q FROM rk", digits=5)
 x("X15_evaluate_batch", lambda m: evaluate.evaluate_batch(panel(m, neutral=True), PERIODS, hot=m.hot(len(NAMES)))[1], f"{VARIANT} period", "rank_ic hac_t p_value bh_q_value", "SELECT * FROM bh", {**MONTHLY, **SUMMARY}, neutral=True, digits=6)

@@ -12,7 +12,7 @@ from quantloom.catalog.sources import bundle, event_log
 from quantloom.operators import asof, evaluate, fundamentals, incremental, library, models, performance, pit, portfolio, quality
 from quantloom.plans import panels, research
 from quantloom.session import checkpoint_folder, cut
-from quantloom.sources import changelog
+from quantloom.sources import changelog, tables
 from quantloom.sources.market import INDEX_CODE, PERIODS
 from quantloom.streaming import replay, sync
 
@@ -144,13 +144,13 @@ def synced_events(m):
     source = m.table("events")
     folder = scratch(m, "sync")
     landing = f"{folder}/landing"
-    source.select("event_id", "user_id", "event_type", "value").write.parquet(landing)
+    source.select("event_id", "user_id", "event_type", "value").repartition(4, "event_id").write.parquet(landing)
     schema = m.spark.read.parquet(landing).schema
-    sync.append_batches(m.spark, landing, schema, ["user_id"], f"{folder}/log", f"{folder}/checkpoint", files_per_batch=1).awaitTermination()
-    return changelog.read(sync.read_log(m.spark, f"{folder}/log"), ["event_id"])
+    sync.append_batches(m.spark, landing, schema, ["user_id"], f"{folder}/log", f"{folder}/checkpoint", sequence="event_id").awaitTermination()
+    return changelog.read(changelog.open_log(m.spark, f"{folder}/log"), ["user_id"], by=("_row", "_version"))
 
 
-query("ST1_synced_events", synced_events, "event_id user_id event_type", "value", sql="SELECT event_id, user_id, event_type, value FROM events")
+query("ST1_synced_events", synced_events, "event_id user_id event_type", "value", sql="SELECT event_id, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 
 
 def streamed_replay(m):
@@ -274,16 +274,26 @@ def signal(m):
     return research.export_signal(scores, m.calendar, 20, hot=m.hot())
 
 
-x("E13_signal_list", lambda m: signal(m)[0], "signal_date symbol", "score target_weight place",
-  "SELECT *, raw_value AS score, 1.0 / count(*) OVER () AS target_weight FROM (SELECT *, row_number() OVER (ORDER BY raw_value DESC, symbol) AS place FROM pan WHERE factor_name = 'VOLATILITY_20D' AND raw_value IS NOT NULL AND signal_date = (SELECT max(signal_date) FROM pan) QUALIFY place <= 20)", ints="place")
-query("S18_signal_record", lambda m: signal(m)[1], "signal_date effective_date next_signal_date latest_data", "names stale_days", ints="names stale_days", ctes="signals cal",
+def signal_files(m):
+    """The list and the record, written and read back."""
+    folder = scratch(m, "signal")
+    frames = signal(m)
+    research.write_signal(*frames, folder)
+    return [tables.read_frame(m.spark, f"{folder}/{name}.csv", df.schema) for name, df in zip(("targets", "state"), frames, strict=True)]
+
+
+TARGETS = ("signal_date symbol", "score target_weight place",
+  "SELECT *, raw_value AS score, 1.0 / count(*) OVER () AS target_weight FROM (SELECT *, row_number() OVER (ORDER BY raw_value DESC, symbol) AS place FROM pan WHERE factor_name = 'VOLATILITY_20D' AND raw_value IS NOT NULL AND signal_date = (SELECT max(signal_date) FROM pan) QUALIFY place <= 20)")
+x("E13_signal_list", lambda m: signal(m)[0], *TARGETS, ints="place")
+x("S18_signal_targets", lambda m: signal_files(m)[0], *TARGETS, ints="place")
+query("S18_signal_record", lambda m: signal_files(m)[1], "signal_date effective_date next_signal_date latest_data", "names stale_days", ints="names stale_days", ctes="signals cal",
       sql="SELECT max(signal_date) AS signal_date, NULL::DATE AS effective_date, NULL::DATE AS next_signal_date, max(trade_date) AS latest_data, 20 AS names, max(trade_date) - max(signal_date) AS stale_days FROM signals, cal")
 
 
 def layers(m):
     m = m.stored()
     values = library.compute_factors(m.bars, None, m.month_ends, ["VOLATILITY_20D"])
-    return research.factor_layers(m.daily, m.index_members, m.securities, m.status, m.calendar, m.industries, m.month_ends, values, -1.0, INDEX_CODE)
+    return research.factor_layers(m.daily, m.index_members, m.securities, m.status, m.calendar, m.industries, m.month_ends, values, -1.0, INDEX_CODE, m.hot())
 
 
 query("E14_factor_layers", layers, "signal_date symbol industry_code layer", "target_weight", ints="layer")
@@ -294,7 +304,7 @@ def feature_store(m):
     """Features written by year and read back."""
     folder = scratch(m, "features")
     wide = models.feature_matrix(panel(m, ["VOLATILITY_20D"]), ["VOLATILITY_20D"]).withColumn("year", F.year("signal_date"))
-    wide.join(asof.label_end_dates(m.month_ends, m.calendar), "signal_date", "left").repartition("year").write.partitionBy("year").parquet(folder)
+    wide.join(asof.label_end_dates(m.month_ends, m.calendar), "signal_date", "left").repartition("year", F.pmod(F.xxhash64("symbol"), F.lit(4))).write.partitionBy("year").parquet(folder)
     return m.spark.read.parquet(folder)
 
 
@@ -313,3 +323,20 @@ def stored_weights(m):
 
 query("E4_weights_from_history", stored_weights, "factor_name method", "weight")
 query("S24_published_versions", lambda m: changelog.versions(event_log(m)), (), "current_version", ints="current_version", sql="SELECT max(event_id // 250) AS current_version FROM events")
+
+
+def written_log(m):
+    """Events through all write modes: everything, then replaced, upserted and appended parts."""
+    log = scratch(m, "log")
+    rows = m.table("events").select("user_id", "event_id", "value")
+    changelog.publish(m.spark, log, rows, ["user_id"], "upsert", "event_id")
+    changelog.publish(m.spark, log, rows.where("value < 50"), ["user_id"], "replace", "event_id")
+    changelog.publish(m.spark, log, rows.where("value >= 50 AND value < 100"), ["user_id"], "upsert", "event_id")
+    live = changelog.read(changelog.open_log(m.spark, log), ["user_id"], columns=["user_id"])
+    changelog.publish(m.spark, log, rows.where("value >= 100").join(live, "user_id", "left_anti"), ["user_id"], "append", "event_id")
+    return changelog.read(changelog.open_log(m.spark, log), ["user_id"])
+
+
+query("S24_written_log", written_log, "user_id event_id", "value",
+      extra={"ver": "SELECT user_id, event_id, value, CASE WHEN value < 50 THEN 1 WHEN value < 100 THEN 2 ELSE 3 END AS v, count(*) FILTER (value < 100) OVER (PARTITION BY user_id) AS seen FROM events"},
+      sql="SELECT * FROM ver WHERE v < 3 OR seen = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY v DESC, event_id DESC) = 1")

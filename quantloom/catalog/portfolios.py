@@ -125,7 +125,7 @@ query("M6_learned_ridge", lambda m: combine.learned_weights(cut(ic_history(m)),
 query("M24_learned_lasso", lambda m: combine.learned_weights(cut(ic_history(m)), "lasso"), "factor_name", "weight")
 query("C13_decay_weights", lambda m: m.month_ends.withColumn("age", F.months_between(F.lit("2002-01-01").cast("date"), F.trunc("signal_date", "MM")).cast("int")).select("signal_date", combine.decay_weight(F.col("age")).alias("w")), "signal_date", "w",
       ctes="signals", sql="SELECT signal_date, pow(0.5, date_diff('month', signal_date, DATE '2002-01-01') / 6.0) AS w FROM signals")
-query("C14_nonnegative", lambda m: combine.normalise_nonnegative(m.table("supplier").select("s_nationkey", "s_suppkey", F.col("s_acctbal").alias("w")), ["s_nationkey"], "w"), "s_suppkey", "w",
+query("C14_nonnegative", lambda m: combine.normalise_nonnegative(m.table("supplier").select("s_nationkey", "s_suppkey", F.col("s_acctbal").alias("w")), ["s_nationkey"], "w", hot=True), "s_suppkey", "w",
       sql="SELECT s_suppkey, CASE WHEN sum(greatest(s_acctbal, 0)) OVER n > 0 THEN greatest(s_acctbal, 0) / sum(greatest(s_acctbal, 0)) OVER n ELSE 1.0 / count(*) OVER n END AS w FROM supplier WINDOW n AS (PARTITION BY s_nationkey)")
 
 

@@ -9,6 +9,7 @@ from quantloom.functions import scalar as c
 from quantloom.operators import asof, pit
 from quantloom.sources import changelog, loading, tables, vendor
 from quantloom.sources.market import INDEX_CODE, PERIODS
+from quantloom.streaming import sync
 
 KEY = "symbol trade_date"
 START, END = "1997-01-01", "1999-12-31"
@@ -142,6 +143,14 @@ query("S20_merge_disclosures", lambda m: vendor.merge_disclosures(*statements(m)
 query("S21_vendor_units", lambda m: vendor.market_day(m.raw_daily, m.adjustments, m.daily.select("symbol", "trade_date", "turnover", "float_market_cap"))[0],
       KEY, "volume amount turnover float_market_cap", ctes="daily", digits=0,
       sql="SELECT symbol, trade_date, volume * 100 AS volume, amount * 1000 AS amount, turnover / 100 AS turnover, float_market_cap * 10000 AS float_market_cap FROM daily")
+def basics(m):
+    return m.daily.select("symbol", "trade_date", "turnover", "float_market_cap")
+
+
+query("S21_resumed_days", lambda m: sync.market_days(m.raw_daily, m.raw_daily.select("symbol", "trade_date", F.col("close").alias("adjust_factor")), basics(m), "2000-06-30"), KEY, "volume", ctes="daily", digits=0,
+      sql="SELECT symbol, trade_date, volume * 100 AS volume FROM daily WHERE trade_date >= DATE '2000-06-30' - 7")
+query("S21_bars_without_factor", lambda m: vendor.market_day(m.raw_daily, m.adjustments.where("adjust_factor > 1.02"), basics(m))[1], KEY, ctes="raw_daily adjustments",
+      sql="SELECT symbol, trade_date FROM raw_daily WHERE (symbol, trade_date) NOT IN (SELECT (symbol, trade_date) FROM adjustments WHERE adjust_factor > 1.02)")
 query("S22_unit_labels", lambda m: vendor.scale_units(m.daily, {"volume": "手", "turnover": "%", "amount": "元"}), KEY, "volume turnover amount", ctes="daily",
       sql="SELECT symbol, trade_date, volume * 100 AS volume, turnover * 0.01 AS turnover, amount FROM daily", digits=5)
 query("S23_pit_context", lambda m: asof.attach_interval(loading.pit_context(bundle(m))[1].join(m.month_ends, "signal_date", "left_semi"), m.industries, ["industry_code"]),

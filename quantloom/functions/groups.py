@@ -42,10 +42,10 @@ def stats(df: DataFrame, keys: Sequence[str], aggregates: Mapping[str, Column],
         return df.withColumns({name: agg.over(w) for name, agg in aggregates.items()})
     df = cut(df.drop(*aggregates))
     small = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in aggregates.items()])
-    return _attach(df, small, keys)
+    return attach(df, small, keys)
 
 
-def _attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Null-safe join of one row per group; adaptive execution broadcasts it or splits skew."""
     renamed = small.withColumnsRenamed({k: f"__{k}" for k in keys})
     condition = None
@@ -110,7 +110,7 @@ def ranks(
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"),
         F.sum("__n").over(Window.partitionBy(*keys)).alias("__total"),
     )
-    placed = _attach(placed, sizes, [*keys, "__slice"])
+    placed = attach(placed, sizes, [*keys, "__slice"])
     inside = Window.partitionBy(*keys, "__slice").orderBy(*order)
     placed = placed.withColumn(
         "__first", F.when(F.col("__v").isNotNull(), F.row_number().over(inside) + F.col("__offset"))
@@ -123,7 +123,7 @@ def ranks(
             .groupBy(*keys, "__v")
             .agg(F.min("__first").alias("__least"), F.max("__first").alias("__most"))
         )
-        placed = _attach(placed, spans, [*keys, "__v"])
+        placed = attach(placed, spans, [*keys, "__v"])
     if average:
         out[average] = (F.col("__least") + F.col("__most")) / 2.0
     if reverse:
@@ -145,7 +145,7 @@ def median(
     ranked = cut(ranks(df, keys, "__m", ties, first="__r", count="__c", hot=True))
     middle = (F.col("__r") == F.floor((F.col("__c") + 1) / 2)) | (F.col("__r") == F.floor((F.col("__c") + 2) / 2))
     small = ranked.where(middle).groupBy(*keys).agg(F.avg("__m").alias(out))
-    return _attach(ranked.drop("__r", "__c", "__m"), small, keys)
+    return attach(ranked.drop("__r", "__c", "__m"), small, keys)
 
 
 def quintile(rank: str | Column, count: str | Column, groups: int = 5) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions import groups
 from quantloom.functions.scalar import col, ratio
 
 
@@ -61,8 +62,14 @@ def add_hac_t(df: DataFrame, series: str, out: str, lags: int | None = None) ->
     return df.withColumn(out, F.when(n >= 3, value)).drop("__mean", "__c", "__L", "__var")
 
 
-def benjamini_hochberg(df: DataFrame, p: str, out: str, family: Sequence[str] = ()) -> DataFrame:
-    """Step-up q-values inside each family (a report-sized table: tests, not observations)."""
+def benjamini_hochberg(df: DataFrame, p: str, out: str, family: Sequence[str] = (), *, ties: Sequence[str] = (), hot: bool = False) -> DataFrame:
+    """Step-up q-values inside each family.
+
+    ``hot`` is for families beyond a task: places come from a range-partitioned sort, in which
+    ``ties`` make rows of equal p unique, and the running minimum from slices of places.
+    """
+    if hot:
+        return _hot_benjamini_hochberg(df, p, out, family, ties)
     keys = [F.col(k) for k in family] or [F.lit(0)]
     keys = [*keys, F.col(p).isNull()]
     ordered = Window.partitionBy(*keys).orderBy(p)
@@ -73,3 +80,17 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str, family: Sequence[str] =
     backwards = Window.partitionBy(*keys).orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0)
     q = F.when(F.col(p).isNotNull(), F.least(F.min(scaled).over(backwards), F.lit(1.0)))
     return df.withColumn(out, q).drop("__rank", "__tests")
+
+
+def _hot_benjamini_hochberg(df: DataFrame, p: str, out: str, family: Sequence[str], ties: Sequence[str]) -> DataFrame:
+    ranked = groups.ranks(df, family, p, ties, first="__rank", count="__tests", hot=True)
+    # rows without p have no place; they are spread over slices of their own
+    piece = F.coalesce(F.floor((F.col("__rank") - 1) / groups.ROWS_PER_TASK), -1 - F.pmod(F.xxhash64(*ties), F.lit(997)))
+    ranked = ranked.withColumns({"__q": F.col(p) * F.col("__tests") / F.col("__rank"), "__piece": piece})
+    later = Window.partitionBy(*family).orderBy("__piece").rowsBetween(1, Window.unboundedFollowing)
+    least = ranked.groupBy(*family, "__piece").agg(F.min("__q").alias("__least"))
+    least = least.select(*family, "__piece", F.min("__least").over(later).alias("__later"))
+    ranked = groups.attach(ranked, least, [*family, "__piece"])
+    backwards = Window.partitionBy(*family, "__piece").orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0)
+    q = F.least(F.min("__q").over(backwards), F.col("__later"), F.lit(1.0))
+    return ranked.withColumn(out, F.when(F.col(p).isNotNull(), q)).drop("__rank", "__tests", "__q", "__piece", "__later")

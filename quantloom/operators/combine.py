@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions import groups
 from quantloom.functions.scalar import ratio
 
 CLOSED_FORM = ("equal", "ic_decay", "factor_return_decay", "max_ic")
@@ -30,12 +31,15 @@ def align_signs(rows: DataFrame, signs: DataFrame, value: str, on: Sequence[str]
     return rows.join(signs, list(on)).withColumn(value, F.col(value) * F.col("sign")).drop("sign")
 
 
-def normalise_nonnegative(df: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
-    """max(w, 0) / sum, equal weights when nothing is positive."""
-    w = Window.partitionBy(*(keys or [F.lit(0)]))
+def normalise_nonnegative(df: DataFrame, keys: Sequence[str], weight: str, hot: bool = False) -> DataFrame:
+    """max(w, 0) / sum, equal weights when nothing is positive.
+
+    Without keys all rows are one group: the weights of registered factors. ``hot`` is for groups beyond a task.
+    """
     positive = F.greatest(F.coalesce(F.col(weight), F.lit(0.0)), F.lit(0.0))
-    total = F.sum(positive).over(w)
-    return df.withColumn(weight, F.when(total > 0, positive / total).otherwise(1.0 / F.count(F.lit(1)).over(w)))
+    df = groups.stats(df, keys, {"__total": F.sum(positive), "__n": F.count(F.lit(1))}, hot=hot)
+    share = F.when(F.col("__total") > 0, positive / F.col("__total")).otherwise(1.0 / F.col("__n"))
+    return df.withColumn(weight, share).drop("__total", "__n")
 
 
 def last_months(history: DataFrame, keys: Sequence[str], months: int = MONTHS) -> DataFrame:

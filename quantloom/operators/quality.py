@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.operators import asof
-from quantloom.sources.tables import KEYS, REQUIRED
+from quantloom.sources.tables import KEYS, REQUIRED, write_snapshot
 
 ERROR, WARNING = "error", "warning"
 
@@ -161,6 +161,12 @@ def snapshot_against_intervals(members: DataFrame, date: str) -> DataFrame:
     return active.join(snap, "index_code", "full_outer")
 
 
+def audited_snapshot(tables: Mapping[str, DataFrame], root: str, **options) -> DataFrame:
+    """Audit the tables and only then write them; returns the manifest."""
+    require(audit(tables, **options))
+    return write_snapshot(tables, root)
+
+
 def require(audit_rows: DataFrame) -> DataFrame:
     """Stop when an error rule has bad rows."""
     bad = audit_rows.where((F.col("severity") == ERROR) & (F.col("bad_rows") > 0)).collect()

@@ -70,10 +70,7 @@ def resolve(
     if sort_by and top_n:
         m = F.col("__m")
         order = {"abs": F.abs(m).desc_nulls_last(), "desc": m.desc_nulls_last(), "asc": m.asc_nulls_last()}[direction]
-        # the candidates are registered factors: a few hundred rows
-        w = Window.partitionBy(F.lit(0)).orderBy(order, "factor_id")
-        kept = kept.join(value_of(sort_by), "factor_id", "left").withColumn("__k", F.row_number().over(w))
-        kept = kept.where(F.col("__k") <= top_n).drop("__m", "__k")
+        kept = kept.join(value_of(sort_by), "factor_id", "left").orderBy(order, "factor_id").limit(top_n).drop("__m")
     return kept.unionByName(pool.where(explicit)).dropDuplicates(["factor_id"])
 
 
@@ -182,12 +179,14 @@ def in_family_order(factors: DataFrame) -> DataFrame:
 
 
 def family_leaders(factors: DataFrame, n: int, minimum: int = 2) -> DataFrame:
-    """The n strongest factors per family by absolute validation IC; small families are skipped."""
-    w = Window.partitionBy("family")
-    ranked = factors.withColumns(
-        {"__size": F.count(F.lit(1)).over(w), "place": F.row_number().over(w.orderBy(F.abs("rank_ic").desc_nulls_last(), "factor_name"))}
-    )
-    return ranked.where((F.col("__size") >= minimum) & (F.col("place") <= n)).drop("__size")
+    """The n strongest factors per family by absolute validation IC; small families are skipped.
+
+    Sizes are partial counts, and the limit on places cuts every task's rows before the shuffle.
+    """
+    w = Window.partitionBy("family").orderBy(F.abs("rank_ic").desc_nulls_last(), "factor_name")
+    leaders = factors.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    large = factors.groupBy(F.col("family").alias("__family")).count().where(F.col("count") >= minimum)
+    return leaders.join(large, F.col("family").eqNullSafe(F.col("__family")), "left_semi")
 
 
 def check_isolation(rows: DataFrame, test_start: str, date: str = "signal_date") -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quantloom.functions import groups
 from quantloom.operators import asof, combine, cross_section, evaluate, library, models, performance, pit, portfolio, quality, selection
 from quantloom.session import cut
+from quantloom.sources import tables
 
 IDS = ("factor_name", "value_type", "orientation")
 
@@ -56,7 +57,7 @@ def audited_factors(tables: Mapping[str, DataFrame], names: Sequence[str], signa
     return library.compute_factors(bars, tables["fundamentals"], signals, names)
 
 
-def factor_layers(bars, members, securities, status, calendar, industries, signals, values: DataFrame, sign: float = 1.0, index_code: str = "ALL_A") -> DataFrame:
+def factor_layers(bars, members, securities, status, calendar, industries, signals, values: DataFrame, sign: float = 1.0, index_code: str = "ALL_A", hot: bool = False) -> DataFrame:
     """Neutralised five-layer targets of eligible members at signal dates.
 
     ``values`` holds signal_date, symbol, raw_value.
@@ -67,9 +68,9 @@ def factor_layers(bars, members, securities, status, calendar, industries, signa
         values.select("signal_date", "symbol", "raw_value").where(F.col("raw_value").isNotNull()), ["signal_date", "symbol"]
     )
     rows = asof.attach_interval(rows, industries, ["industry_code"], how="inner")
-    neutral = cross_section.neutralize(rows, ("signal_date",))
+    neutral = cross_section.neutralize(rows, ("signal_date",), hot=hot)
     scored = neutral.withColumn("factor_value", sign * F.col("neutralized_value")).where(F.col("factor_value").isNotNull())
-    return cross_section.industry_layers(scored, ("signal_date",))
+    return cross_section.industry_layers(scored, ("signal_date",), hot=hot)
 
 
 def combination(
@@ -185,6 +186,12 @@ def export_signal(scores: DataFrame, calendar: DataFrame, n: int, *, smooth_mont
     return target, record.withColumns({"latest_data": newest, "stale_days": F.datediff(newest, "signal_date")})
 
 
+def write_signal(target: DataFrame, record: DataFrame, folder: str) -> None:
+    """The list and its record as CSV, one file each: a list is at most n rows long."""
+    tables.write_frame(target.orderBy("place"), f"{folder}/targets.csv", single_file=True)
+    tables.write_frame(record, f"{folder}/state.csv", single_file=True)
+
+
 def schedule_comparison(scores: DataFrame, forward: DataFrame, plan: DataFrame, caps: DataFrame, periods: Mapping, n: int, schedule: str, per_year: float, hot: bool = False) -> DataFrame:
     """Top-n returns of every method under all cost scenarios against the cash benchmark, per period."""
     returns = portfolio.top_n_backtest(scores, forward, plan, n, ids=["method"], hot=hot)

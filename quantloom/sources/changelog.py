@@ -1,19 +1,21 @@
 """Append-only change log: versioned reads, key upserts, schema growth.
 
 A log row carries ``_version`` (publication), ``_row`` (order inside it) and
-``_mode`` ('replace' starts a new generation, 'upsert' adds to it).
+``_mode`` ('replace' starts a new generation, 'upsert' adds to it). The order
+comes from a column of the data, so any layout of the same rows reads the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.sources.tables import ContractError, filter_column
+from quantloom.sources.tables import ContractError, exists, filter_column
 
 META = ("_version", "_row", "_mode")
+MODES = ("append", "replace", "upsert")
 
 
 def check_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -36,9 +38,56 @@ def key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return counts.unpivot([], list(keys), "key_column", "null_rows")
 
 
-def stamp(df: DataFrame, version: int, mode: str) -> DataFrame:
-    """Rows ready to append as one publication; ``_row`` orders repeated keys."""
-    return df.withColumns({"_version": F.lit(version).cast("long"), "_row": F.monotonically_increasing_id(), "_mode": F.lit(mode)})
+def stamp(df: DataFrame, version: int, mode: str, sequence: str | None = None) -> DataFrame:
+    """Rows ready to append as one publication; the whole-number column ``sequence`` orders repeated keys."""
+    row = F.lit(0) if sequence is None else F.col(sequence)
+    return df.withColumns({"_version": F.lit(version).cast("long"), "_row": row.cast("long"), "_mode": F.lit(mode)})
+
+
+def check_order(stamped: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Refuse different rows of one publication that share their keys and place."""
+    data = [c for c in stamped.columns if c not in META and c not in keys]
+    if data:
+        content = F.xxhash64(*data)
+        spread = stamped.groupBy(*keys, "_row").agg(F.min(content).alias("least"), F.max(content).alias("most"))
+        if not spread.where("least <> most").isEmpty():
+            raise ContractError(f"rows repeat {list(keys)} without an order; name a sequence column")
+    return stamped
+
+
+def write_version(stamped: DataFrame, keys: Sequence[str], log: str, version: int, mode: str) -> None:
+    """Check the rows of one publication and write them as its folder of the log."""
+    stamped = stamped.drop("_version").persist()
+    try:
+        check_order(check_keys(stamped, keys), keys)
+        stamped.write.mode(mode).parquet(f"{log}/_version={version}")
+    finally:
+        stamped.unpersist()
+
+
+def open_log(spark: SparkSession, log: str) -> DataFrame:
+    """All publications in a folder; columns that came later are null in older rows."""
+    return spark.read.option("mergeSchema", True).parquet(log).withColumn("_version", F.col("_version").cast("long"))
+
+
+def publish(spark: SparkSession, log: str, rows: DataFrame, keys: Sequence[str], mode: str = "upsert", sequence: str | None = None) -> int:
+    """Write ``rows`` as the next version of the log in a folder; returns the version.
+
+    'replace' starts a new generation, with 'upsert' newer rows win, 'append' refuses
+    keys that are live. A version folder is never overwritten: of two writers that meet, one fails.
+    """
+    if mode not in MODES:
+        raise ContractError(f"unknown mode {mode}; expected one of {MODES}")
+    version = 0
+    if exists(spark, log):
+        present = open_log(spark, log)
+        version = versions(present).first()["current_version"] + 1
+        if mode != "replace":
+            grow(present.drop(*META), rows)
+        if mode == "append" and not rows.join(read(present, keys, columns=list(keys)), list(keys), "left_semi").isEmpty():
+            raise ContractError(f"append would repeat live {list(keys)}")
+    write_version(stamp(rows, version, "replace" if mode == "replace" else "upsert", sequence), keys, log, version, "errorifexists")
+    return version
 
 
 def grow(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -55,13 +104,15 @@ def versions(log: DataFrame) -> DataFrame:
 
 def read(
     log: DataFrame, keys: Sequence[str], *, as_of: int | None = None, columns: Sequence[str] | None = None,
-    filters: Iterable | None = None,
+    filters: Iterable | None = None, by: Sequence[str] = ("_version", "_row"),
 ) -> DataFrame:
     """Newest row per key since the last replace, up to version ``as_of``.
 
+    ``by=("_row", "_version")`` lets the sequence of the data decide across versions, so
+    it does not matter how rows were dealt to publications.
     Filters apply to the deduplicated rows; conditions on key columns alone
     run before the aggregation, where the scan can use them. The newest row is
-    a max by (version, row): it combines map-side, so a hot key is no hot task.
+    a max by ``by``: it combines map-side, so a hot key is no hot task.
     """
     filters = list(filters or [])
     rows = log if as_of is None else log.where(F.col("_version") <= as_of)
@@ -75,7 +126,7 @@ def read(
     live = (
         rows.where(F.col("_version") >= start)
         .groupBy(*keys)
-        .agg(F.max_by(F.struct(*data), F.struct("_version", "_row")).alias("__newest"))
+        .agg(F.max_by(F.struct(*data), F.struct(*by)).alias("__newest"))
         .select(*keys, "__newest.*")
     )
     if late:

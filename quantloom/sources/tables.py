@@ -111,16 +111,17 @@ def rename_aliases(df: DataFrame, aliases: Mapping[str, str] = ALIASES) -> DataF
     return df.withColumnsRenamed({a: b for a, b in aliases.items() if a in df.columns and b not in df.columns})
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+
+
 def load_root(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """All eight tables under a folder; an absent one is an empty frame."""
-    path_class = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     out = {}
     for table in REQUIRED:
         path = f"{root.rstrip('/')}/{table}.parquet"
-        there = path_class(path)
-        present = there.getFileSystem(conf).exists(there)
-        out[table] = import_parquet(spark, path, table) if present else empty(spark, table)
+        out[table] = import_parquet(spark, path, table) if exists(spark, path) else empty(spark, table)
     return out
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from quantloom.sources import changelog
+from quantloom.sources import changelog, vendor
 
 OVERLAP_DAYS = 7
 
@@ -23,25 +23,27 @@ def resume(rows: DataFrame, completed_through: str | None, date: str = "trade_da
     return rows if completed_through is None else rows.where(F.col(date) >= overlap_start(completed_through, days))
 
 
+def market_days(bars: DataFrame, factors: DataFrame, basics: DataFrame, completed_through: str | None = None) -> DataFrame:
+    """Canonical daily rows to publish after a completed sync; days whose bars lack a factor are refused."""
+    daily, missing = vendor.market_day(resume(bars, completed_through), factors, basics)
+    vendor.require_factors(missing)
+    return daily
+
+
 def append_batches(
     spark: SparkSession, source: str, schema: T.StructType, keys: Sequence[str], log: str, checkpoint: str,
-    transform: Callable[[DataFrame], DataFrame] | None = None, files_per_batch: int = 1,
+    transform: Callable[[DataFrame], DataFrame] | None = None, files_per_batch: int = 1, sequence: str | None = None,
 ) -> StreamingQuery:
     """Read every new Parquet file and publish each micro-batch as one version of the log.
 
     A batch writes its own version folder with overwrite, so a replay after a
     failure replaces the same version; readers see data and version together.
+    ``sequence`` orders rows of one key; read with ``by=("_row", "_version")`` if files may arrive in any order.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         rows = batch if transform is None else batch.transform(transform)
-        changelog.check_keys(rows, keys)
-        stamped = changelog.stamp(rows, batch_id, "upsert").drop("_version")
-        stamped.write.mode("overwrite").parquet(f"{log}/_version={batch_id}")
+        changelog.write_version(changelog.stamp(rows, batch_id, "upsert", sequence), keys, log, batch_id, "overwrite")
 
     return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def read_log(spark: SparkSession, log: str) -> DataFrame:
-    return spark.read.parquet(log).withColumn("_version", F.col("_version").cast("long"))

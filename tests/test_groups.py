@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.functions import groups
-from quantloom.operators import cross_section, evaluate
+from quantloom.functions.tails import benjamini_hochberg
+from quantloom.operators import combine, cross_section, evaluate
 
 
 @pytest.fixture(scope="module")
@@ -143,3 +144,20 @@ def test_reverse_place_equals_a_descending_rank(spark, hot):
     other = groups.ranks(df, ["g"], "v", ["symbol"], first="expected", descending=True).select("symbol", "expected")
     got = up.join(other, "symbol").collect()
     assert len(got) == 200 and all(r["down"] == r["expected"] for r in got)
+
+
+@pytest.mark.parametrize("family", [[], ["key"]])
+def test_q_values_of_a_huge_family(spark, table, family, monkeypatch):
+    frame = table.assign(x=table["x"].abs() / 4)
+    df = to_spark(spark, frame)
+    want = benjamini_hochberg(df, "x", "q", family).toPandas().set_index("symbol").sort_index()
+    monkeypatch.setattr(groups, "ROWS_PER_TASK", 37)
+    got = benjamini_hochberg(df, "x", "q", family, ties=["symbol"], hot=True).toPandas().set_index("symbol").sort_index()
+    pd.testing.assert_frame_equal(got[["x", "q"]], want[["x", "q"]])
+
+
+def test_weights_of_a_huge_group(spark, table):
+    df = to_spark(spark, table)
+    want, got = (combine.normalise_nonnegative(df, ["key"], "x", hot).toPandas().set_index("symbol").sort_index() for hot in (False, True))
+    pd.testing.assert_series_equal(got["x"], want["x"])
+    assert want.groupby("key")["x"].sum().round(9).eq(1).all()

@@ -42,7 +42,7 @@ def test_filters_reach_the_scan(spark, tmp_path):
 
 def log(spark):
     a = changelog.stamp(spark.createDataFrame([("a", 1), ("b", 2)], "symbol string, value long"), 1, "replace")
-    b = changelog.stamp(spark.createDataFrame([("b", 3), ("c", 4), ("c", 5)], "symbol string, value long").coalesce(1), 2, "upsert")
+    b = changelog.stamp(spark.createDataFrame([("b", 3), ("c", 4), ("c", 5)], "symbol string, value long"), 2, "upsert", "value")
     c = changelog.stamp(spark.createDataFrame([("d", 6, 9.0)], "symbol string, value long, volume double"), 3, "upsert")
     return changelog.grow(changelog.grow(a, b), c)
 
@@ -58,6 +58,39 @@ def test_versioned_reads(spark):
     assert [r["symbol"] for r in kept] == ["c"]
 
 
+def test_order_comes_from_the_data(spark):
+    rows = [("k%d" % (i % 5), i, i * 7 % 10) for i in range(40)]
+    df = spark.createDataFrame(rows, "symbol string, place long, value long")
+    reads = [
+        sorted(map(tuple, changelog.read(changelog.stamp(df.repartition(n, "value").orderBy(F.desc("value")), 1, "upsert", "place"), ["symbol"]).collect()))
+        for n in (1, 7)
+    ]
+    assert reads[0] == reads[1] == [("k%d" % k, 35 + k, (35 + k) * 7 % 10) for k in range(5)]
+    with pytest.raises(tables.ContractError, match="sequence"):
+        changelog.check_order(changelog.stamp(df, 1, "upsert"), ["symbol"])
+
+
+def test_write_modes(spark, tmp_path):
+    path, schema = str(tmp_path / "log"), "symbol string, value long"
+
+    def live():
+        return {r["symbol"]: r["value"] for r in changelog.read(changelog.open_log(spark, path), ["symbol"]).collect()}
+
+    def put(rows, mode):
+        return changelog.publish(spark, path, spark.createDataFrame(rows, schema), ["symbol"], mode)
+
+    assert put([("a", 1)], "upsert") == 0
+    assert put([("b", 2)], "replace") == 1 and live() == {"b": 2}
+    assert put([("b", 3), ("c", 4)], "upsert") == 2 and live() == {"b": 3, "c": 4}
+    with pytest.raises(tables.ContractError, match="live"):
+        put([("c", 5), ("d", 6)], "append")
+    assert put([("a", 7)], "append") == 3 and live() == {"a": 7, "b": 3, "c": 4}
+    with pytest.raises(tables.ContractError, match="unknown mode"):
+        put([("a", 7)], "merge")
+    with pytest.raises(tables.ContractError, match="sequence"):
+        put([("a", 7), ("a", 8)], "upsert")
+
+
 def test_columns_cannot_be_dropped(spark):
     with pytest.raises(tables.ContractError):
         changelog.grow(log(spark), spark.createDataFrame([("a",)], "symbol string"))
@@ -117,7 +150,7 @@ def test_sync_is_idempotent(spark, tmp_path):
     spark.createDataFrame([("a", D(2024, 1, 2), 2.0), ("a", D(2024, 1, 3), 3.0)], schema).coalesce(1).write.mode("append").parquet(src)
     for _ in range(2):
         sync.append_batches(spark, src, typed, ["symbol", "trade_date"], out, cp).awaitTermination()
-    rows = {r["trade_date"].day: r["close"] for r in changelog.read(sync.read_log(spark, out), ["symbol", "trade_date"]).collect()}
+    rows = {r["trade_date"].day: r["close"] for r in changelog.read(changelog.open_log(spark, out), ["symbol", "trade_date"]).collect()}
     assert rows == {2: 2.0, 3: 3.0}
     later = sync.resume(first, "2024-01-08").count(), sync.resume(first, "2024-01-10").count()
     assert later == (1, 0)
