@@ -140,6 +140,23 @@ def test_suffix_array_and_common_prefixes():
             assert common[b] == k
 
 
+def test_suffix_array_of_bytes_is_that_of_a_list():
+    rnd = random.Random(5)
+    for _ in range(200):
+        s = bytes(rnd.randrange(1, rnd.choice([2, 3, 255]) + 1) for _ in range(rnd.randrange(60))) + b"\0"
+        assert suffix.suffix_array(s, 256) == suffix.suffix_array(list(s), 256) == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def test_recurring_windows_of_texts_with_character_zero():
+    rnd = random.Random(6)
+    for _ in range(60):
+        texts = [bytes(rnd.choice(b"\0\x01a") for _ in range(rnd.randrange(8, 40))) for _ in range(4)]
+        rows = [(1, k, 0, 0, len(t) - 5, [2 * (len(t) - 5)], t) for k, t in enumerate(texts)]
+        counts = Counter(t[i : i + 6] for t in texts for i in range(len(t) - 5))
+        want = {(k, i) for k, t in enumerate(texts) for i in range(len(t) - 5) if counts[t[i : i + 6]] > 1}
+        assert {(k, s + j) for k, _, s, n in suffix.recurring(rows, 6) for j in range(n)} == want
+
+
 def test_automaton_knows_first_ends():
     rnd = random.Random(8)
     words = [bytes([rnd.choice(b"abc")]) for _ in range(300)]
