@@ -46,13 +46,13 @@ GENERATOR = 0b101011100011
 SHORT_RUN = 24
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """The signed 64-bit SimHash of a text's word shingles, repeats included."""
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The hashes of a text's word shingles in order, repeats included; empty without words."""
     import xxhash
 
     data = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not data:
-        return 0
+        return np.empty(0, np.uint64)
     if len(data) < words:
         words = len(data)
     joined = b" ".join(data)
@@ -60,7 +60,15 @@ def fingerprint(text: str | None, words: int) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     hash_ = xxhash.xxh64_intdigest
     n = len(data) - words + 1
-    h = np.fromiter((hash_(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((hash_(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """The signed 64-bit SimHash of a text's word shingles, repeats included."""
+    h = shingles(text, words)
+    n = len(h)
+    if not n:
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 4096):
         counts += np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
