@@ -14,6 +14,10 @@ its own number of shingles:
    part of the item's shingles, weighted by how often the item repeats them, that
    the window contains.
 
+An item that repeats shingles can be held by a window with fewer distinct ones and with another
+fingerprint: its windows start where the fewest that suffice lie close together, and all of them
+go to the third step.
+
 Everything is built-in functions. The table of items is broadcast only below a
 checked number of shingles; above, Spark joins it as it would any table.
 
@@ -66,9 +70,22 @@ def simhash(hashes: Column) -> Column:
 
 
 def items_of(benchmark: DataFrame, item_col: str, text_col: str, words: int) -> DataFrame:
-    """``item``, ``shingles`` and their number ``size``; items without words are left out."""
+    """``item``, ``shingles``, their number ``size`` and whether it ``repeats`` any; items without words are left out."""
     named = benchmark.select(F.col(item_col).alias("item"), shingle_hashes(F.col(text_col), words).alias("shingles"))
-    return named.withColumn("size", F.size("shingles")).filter((F.col("size") > 0) & F.col("item").isNotNull())
+    sized_ = named.withColumn("size", F.size("shingles")).withColumn("repeats", F.size(F.array_distinct("shingles")) < F.col("size"))
+    return sized_.filter((F.col("size") > 0) & F.col("item").isNotNull())
+
+
+def least_held(size: Column, similarity: float) -> Column:
+    """The shingles of an item, repeats included, that a similar window holds at least."""
+    return F.ceil(size * similarity - 1e-9).cast("int")
+
+
+def least_distinct(shingles: Column, need: Column) -> Column:
+    """The fewest distinct shingles that make up ``need`` of an item's shingles: those it repeats most."""
+    often = F.sort_array(F.transform(F.array_distinct(shingles), lambda s: F.size(F.filter(shingles, lambda x: x == s))), False)
+    first = lambda n: F.aggregate(F.slice(often, 1, n), F.lit(0), lambda a, c: a + c)
+    return F.size(F.filter(F.sequence(F.lit(0), F.size(often) - 1), lambda n: first(n) < need))
 
 
 def item_keys(items: DataFrame, radius: int) -> DataFrame:
@@ -95,19 +112,27 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
 
 
-def window_starts(docs: DataFrame, items: DataFrame, words: int, similarity: float) -> DataFrame:
-    """``doc``, ``text_hash``, ``size`` and ``starts``: where windows of an item size can be similar enough."""
-    shingle_sizes = items.select(F.explode("shingles").alias("h"), "size").distinct()
+def window_starts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``doc``, ``text_hash``, the columns of ``wanted`` but ``h`` and ``need``, and ``starts``: where windows of ``size``
+    begin in which ``need`` or more positions have a shingle ``h``."""
+    keys = ["doc", "text_hash", *(c for c in wanted.columns if c != "h")]
     each = docs.select("doc", "text_hash", F.posexplode(shingle_hashes(F.col("text"), words)).alias("pos", "h"))
-    hits = each.join(sized(shingle_sizes, shingle_sizes.count()), "h").groupBy("doc", "text_hash", "size").agg(F.array_sort(F.collect_set("pos")).alias("at"))
-    need = F.ceil(F.col("size") * similarity - 1e-9).cast("int")
+    hits = each.join(sized(wanted, wanted.count()), "h").groupBy(*keys).agg(F.array_sort(F.collect_set("pos")).alias("at"))
 
     def first_to_last(i: Column) -> Column:
         first, last = F.get("at", i), F.get("at", i + F.col("need") - 1)
         return F.when(last - first < F.col("size"), F.sequence(F.greatest(F.lit(0), last - F.col("size") + 1), first)).otherwise(F.array().cast("array<int>"))
 
     starts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), first_to_last)))
-    return hits.withColumn("need", need).filter(F.size("at") >= F.col("need")).select("doc", "text_hash", "size", starts.alias("starts"))
+    return hits.filter(F.size("at") >= F.col("need")).select(*(c for c in keys if c != "need"), starts.alias("starts"))
+
+
+def windows_at(docs: DataFrame, starts: DataFrame, words: int) -> DataFrame:
+    """The columns of ``starts`` but ``text_hash``, and per start the shingles of its ``window``."""
+    more = [c for c in starts.columns if c not in ("doc", "text_hash", "starts")]
+    shingled = docs.join(starts, ["doc", "text_hash"]).select("doc", *more, "starts", shingle_hashes(F.col("text"), words).alias("all"))
+    # Windows at the end of a text are shorter than the item; they keep what is there.
+    return shingled.select("doc", *more, "all", F.explode("starts").alias("start")).withColumn("window", F.slice("all", F.col("start") + 1, F.col("size"))).drop("all")
 
 
 def leaks(
@@ -119,17 +144,21 @@ def leaks(
     items = items_of(benchmark, item_col, item_text_col, words)
     plain = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter(F.col("doc").isNotNull())
     plain = plain.withColumn("text_hash", F.xxhash64("text"))
-    starts = window_starts(plain, items, words, similarity)
-    shingled = plain.join(starts, ["doc", "text_hash"]).select("doc", "size", "starts", shingle_hashes(F.col("text"), words).alias("all"))
-    # Windows at the end of a text are shorter than the item; they keep what is there.
-    windows = shingled.select("doc", "size", "all", F.explode("starts").alias("start")).withColumn("window", F.slice("all", F.col("start") + 1, F.col("size"))).drop("all")
-    n, total = items.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    keys = sized(item_keys(items, radius), n * sum(comb(w, e) for _, w in BLOCKS for e in range(radius // len(BLOCKS) + 1)))
+    once, repeating = items.filter("not repeats"), items.filter("repeats")
+    n, total, n_repeating = items.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.count_if("repeats")).first()
+    sizes = once.select(F.explode("shingles").alias("h"), "size").distinct().withColumn("need", least_held(F.col("size"), similarity))
+    windows = windows_at(plain, window_starts(plain, sizes, words), words)
+    keys = sized(item_keys(once, radius), n * sum(comb(w, e) for _, w in BLOCKS for e in range(radius // len(BLOCKS) + 1)))
     printed = windows.withColumn("print", simhash(F.col("window")))
     blocks = F.array(*(F.struct(F.lit(k).alias("block"), _block(F.col("print"), at, width).alias("value")) for k, (at, width) in enumerate(BLOCKS)))
     near = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius
     met = printed.withColumn("b", F.explode(blocks)).select("*", "b.block", "b.value").join(keys, ["size", "block", "value"]).filter(near)
-    pairs = met.select("doc", "item", "start", "size", "window").distinct()
+    pairs = met.select("doc", "item", "start", "size", "window")
+    if n_repeating:
+        need = least_distinct(F.col("shingles"), least_held(F.col("size"), similarity))
+        own = repeating.select("item", "size", need.alias("need"), F.explode(F.array_distinct("shingles")).alias("h"))
+        pairs = pairs.unionByName(windows_at(plain, window_starts(plain, own, words), words).select(*pairs.columns))
+    pairs = pairs.distinct()
     weights = sized(items.select(F.col("item").alias("of"), "shingles"), total)
     found = pairs.join(weights, F.col("item") == F.col("of"))
     held = F.size(F.filter("shingles", lambda s: F.array_contains("window", s)))
