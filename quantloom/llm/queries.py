@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import automata, bpe, decontam, langid, lines, packing, quality, simhash, suffix, urls
+from quantloom.llm import automata, bestfit, bpe, decontam, langid, lines, packing, quality, repair, simhash, suffix, urls, whitening
 from quantloom.session import scratch_folder
 
 QUERIES = {}
@@ -114,6 +114,28 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@register
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every usable vector on the four leading components, scaled to unit variance."""
+    rows = whitening.vectors(table(spark, folder, "embeddings"))
+    return whitening.whiten(rows, whitening.fit(rows, wanted=4))
+
+
+@register
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults, cheapest edits and the digest of what they leave of every damaged conversation."""
+    found = repair.repair(repair.damaged(table(spark, folder, "conversations")))
+    digests = repair.digests(found.messages).withColumnRenamed("conv_id", "of")
+    return found.reports.join(digests, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
+
+
+@register
+def op13_bestfit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Place of every piece of every document in sequences of at most 1024 tokens."""
+    packed = bestfit.pack(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2, limits=bestfit.Limits(tokens=1024))
+    return packed.drop("ids")
+
+
 SQL["op10_substring_dedup"] = r"""
 WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words),
