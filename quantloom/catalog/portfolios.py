@@ -6,7 +6,7 @@ from quantloom.catalog.evaluation import CTES, ICM, MONTHLY, NAMES, PANEL, VARIA
 from quantloom.catalog.registry import query
 from quantloom.operators import asof, combine, evaluate, formula, models, performance, pit, portfolio, selection
 from quantloom.plans import research
-from quantloom.session import cut
+from quantloom.session import cut, stored
 from quantloom.sources.market import INDEX_CODE, PERIODS
 
 # --- selection ---------------------------------------------------------------------------
@@ -203,7 +203,22 @@ for name, method in (("M13_frozen_ridge", "ridge"), ("M27_frozen_lasso", "lasso"
     query(name, lambda m, k=method: frozen(m, k, NAMES), "signal_date symbol", "prediction")
 query("M13_rank_label", lambda m: frozen(m, "ridge", NAMES, label_mode="rank"), "signal_date symbol", "prediction")
 query("M18_full_training", lambda m: frozen(m, "ols", NAMES), "signal_date symbol", "prediction")
-query("M14_walk_forward", lambda m: models.walk_forward(cut(models.feature_matrix(panel(m), NAMES)), NAMES, PERIODS, "ols", hot=m.hot()), "signal_date symbol", "prediction")
+WALK_ONE = {"f1": ONE["f1"], "mo": "SELECT signal_date, row_number() OVER (ORDER BY signal_date) - 1 AS p FROM (SELECT DISTINCT signal_date FROM f1)",
+            "re0": f"SELECT * FROM mo WHERE p >= 24 AND signal_date >= DATE '{PERIODS['development'][0]}' + {models.GRACE_DAYS} AND signal_date <= DATE '{PERIODS['validation'][1]}'",
+            "re": "SELECT signal_date AS fit_on FROM re0 WHERE (p - (SELECT min(p) FROM re0)) % 12 = 0",
+            "rm": "SELECT fit_on, median(v) AS md FROM re JOIN f1 ON signal_date < fit_on GROUP BY fit_on",
+            "rf": "SELECT fit_on, max(md) AS md, regr_slope(forward_return, coalesce(v, md)) AS b, regr_intercept(forward_return, coalesce(v, md)) AS a FROM rm JOIN f1 ON signal_date < fit_on WHERE forward_return IS NOT NULL GROUP BY fit_on"}
+
+
+def walked(m, names, method="ols", **kw):
+    return models.walk_forward(stored(models.feature_matrix(panel(m, names), names)), names, PERIODS, method, hot=m.hot(), **kw)
+
+
+x("M14_walk_forward_one_factor", lambda m: walked(m, ["VOLATILITY_20D"]), "signal_date symbol", "prediction",
+  "SELECT f1.signal_date, f1.symbol, a + b * coalesce(v, md) AS prediction FROM f1 ASOF LEFT JOIN rf ON f1.signal_date >= rf.fit_on", WALK_ONE)
+x("M14_refits", lambda m: walked(m, ["VOLATILITY_20D"], refit_months=12).groupBy("signal_date").agg(F.count("prediction").alias("scored"), F.avg("prediction").alias("mean")), "signal_date", "scored mean",
+  "SELECT f1.signal_date, count(a) AS scored, avg(a + b * coalesce(v, md)) AS mean FROM f1 ASOF LEFT JOIN rf ON f1.signal_date >= rf.fit_on GROUP BY 1", WALK_ONE, ints="scored")
+query("M14_walk_forward", lambda m: walked(m, NAMES), "signal_date symbol", "prediction")
 
 
 def model_panel(m, methods=("ols", "ridge")):

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions import groups
-from quantloom.operators import selection
+from quantloom.operators import moments, selection
 
 # Model settings on securities and on factor histories.
 STOCK_MODELS = {
@@ -44,16 +44,7 @@ def feature_matrix(panel: DataFrame, names: Sequence[str], index_code: str | Non
 
 def medians(train: DataFrame, names: Sequence[str]) -> dict[str, float]:
     """Exact column medians of the training rows (0 where a column is empty)."""
-    long = train.select("signal_date", "symbol", *names).unpivot(["signal_date", "symbol"], list(names), "factor_name", "x")
-    long = long.where(F.col("x").isNotNull())
-    rows = train.count()
-    if rows <= groups.ROWS_PER_TASK:
-        found = long.groupBy("factor_name").agg(F.median("x").alias("m"))
-    else:
-        found = groups.median(long, ["factor_name"], "x", "m", ties=["signal_date", "symbol"], hot=True)
-        found = found.groupBy("factor_name").agg(F.first("m").alias("m"))
-    values = {r["factor_name"]: float(r["m"]) for r in found.collect()}
-    return {n: values.get(n, 0.0) for n in names}
+    return dict.fromkeys(names, 0.0) | moments.medians(train, names)[0]
 
 
 def impute(rows: DataFrame, names: Sequence[str], fill: Mapping[str, float]) -> DataFrame:
@@ -95,27 +86,8 @@ class Trees:
         return self.model.transform(ready).withColumnRenamed("prediction", out).drop("__features")
 
 
-def gram(rows: DataFrame, names: Sequence[str], label: str) -> np.ndarray:
-    """Cross products of (1, features, label): every task returns one small matrix and they are added up."""
-    columns = [*names, label]
-    size = len(columns) + 1
-
-    def partial(batches):
-        total = np.zeros((size, size))
-        for batch in batches:
-            x = np.column_stack([np.ones(len(batch)), batch[columns].to_numpy("float64")])
-            total += x.T @ x
-        yield pd.DataFrame({"i": np.arange(size * size), "v": total.ravel()})
-
-    parts = rows.select(*columns).mapInPandas(partial, "i int, v double")
-    values = np.zeros(size * size)
-    for r in parts.groupBy("i").agg(F.sum("v").alias("v")).collect():
-        values[r["i"]] = r["v"]
-    return values.reshape(size, size)
-
-
 def solve_linear(g: np.ndarray, method: str, alpha: float = 0.0, rounds: int = 5000) -> tuple[np.ndarray, float]:
-    """Coefficients and intercept from cross products: least squares, ridge or lasso.
+    """Coefficients and intercept from products of (1, features, label): least squares, ridge or lasso.
 
     Ridge and lasso work on standardised features; alpha multiplies the squared
     norm against the summed errors (ridge) or the L1 norm against half the mean
@@ -148,13 +120,19 @@ def solve_linear(g: np.ndarray, method: str, alpha: float = 0.0, rounds: int = 5
     return w, mean[-1] - mean[:-1] @ w
 
 
+def linear(found: moments.Moments, products: np.ndarray, fill: Mapping[str, float], method: str, options: Mapping) -> Linear:
+    """The linear model of a sample given by its moments, gaps filled."""
+    w, intercept = solve_linear(found.filled(products, fill), method, options.get("alpha", 0.0))
+    return Linear(found.names, tuple(w), float(intercept + found.shift[-1] - found.shift[:-1] @ w))
+
+
 def fit(train: DataFrame, names: Sequence[str], label: str, method: str, settings: Mapping = STOCK_MODELS) -> Linear | Trees:
     """Fit on complete rows."""
     options = dict(settings.get(method, {}))
     names = tuple(names)
     if method in LINEAR:
-        w, intercept = solve_linear(gram(train, names, label), method, options.get("alpha", 0.0))
-        return Linear(names, tuple(w), float(intercept))
+        found = moments.moments(train, names, label)
+        return linear(found, found.before(0), {}, method, options)
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 
@@ -203,9 +181,14 @@ def frozen(
     return scored.select("signal_date", "symbol", "prediction", "forward_return"), {"train_rows": count, "imputation": fill, "model": model}
 
 
-def refit_dates(months: Sequence, start, stop, refit_months: int = 12, minimum: int = 24) -> list:
+#: Fixed value: days after the start of development before the first fit.
+GRACE_DAYS = 400
+
+
+def refit_dates(months: Sequence, start, stop, refit_months: int = 12, minimum: int = 24, grace_days: int = GRACE_DAYS) -> list:
     """Months at which a walk-forward model is fitted again."""
     out, last = [], None
+    start = start + dt.timedelta(days=grace_days)
     for i, month in enumerate(months):
         due = last is None or i - last >= refit_months
         if start <= month <= stop and i >= minimum and due:
@@ -223,30 +206,51 @@ def walk_forward(
     label_mode: str = "return",
     refit_months: int = 12,
     minimum: int = 24,
+    grace_days: int = GRACE_DAYS,
     hot: bool = False,
     settings: Mapping = STOCK_MODELS,
 ) -> DataFrame:
-    """Refit on strictly past rows up to the validation end; each model scores until the next. One fit per refit date."""
-    import datetime as dt
+    """Refit on strictly past rows up to the validation end; each model scores until the next.
 
+    Linear models are solved from running sums of moments, so the rows are read as often for one
+    fit as for many, and all are scored in one pass. Trees need the rows of every fit.
+    """
     labelled = label_column(features, label_mode, hot)
     months = sorted(r["signal_date"] for r in features.select("signal_date").distinct().collect())
     start, stop = (dt.date.fromisoformat(d) for d in (periods["development"][0], periods["validation"][1]))
-    refits = refit_dates(months, start, stop, refit_months, minimum)
+    refits = refit_dates(months, start, stop, refit_months, minimum, grace_days)
+    keep = ["signal_date", "symbol", "prediction", "forward_return"]
+    if not refits:
+        return features.withColumn("prediction", F.lit(None).cast("double")).select(*keep)
+    past = labelled.where(F.col("signal_date") < F.lit(refits[-1]))
+    selection.check_isolation(past, periods["test"][0])
+    spanned = moments.with_span(past, refits[:-1])
+    fills = [dict.fromkeys(names, 0.0) | m for m in moments.medians(spanned, names, len(refits))]
+    if method in LINEAR:
+        found = moments.moments(spanned, names, "label", len(refits))
+        fitted = [linear(found, found.before(i), fill, method, settings.get(method, {})) for i, fill in enumerate(fills)]
+        return score_spans(moments.with_span(features, refits), fitted, fills).select(*keep)
     scored = None
     for i, at in enumerate(refits):
         train = labelled.where(F.col("signal_date") < F.lit(at))
-        selection.check_isolation(train, periods["test"][0])
-        fill = medians(train, names)
-        model = fit(impute(train, names, fill).where(F.col("label").isNotNull()), names, "label", method, settings)
+        model = fit(impute(train, names, fills[i]).where(F.col("label").isNotNull()), names, "label", method, settings)
         block = features.where(F.col("signal_date") >= F.lit(at))
         if i + 1 < len(refits):
             block = block.where(F.col("signal_date") < F.lit(refits[i + 1]))
-        part = model.predict(impute(block, names, fill)).select("signal_date", "symbol", "prediction", "forward_return")
+        part = model.predict(impute(block, names, fills[i])).select(*keep)
         scored = part if scored is None else scored.unionByName(part)
-    early = features if not refits else features.where(F.col("signal_date") < F.lit(refits[0]))
-    unscored = early.select("signal_date", "symbol", F.lit(None).cast("double").alias("prediction"), "forward_return")
-    return unscored if scored is None else unscored.unionByName(scored)
+    early = features.where(F.col("signal_date") < F.lit(refits[0]))
+    return early.withColumn("prediction", F.lit(None).cast("double")).select(*keep).unionByName(scored)
+
+
+def score_spans(rows: DataFrame, fitted: Sequence[Linear], fills: Sequence[Mapping[str, float]]) -> DataFrame:
+    """``rows`` with the ``prediction`` of the model of their span; span 0 has none, span i the model i - 1."""
+    names = fitted[0].names
+    table = [(i + 1, list(map(float, m.coefficients)), [float(f[n]) for n in names], float(m.intercept)) for i, (m, f) in enumerate(zip(fitted, fills, strict=True))]
+    schema = f"{moments.SPAN} int, __w array<double>, __fill array<double>, __a double"
+    models = F.broadcast(rows.sparkSession.createDataFrame(table, schema))  # one row per fit
+    value = sum((F.coalesce(F.col(n).cast("double"), F.col("__fill")[j]) * F.col("__w")[j] for j, n in enumerate(names)), F.col("__a"))
+    return rows.join(models, moments.SPAN, "left").withColumn("prediction", value).drop(moments.SPAN, "__w", "__fill", "__a")
 
 
 def predictions_panel(scored: DataFrame, name: str, index_code: str = "ALL_A") -> DataFrame:

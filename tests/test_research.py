@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.scalar import fees, security_code
 from quantloom.functions.tails import add_hac_t, benjamini_hochberg, two_sided_p
-from quantloom.operators import combine, evaluate, models, performance, portfolio, selection
+from quantloom.operators import combine, evaluate, models, moments, performance, portfolio, selection
 
 PERIODS = {"development": ("2014-01-01", "2017-12-31"), "validation": ("2018-01-01", "2018-12-31"), "test": ("2019-01-01", "2019-12-31")}
 
@@ -125,13 +125,47 @@ def test_labels_that_end_later_are_purged(features):
 
 
 def test_walk_forward_refits_on_the_past(features):
-    import datetime as dt
-
     months = sorted(r[0] for r in features.select("signal_date").distinct().collect())
     refits = models.refit_dates(months, dt.date(2014, 1, 1), dt.date(2018, 12, 31))
     assert [months.index(d) for d in refits] == [24, 36]
-    scored = models.walk_forward(features, ["A", "B"], PERIODS, "ols").toPandas()
-    assert len(scored) == 1800 and scored["prediction"].isna().sum() == 24 * 30
+    assert models.refit_dates(months, dt.date(2016, 6, 1), dt.date(2018, 12, 31)) == [months[30], months[42]]
+    frame = features.toPandas()
+    for method, settings in (("ols", {}), ("ridge", {"ridge": {"alpha": 3.0}})):
+        scored = models.walk_forward(features, ["A", "B"], PERIODS, method, settings=settings).toPandas()
+        assert len(scored) == 1800 and scored["prediction"].isna().sum() == 24 * 30
+        expected = []
+        for i in (24, 36):
+            past = frame[frame["signal_date"] < months[i]]
+            fill = past[["A", "B"]].median()
+            x, y = past[["A", "B"]].fillna(fill).to_numpy(), past["forward_return"].to_numpy()
+            mean, scale = x.mean(axis=0), x.std(axis=0)
+            z = (x - mean) / scale
+            w = np.linalg.solve(z.T @ z + (3.0 if method == "ridge" else 0.0) * np.eye(2), z.T @ (y - y.mean())) / scale
+            block = frame[(frame["signal_date"] >= months[i]) & ((frame["signal_date"] < months[36]) | (i == 36))]
+            expected.append(block.assign(p=(block[["A", "B"]].fillna(fill).to_numpy() - mean) @ w + y.mean()))
+        both = pd.concat(expected).merge(scored, on=["signal_date", "symbol"])
+        assert len(both) == 36 * 30
+        np.testing.assert_allclose(both["prediction"], both["p"], atol=1e-12)
+
+
+def test_moments_of_spans_add_up(spark):
+    """Large means, gaps, ties and empty spans: equal to each sample read on its own."""
+    rng = np.random.default_rng(5)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=k) for k in range(10)]
+    edges = [days[3], days[4], days[4], days[9]]
+    data = [(days[k % 10], float(1e8 + rng.normal()) if k % 3 else None, float(rng.integers(0, 4)) if k % 10 > 4 else None, float(-1e6 + rng.normal()) if k % 11 else None) for k in range(700)]
+    rows = moments.with_span(spark.createDataFrame(data, "signal_date date, a double, b double, y double"), edges).repartition(5)
+    found, middles = moments.moments(rows, ["a", "b"], "y", 5), moments.medians(rows, ["a", "b"], 5)
+    frame = pd.DataFrame(data, columns=["day", "a", "b", "y"])
+    frame["span"] = [sum(e <= d for e in edges) for d in frame["day"]]
+    for last in range(5):
+        sample = frame[frame["span"] <= last]
+        exact = sample[["a", "b"]].median().dropna().to_dict()
+        assert middles[last] == pytest.approx(exact, rel=1e-15) and set(middles[last]) == set(exact)
+        for products, part in ((found.before(last), sample), (found.between(0, last), sample[sample["span"] > 0])):
+            part = part[part["y"].notna()].fillna({"a": 1e8, "b": 1.5})
+            z = np.column_stack([np.ones(len(part)), part[["a", "b", "y"]].to_numpy() - found.shift]) if len(part) else np.zeros((0, 4))
+            np.testing.assert_allclose(found.filled(products, {"a": 1e8, "b": 1.5}), z.T @ z, rtol=1e-9, atol=1e-6)
 
 
 def test_tree_models_run(features):
