@@ -11,7 +11,7 @@ from quantloom.catalog.registry import query
 from quantloom.catalog.sources import bundle, event_log
 from quantloom.operators import asof, evaluate, fundamentals, incremental, library, models, performance, pit, portfolio, quality
 from quantloom.plans import panels, research
-from quantloom.session import checkpoint_folder, cut
+from quantloom.session import cut, scratch_folder
 from quantloom.sources import changelog, tables
 from quantloom.sources.market import INDEX_CODE, PERIODS
 from quantloom.streaming import replay, sync
@@ -137,17 +137,19 @@ query("U11_grown_schema", lambda m: changelog.grow(m.table("events").where("even
 
 
 def scratch(m, name):
-    return f"{checkpoint_folder(m.spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_folder(m.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def synced_events(m):
-    source = m.table("events")
+    """A log that already holds two publications takes the rest of the events from files."""
+    source = m.table("events").select("event_id", "user_id", "event_type", "value")
     folder = scratch(m, "sync")
-    landing = f"{folder}/landing"
-    source.select("event_id", "user_id", "event_type", "value").repartition(4, "event_id").write.parquet(landing)
-    schema = m.spark.read.parquet(landing).schema
-    sync.append_batches(m.spark, landing, schema, ["user_id"], f"{folder}/log", f"{folder}/checkpoint", sequence="event_id").awaitTermination()
-    return changelog.read(changelog.open_log(m.spark, f"{folder}/log"), ["user_id"], by=("_row", "_version"))
+    landing, log = f"{folder}/landing", changelog.Log(m.spark, f"{folder}/log")
+    for k in (0, 1):
+        log.publish(source.where(F.col("event_id") % 6 == k), ["user_id"], "upsert", "event_id")
+    source.where("event_id % 6 > 1").repartition(4, "event_id").write.parquet(landing)
+    sync.append_batches(m.spark, landing, source.schema, ["user_id"], log.folder, f"{folder}/checkpoint", sequence="event_id").awaitTermination()
+    return log.read(["user_id"], by=changelog.ORDERS["sequence"])
 
 
 query("ST1_synced_events", synced_events, "event_id user_id event_type", "value", sql="SELECT event_id, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
@@ -332,9 +334,9 @@ def written_log(m):
     changelog.publish(m.spark, log, rows, ["user_id"], "upsert", "event_id")
     changelog.publish(m.spark, log, rows.where("value < 50"), ["user_id"], "replace", "event_id")
     changelog.publish(m.spark, log, rows.where("value >= 50 AND value < 100"), ["user_id"], "upsert", "event_id")
-    live = changelog.read(changelog.open_log(m.spark, log), ["user_id"], columns=["user_id"])
+    live = changelog.Log(m.spark, log).read(["user_id"], columns=["user_id"])
     changelog.publish(m.spark, log, rows.where("value >= 100").join(live, "user_id", "left_anti"), ["user_id"], "append", "event_id")
-    return changelog.read(changelog.open_log(m.spark, log), ["user_id"])
+    return changelog.Log(m.spark, log).read(["user_id"])
 
 
 query("S24_written_log", written_log, "user_id event_id", "value",

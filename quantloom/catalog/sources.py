@@ -1,5 +1,7 @@
 """Sources S, predicates P and scalar functions C."""
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from quantloom.catalog.registry import query
 from quantloom.functions import scalar as c
 from quantloom.operators import asof, pit
 from quantloom.sources import changelog, loading, tables, vendor
+from quantloom.session import scratch_folder
 from quantloom.sources.market import INDEX_CODE, PERIODS
 from quantloom.streaming import sync
 
@@ -78,6 +81,27 @@ query("S9_versioned_read", lambda m: changelog.read(event_log(m), ["user_id"], a
       "user_id event_type", "value", extra=LOG, sql="SELECT * FROM live WHERE event_type <> 'error'")
 query("S10_versioned_count", lambda m: changelog.read(event_log(m), ["user_id"], as_of=37).agg(F.count(F.lit(1)).alias("n")), (), "n", ints="n",
       extra=LOG, sql="SELECT count(*) AS n FROM live")
+
+
+def compacted_log(m, order):
+    """Events in five publications, the second a replacement; compacted after the third."""
+    log = changelog.Log(m.spark, f"{scratch_folder(m.spark)}/log-{uuid.uuid4().hex}")
+    rows = m.table("events").select("user_id", "event_type", "value", "event_id")
+    for k in range(5):
+        log.publish(rows.where(F.floor(F.col("event_id") / 100) % 5 == k), ["user_id"], "replace" if k == 1 else "upsert", "event_id")
+        if k == 2:
+            log.compact(["user_id"], order)
+    return log
+
+
+PUB = {"pub": "SELECT user_id, event_type, value, event_id, (event_id // 100) % 5 AS ver FROM events WHERE (event_id // 100) % 5 >= 1"}
+NEWEST = "SELECT * FROM pub WHERE ver <= 3 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ver DESC, event_id DESC) = 1"
+query("S9_compacted_read", lambda m: compacted_log(m, "version").read(["user_id"], as_of=3, filters=[("event_type", "!=", "error")]), "user_id event_id event_type", "value", extra=PUB,
+      sql=f"SELECT * FROM ({NEWEST}) WHERE event_type <> 'error'")
+query("S9_compacted_by_sequence", lambda m: compacted_log(m, "sequence").read(["user_id"], by=changelog.ORDERS["sequence"]), "user_id event_id event_type", "value", extra=PUB,
+      sql="SELECT * FROM pub QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+query("S10_compacted_count", lambda m: compacted_log(m, "version").read(["user_id"], as_of=3, columns=["user_id"]).agg(F.count(F.lit(1)).alias("n")), (), "n", ints="n", extra=PUB,
+      sql=f"SELECT count(*) AS n FROM ({NEWEST})")
 query("S11_pinned_version", lambda m: changelog.pinned({"events": event_log(m)}, {"events": ["user_id", "event_type"]}, 12)["events"],
       "user_id event_type", "value", extra={"log": LOG["log"]}, sql="""SELECT * FROM log WHERE ver <= 12 AND ver >= 10
         QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ver DESC, event_id DESC) = 1""")

@@ -156,6 +156,102 @@ def test_sync_is_idempotent(spark, tmp_path):
     assert later == (1, 0)
 
 
+def published(log, keys=("symbol",), **kw):
+    """The rows at every version."""
+    return [sorted(map(tuple, log.read(list(keys), as_of=v, **kw).collect())) for v in range(log.version + 1)]
+
+
+def test_sync_keeps_what_is_published(spark, tmp_path, monkeypatch):
+    src, cp = str(tmp_path / "src"), str(tmp_path / "cp")
+    log = changelog.Log(spark, str(tmp_path / "log"))
+    schema = "symbol string, trade_date date, close double"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    keys = ["symbol", "trade_date"]
+    log.publish(rows(("a", D(2024, 1, 1), 1.0)), keys)
+    log.publish(rows(("b", D(2024, 1, 1), 2.0)), keys, "replace")
+    before = published(log, keys)
+    rows(("a", D(2024, 1, 2), 3.0)).coalesce(1).write.parquet(src)
+    sync_now = lambda: sync.append_batches(spark, src, rows(("a", D(2024, 1, 2), 3.0)).schema, keys, log.folder, cp, progress="trade_date").awaitTermination()
+    sync_now()
+    assert published(log, keys)[:2] == before and log.version == 2 and log.through == "2024-01-02"
+    # Another writer comes between, then a batch dies after its data and before its entry.
+    log.publish(rows(("c", D(2024, 1, 1), 4.0)), keys)
+    rows(("a", D(2024, 1, 3), 5.0)).coalesce(1).write.mode("append").parquet(src)
+    whole = changelog.Log._commit
+
+    def dies(self, name, entry):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(changelog.Log, "_commit", dies)
+    with pytest.raises(Exception, match="lost"):
+        sync_now()
+    assert log.version == 3 and log.through == "2024-01-02" and len(published(log, keys)[-1]) == 3
+
+    def dies_later(self, name, entry):
+        whole(self, name, entry)
+        raise RuntimeError("lost later")
+
+    monkeypatch.setattr(changelog.Log, "_commit", dies_later)
+    with pytest.raises(Exception, match="lost later"):
+        sync_now()
+    monkeypatch.setattr(changelog.Log, "_commit", whole)
+    sync_now()
+    assert log.version == 4 and log.through == "2024-01-03"
+    assert published(log, keys)[-1] == [("a", D(2024, 1, 2), 3.0), ("a", D(2024, 1, 3), 5.0), ("b", D(2024, 1, 1), 2.0), ("c", D(2024, 1, 1), 4.0)]
+    assert published(log, keys)[:2] == before
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    log = changelog.Log(spark, str(tmp_path / "log"))
+    one = spark.createDataFrame([("a", 1)], "symbol string, value long")
+    log.publish(one, ["symbol"])
+    entry = log.commits()[0]
+    with pytest.raises(tables.ContractError, match="another writer"):
+        log._commit(f"{0:012d}", entry)
+    assert published(log) == [[("a", 1)]]
+    with pytest.raises(tables.ContractError, match="type"):
+        log.publish(spark.createDataFrame([("a", "x")], "symbol string, value string"), ["symbol"])
+
+
+@pytest.mark.parametrize("order", ["version", "sequence"])
+def test_compaction_changes_no_read(spark, tmp_path, order):
+    plain, log = (changelog.Log(spark, str(tmp_path / n)) for n in ("plain", "it's compacted"))
+    rng = np.random.default_rng(1)
+    by = changelog.ORDERS[order]
+    for v in range(7):
+        made = [(f"k{k}", int(rng.integers(0, 10**6)), float(v)) for k in rng.choice(30, 12, replace=False)]
+        frame = spark.createDataFrame(made, "symbol string, place long, value double")
+        if v >= 5:
+            frame = frame.withColumn("late column", F.col("value") * 2)
+        for target in (plain, log):
+            target.publish(frame, ["symbol"], "replace" if v == 3 else "upsert", "place")
+        if v in (1, 4, 6):
+            assert log.compact(["symbol"], order, buckets=3) == v == log.compact(["symbol"], order)
+    assert published(log, by=by) == published(plain, by=by)
+    late = dict(filters=[("value", ">=", 4.0), ("symbol", "!=", "k3")], columns=["symbol", "late column"], by=by)
+    for v in (5, 6):
+        assert sorted(log.read(["symbol"], as_of=v, **late).collect()) == sorted(plain.read(["symbol"], as_of=v, **late).collect())
+
+
+def test_compacted_base_is_not_shuffled(spark, tmp_path):
+    log = changelog.Log(spark, str(tmp_path / "log"))
+    rows = spark.range(1000).select(F.col("id").alias("symbol"), F.col("id").alias("value"))
+    log.publish(rows, ["symbol"])
+    log.compact(["symbol"], buckets=4)
+    log.publish(rows.where("symbol % 100 = 0").withColumn("value", F.lit(-1).cast("long")), ["symbol"])
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        read = log.read(["symbol"])
+        plan = read._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.count("Bucketed: true") == 1 and "_version=0" not in plan
+        # The first child of the join is the base, and reaches it as it lies in the files.
+        assert "Exchange" not in plan[plan.index("SortMergeJoin") : plan.index("Bucketed: true")]
+        assert read.where("value < 0").count() == 10 and read.count() == 1000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_stored_values_fill_only_gaps(spark, tmp_path):
     path = str(tmp_path / "values")
     asked = []
