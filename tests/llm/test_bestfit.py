@@ -132,6 +132,34 @@ def test_hard_rows(spark):
     assert bestfit.pack(empty, VOCABULARY, 2).collect() == []
 
 
+def test_encoder_equals_the_library():
+    library = Tokenizer.from_file(VOCABULARY)
+    encoder = bestfit.Encoder(open(VOCABULARY, encoding="utf-8").read())
+    rnd = random.Random(9)
+    parts = ["a", "Été", " ", "  ", "\n", "\t ", "\u3000", "don't", "x²", "中文", "ª", "١٢", "😀", "<|endoftext|>", ".", "e\u0301", "\x01", "Ǆ", "ⅷ"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(60))) for _ in range(500)] + [None, ""]
+    ids, counts = encoder.encode(bestfit.pa.array(texts))
+    ends = np.cumsum(counts)
+    for text, a, b in zip(texts, ends - counts, ends):
+        assert ids[a:b].tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_other_vocabularies_are_refused_or_merged_in_their_order():
+    import json
+
+    known = json.loads(open(VOCABULARY, encoding="utf-8").read())
+    with pytest.raises(ValueError):
+        bestfit.Encoder(json.dumps(known | {"normalizer": {"type": "Lowercase"}}))
+    merges = known["model"]["merges"][:400]
+    turned = [*merges[:300], merges[301], merges[300], *merges[302:]]
+    symbols = sorted(known["model"]["vocab"], key=known["model"]["vocab"].get)[:656]
+    small = known | {"added_tokens": [], "model": known["model"] | {"merges": turned, "vocab": {t: i for i, t in enumerate(symbols)}}}
+    encoder, library = bestfit.Encoder(json.dumps(small)), Tokenizer.from_str(json.dumps(small))
+    assert encoder.library is None
+    text = "The thing that was there, and then some other things in this place."
+    assert encoder.encode(bestfit.pa.array([text]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_query_on_the_given_table(spark):
     folder = "/root/testdata/sf0.01"
     documents = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
