@@ -349,8 +349,13 @@ def fills(m):
 
 
 FILL = {"fi": """SELECT symbol, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS s, l_quantity AS q, l_extendedprice AS n, l_linestatus = 'F' AS done, l_extendedprice * 0.0003 + CASE WHEN l_returnflag = 'R' THEN l_extendedprice * 0.001 ELSE 0 END + l_extendedprice * 0.00002 AS fee FROM trades"""}
+FILLED = {"net": "SELECT symbol, trade_date, sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END) AS net_shares FROM trades WHERE l_linestatus = 'F' GROUP BY 1, 2",
+          "run": "SELECT *, sum(net_shares) OVER (PARTITION BY symbol ORDER BY trade_date) AS position FROM net"}
 query("B8_replay_cash", lambda m: portfolio.replay(fills(m), 1e10)[0], (), "cash", ctes="trades", extra=FILL, sql="SELECT 1e10 - sum(s * n + fee) AS cash FROM fi WHERE done", digits=2)
 query("B8_replay_positions", lambda m: portfolio.replay(fills(m), 1e10)[1], "symbol", "shares", ctes="trades", extra=FILL, sql="SELECT symbol, sum(s * q) AS shares FROM fi WHERE done GROUP BY 1")
+query("B8_running_positions", lambda m: portfolio.running_positions(fills(m)), "symbol trade_date", "net_shares position", ctes="trades", extra=FILLED, sql="SELECT * FROM run")
+query("B8_short_positions", lambda m: portfolio.short_positions(fills(m)), "symbol first_short", "lowest places", ints="places", ctes="trades", extra=FILLED,
+      sql="SELECT symbol, min(trade_date) AS first_short, min(position) AS lowest, count(*) AS places FROM run WHERE position < 0 GROUP BY 1")
 query("B9_cost_attribution", lambda m: portfolio.cost_attribution(fills(m), 5.0, ["symbol"]), "symbol", "notional explicit_cost slippage_cost filled_orders rejected_orders", ints="filled_orders rejected_orders", ctes="trades", extra=FILL, digits=4,
       sql="SELECT symbol, sum(n) FILTER (done) AS notional, sum(fee) FILTER (done) AS explicit_cost, sum(n) FILTER (done) * 0.0005 AS slippage_cost, count(*) FILTER (done) AS filled_orders, count(*) FILTER (NOT done) AS rejected_orders FROM fi GROUP BY 1")
 query("B10_reject_reasons", lambda m: m.raw_daily.join(m.status, ["symbol", "trade_date"], "left").withColumn("side", F.when(F.col("volume") % 2 == 0, "buy").otherwise("sell")).select("symbol", "trade_date", portfolio.reject_reason().alias("reason")), "symbol trade_date reason", ctes="raw_daily status",

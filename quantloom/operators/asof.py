@@ -63,32 +63,52 @@ def valid_on(date: str | Column, start: str = "valid_from", end: str = "valid_to
     return (F.col(start) <= date) & (F.col(end).isNull() | (F.col(end) >= date))
 
 
+def _bin(c: Column, months: int) -> Column:
+    return F.floor((F.year(c) * 12 + F.month(c)) / months).cast("int")
+
+
+def covering(points: DataFrame, intervals: DataFrame, on: Sequence[str] = (), *, date: str = "signal_date", start: str = "valid_from", end: str = "valid_to", last: Column | None = None, months: int = 1) -> DataFrame:
+    """Every point with every interval of its keys that holds its date; ends are inclusive, a null end is open.
+
+    A range join binned by month (or ``months``): an interval stands once in each bin it crosses,
+    meets the points of that bin and its keys by equality, and is then tested exactly. A point so
+    meets the intervals around its own bin only. ``last``, the latest date of the points, is where
+    open intervals end; it is read from the points if not given. Columns of the
+    intervals other than the keys must differ from those of the points. Without keys the points
+    are distinct dates, at most one per day of the calendar, and are sent to all tasks.
+    """
+    if last is None:
+        last = points.agg(F.max(date)).scalar()
+    binned = intervals.where((F.col(start) <= F.col(end)) | F.col(end).isNull()).where(F.col(start) <= last)
+    binned = binned.withColumn("__bin", F.explode(F.sequence(_bin(F.col(start), months), _bin(F.least(F.col(end), last), months))))
+    asked = points.withColumn("__bin", _bin(F.col(date), months))
+    asked = asked if on else F.broadcast(asked)
+    met = asked.join(binned, [*on, "__bin"]).where((F.col(start) <= F.col(date)) & (F.col(end).isNull() | (F.col(end) >= F.col(date))))
+    return met.drop("__bin")
+
+
 def attach_interval(
-    left: DataFrame, intervals: DataFrame, columns: Sequence[str], *, date: str = "signal_date", how: str = "left"
+    left: DataFrame, intervals: DataFrame, columns: Sequence[str], *, date: str = "signal_date", how: str = "left", last: Column | None = None
 ) -> DataFrame:
     """Values of the interval covering each (symbol, date); the latest start wins an overlap."""
     keys = ["symbol", date]
-    spans = intervals.select(
-        F.col("symbol").alias("__s"), F.col("valid_from").alias("__a"), F.col("valid_to").alias("__b"),
-        F.struct(*columns).alias("__payload"),
-    )
-    pairs = left.select(*keys).distinct().join(
-        spans,
-        (F.col("symbol") == F.col("__s")) & (F.col("__a") <= F.col(date))
-        & (F.col("__b").isNull() | (F.col("__b") >= F.col(date))),
-    )
+    spans = intervals.select("symbol", F.col("valid_from").alias("__a"), F.col("valid_to").alias("__b"), F.struct(*columns).alias("__payload"))
+    pairs = covering(left.select(*keys).distinct(), spans, ["symbol"], date=date, start="__a", end="__b", last=last)
     best = pairs.groupBy(*keys).agg(F.max_by("__payload", "__a").alias("__best"))
     return left.join(best, keys, how).select(*left.columns, *[F.col(f"__best.{c}").alias(c) for c in columns])
 
 
 def active_on_dates(intervals: DataFrame, dates: DataFrame, columns: Sequence[str], date: str = "signal_date") -> DataFrame:
-    """One row per interval row and covered date. ``dates`` is calendar-sized: it
-    travels as one sorted array and each interval keeps only its own slice."""
-    held = intervals.withColumn("__dates", dates_array(dates, date))
-    covered = F.filter(
-        "__dates", lambda d: (d >= F.col("valid_from")) & (F.col("valid_to").isNull() | (d <= F.col("valid_to")))
-    )
-    return held.select(*columns, F.explode(covered).alias(date))
+    """One row per interval row and covered date. ``dates`` is calendar-sized."""
+    spans = intervals.select(F.col("valid_from").alias("__a"), F.col("valid_to").alias("__b"), *columns)
+    return covering(dates.select(date).distinct(), spans, date=date, start="__a", end="__b").select(*columns, date)
+
+
+def latest_intervals(rows: DataFrame, columns: Sequence[str], time: str = "trade_date", on: str = "symbol") -> DataFrame:
+    """The time for which each row is the entity's latest: ``__from`` its own, ``__until`` the day before the next row's."""
+    following = F.lead(time).over(Window.partitionBy(on).orderBy(time))
+    known = rows.where(F.col(time).isNotNull())
+    return known.select(on, F.col(time).alias("__from"), F.date_sub(following, 1).alias("__until"), *columns)
 
 
 def snapshot_intervals(snapshots: DataFrame) -> DataFrame:
@@ -304,19 +324,22 @@ def marks_on_dates(bars: DataFrame, dates: DataFrame, calendar: DataFrame, price
                         (F.col("session") == F.col("__seen")).alias("observed"))
 
 
-def forward_mark_returns(bars: DataFrame, plan: DataFrame, calendar: DataFrame) -> DataFrame:
+def forward_mark_returns(bars: DataFrame, plan: DataFrame, calendar: DataFrame, price: str = "adj_open", sessions: int = 60) -> DataFrame:
     """Forward returns on carried marks: a position without a quote keeps its last one for 60 sessions, then is worth 0.
 
-    The grid has every security on every execution date, so the exit mark is
-    the next row of the same security and the marks are built once.
+    From its first quote on a security has a mark on every execution date, so the exit mark
+    is the next row of the same security and the marks are built once.
     """
-    dates = plan.select(F.col("entry_date").alias("trade_date")).where(F.col("trade_date").isNotNull()).distinct()
-    w = Window.partitionBy("symbol").orderBy("trade_date")
-    marks = marks_on_dates(bars, dates, calendar).select(
-        "symbol",
-        F.col("trade_date").alias("entry_date"),
-        (F.try_divide(F.lead("mark").over(w), "mark") - 1).alias("forward_return"),
-        F.coalesce("observed", F.lit(False)).alias("tradable"),
+    dates = plan.select("entry_date").where(F.col("entry_date").isNotNull()).distinct()
+    numbered = F.broadcast(numbered_sessions(calendar).select("trade_date", "session"))  # one row per session
+    quotes = latest_intervals(bars.where(F.col(price) > 0), [price])
+    # The session of a quote is looked up where it is needed: at execution dates.
+    held = covering(dates, quotes, date="entry_date", start="__from", end="__until")
+    held = held.join(numbered.toDF("entry_date", "__now"), "entry_date").join(numbered.toDF("__from", "__seen"), "__from")
+    mark = F.when(F.col("__now") - F.col("__seen") <= sessions, F.col(price)).otherwise(F.lit(0.0))
+    w = Window.partitionBy("symbol").orderBy("entry_date")
+    marks = held.withColumn("mark", mark).select(
+        "symbol", "entry_date", (F.try_divide(F.lead("mark").over(w), "mark") - 1).alias("forward_return"), (F.col("__now") == F.col("__seen")).alias("tradable")
     )
     spans = plan.where(F.col("exit_date").isNotNull()).select("signal_date", "entry_date", "exit_date")
     return marks.where(F.col("forward_return").isNotNull()).join(spans, "entry_date").select(

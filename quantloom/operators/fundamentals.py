@@ -1,13 +1,17 @@
 """Disclosure operators: what a company's filings said at each release.
 
-``states`` gives, for every release day of a company, the newest known revision
-of each fiscal period as one array ordered by period. A company files a bounded
-number of reports, so the array is short; every operator is an expression on it.
+A revision of a fiscal period is known from its release until the period's next revision. It
+matters for a shorter time still: until enough newer periods are known for good. ``states``
+joins release days with these spans and gives, per release day of a company, the periods that
+can matter as one array ordered by period. Its length follows what the operators ask for, not
+the number of filings; every operator is an expression on it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,22 +38,57 @@ def require_disclosures(fundamentals: DataFrame) -> DataFrame:
     return fundamentals
 
 
-def states(fundamentals: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """symbol, available_date, state: known periods with their newest revision, oldest period first."""
-    entry = F.struct("stat_date", "available_date", *[F.col(f).cast("double").alias(f) for f in fields])
-    w = Window.partitionBy("symbol").orderBy("available_date").rangeBetween(Window.unboundedPreceding, 0)
-    known = fundamentals.select(
-        "symbol", "available_date", F.array_sort(F.collect_list(entry).over(w)).alias("__all")
-    ).dropDuplicates(["symbol", "available_date"])
-    # sorted by (period, release): an entry stays when the next one is another period
-    following = F.concat(F.slice("__all", 2, F.size("__all")), F.array(F.lit(None).cast(_element(known, "__all"))))
-    pairs = F.arrays_zip(F.col("__all").alias("e"), following.alias("nxt"))
-    newest = F.filter(pairs, lambda p: p["nxt"].isNull() | (p["nxt"]["stat_date"] != p["e"]["stat_date"]))
-    return known.select("symbol", "available_date", F.transform(newest, lambda p: p["e"]).alias("state"))
+#: Newer periods after which a period matters no more, unless an operator asks for more.
+PERIODS = 2
+#: Days after which a later period's year-ago and prior year-end dates lie after a period.
+BEYOND_A_YEAR = 367
+
+
+class Needs(NamedTuple):
+    """An operator that looks at the last ``periods`` periods with a value."""
+
+    column: Column
+    periods: int
+
+
+def revisions(fundamentals: DataFrame, fields: Sequence[str], periods: int = PERIODS) -> DataFrame:
+    """symbol, entry, __from, __until: each revision with the days on which it is its period's newest and can matter.
+
+    A period stops to matter once ``periods`` newer ones, and one more than a year newer, are known with all
+    fields that the company ever reports, never to be withdrawn. Companies that leave a field out of
+    many periods keep more of them.
+    """
+    values = F.max(F.struct(*[F.col(f).cast("double").alias(f) for f in fields])).alias("v")
+    rows = fundamentals.where("symbol IS NOT NULL AND stat_date IS NOT NULL AND available_date IS NOT NULL")
+    rows = rows.groupBy("symbol", "stat_date", "available_date").agg(values)
+    company, period = Window.partitionBy("symbol"), Window.partitionBy("symbol", "stat_date")
+    reports = [F.max(F.col(f"v.{f}").isNotNull()).over(company) for f in fields]
+    whole = reduce(lambda a, b: a & b, [~ever | F.col(f"v.{f}").isNotNull() for f, ever in zip(fields, reports)])
+    rows = rows.withColumn("whole", whole)
+    rows = rows.withColumns({
+        "next": F.lead("available_date").over(period.orderBy("available_date")),
+        "torn": F.max(F.when(~F.col("whole"), F.col("available_date"))).over(period),
+    })
+    for_good = F.min(F.when(F.col("torn").isNull() | (F.col("available_date") > F.col("torn")), F.col("available_date")))
+    known = rows.groupBy("symbol", "stat_date").agg(for_good.alias("good"))
+    place = F.count("good").over(company.orderBy("stat_date").rowsBetween(Window.unboundedPreceding, 0))
+    known = known.withColumns({"place": place, "day": -F.unix_date("stat_date")})
+    newer = company.orderBy("place").rangeBetween(1, periods)
+    year_newer = company.orderBy("day").rangeBetween(Window.unboundedPreceding, -BEYOND_A_YEAR)
+    enough = F.when(F.count("good").over(newer) >= periods, F.max("good").over(newer))
+    beyond = F.min("good").over(year_newer)
+    known = known.select("symbol", "stat_date", F.when(enough.isNotNull() & beyond.isNotNull(), F.greatest(enough, beyond)).alias("over"))
+    until = F.date_sub(F.least("next", "over"), 1)
+    return rows.join(known, ["symbol", "stat_date"]).select(
+        "symbol", F.struct("stat_date", "available_date", "v.*").alias("entry"), F.col("available_date").alias("__from"), until.alias("__until")
+    )
 
 
-def _element(df: DataFrame, column: str):
-    return df.schema[column].dataType.elementType
+def states(fundamentals: DataFrame, fields: Sequence[str], periods: int = PERIODS) -> DataFrame:
+    """symbol, available_date, state: the periods that can matter on a release day with their newest revision, oldest period first."""
+    days = fundamentals.select("symbol", "available_date").where("symbol IS NOT NULL AND available_date IS NOT NULL").distinct()
+    known = asof.covering(days, revisions(fundamentals, fields, periods), ["symbol"], date="available_date", start="__from", end="__until", months=12)
+    return known.groupBy("symbol", "available_date").agg(F.array_sort(F.collect_list("entry")).alias("state"))
 
 
 def _present(field: str) -> Column:
@@ -104,7 +143,7 @@ def _spread(values: Column, minimum: int) -> Column:
     return F.when(n >= max(minimum, 2), F.sqrt(squares / F.nullif(n - 1, F.lit(0))))
 
 
-def stability(field: str, observations: int, minimum: int, growth: bool = False) -> Column:
+def stability(field: str, observations: int, minimum: int, growth: bool = False) -> Needs:
     """Minus the spread of the last N values, or of the changes between them."""
     entries = _present(field)
     values = F.transform(entries, lambda e: e[field])
@@ -113,12 +152,14 @@ def stability(field: str, observations: int, minimum: int, growth: bool = False)
         before = F.slice(tail, 1, F.greatest(F.size(tail) - 1, F.lit(0)))
         after = F.slice(tail, 2, F.greatest(F.size(tail), F.lit(1)))
         tail = F.filter(F.zip_with(after, before, lambda a, b: ratio(a, b) - 1), lambda x: x.isNotNull())
-    return -_spread(tail, minimum)
+    return Needs(-_spread(tail, minimum), observations)
 
 
-def events(fundamentals: DataFrame, expressions: dict[str, Column], fields: Sequence[str]) -> DataFrame:
+def events(fundamentals: DataFrame, expressions: dict[str, Column | Needs], fields: Sequence[str]) -> DataFrame:
     """symbol, available_date and named operators after every release day."""
-    return states(fundamentals, fields).select("symbol", "available_date", *[e.alias(n) for n, e in expressions.items()])
+    needs = {n: e if isinstance(e, Needs) else Needs(e, PERIODS) for n, e in expressions.items()}
+    known = states(fundamentals, fields, max((e.periods for e in needs.values()), default=PERIODS))
+    return known.select("symbol", "available_date", *[e.column.alias(n) for n, e in needs.items()])
 
 
 REPLAY_FIELDS = ("bps", "revenue", "ocfps", "net_profit", "roe", "gross_margin")

@@ -59,11 +59,9 @@ def latest_disclosure(fundamentals: DataFrame, date: str) -> DataFrame:
 
 def latest_on_dates(rows: DataFrame, dates: DataFrame, columns: Sequence[str], time: str = "trade_date") -> DataFrame:
     """The latest visible values of every symbol at every signal date (symbols with any history)."""
-    asked = asof.densify(dates, rows.select("symbol").distinct(), "signal_date")
-    known = asof.attach_latest(
-        asked, rows.withColumn("__time", F.col(time)), left_time="signal_date", right_time="__time", columns=[*columns, "__time"]
-    )
-    return known.where(F.col("__time").isNotNull()).drop("__time")
+    spans = asof.latest_intervals(rows, list(columns), time)
+    found = asof.covering(dates.select("signal_date").distinct(), spans, start="__from", end="__until")
+    return found.select("symbol", "signal_date", *columns)
 
 
 def in_universe(rows: DataFrame, universe: DataFrame, on: Sequence[str] = ("symbol",)) -> DataFrame:

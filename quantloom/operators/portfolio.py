@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions import groups
+from quantloom.functions import groups, prefix
 from quantloom.functions.scalar import fee_rates, ratio, turnover_cost
 from quantloom.operators import performance, pit, selection
 
@@ -199,21 +199,31 @@ def common_window(returns: DataFrame, schedule: Sequence[str], start: str = "ent
     return returns.where((F.col(start) >= low) & (F.col(end) <= high))
 
 
-def replay(trades: DataFrame, initial_cash: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cash, positions and symbols that were ever short, from filled trades only.
+def running_positions(trades: DataFrame) -> DataFrame:
+    """symbol, trade_date (and sequence): shares held after the filled trades of each place in the history.
 
-    Running positions are per symbol, so the window partition is one symbol's fills.
+    Fills of one place are added up first; without a ``sequence`` column a day is one place.
     """
+    order = ["trade_date", *(["sequence"] if "sequence" in trades.columns else [])]
+    signed = F.when(F.col("side") == "buy", F.col("shares")).otherwise(-F.col("shares"))
+    net = trades.where(F.col("status") == "filled").groupBy("symbol", *order).agg(F.sum(signed).alias("net_shares"))
+    return prefix.running_sum(net, ["symbol"], order, "net_shares", "position")
+
+
+def short_positions(trades: DataFrame) -> DataFrame:
+    """Per symbol that was ever short: since when, the lowest position, and at how many places it was short."""
+    short = running_positions(trades).where("position < 0")
+    return short.groupBy("symbol").agg(F.min("trade_date").alias("first_short"), F.min("position").alias("lowest"), F.count(F.lit(1)).alias("places"))
+
+
+def replay(trades: DataFrame, initial_cash: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cash, positions and symbols that were ever short, from filled trades only."""
     filled = trades.where(F.col("status") == "filled")
     signed = F.when(F.col("side") == "buy", F.col("shares")).otherwise(-F.col("shares"))
-    filled = filled.withColumn("__s", signed)
     fees = F.col("commission") + F.col("stamp_tax") + F.col("transfer_fee")
-    cash = filled.agg((F.lit(float(initial_cash)) - F.coalesce(F.sum(F.col("__s") * F.col("price") + fees), F.lit(0.0))).alias("cash"))
-    positions = filled.groupBy("symbol").agg(F.sum("__s").alias("shares"))
-    order = ["trade_date"] + (["sequence"] if "sequence" in trades.columns else [])
-    running = F.sum("__s").over(Window.partitionBy("symbol").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    short = filled.withColumn("__run", running).where("__run < 0").select("symbol").distinct()
-    return cash, positions, short
+    cash = filled.agg((F.lit(float(initial_cash)) - F.coalesce(F.sum(signed * F.col("price") + fees), F.lit(0.0))).alias("cash"))
+    positions = filled.groupBy("symbol").agg(F.sum(signed).alias("shares"))
+    return cash, positions, short_positions(trades)
 
 
 def cost_attribution(trades: DataFrame, slippage_bps: float, keys: Sequence[str] = ()) -> DataFrame:

@@ -161,12 +161,15 @@ def model_run(features: DataFrame, names: Sequence[str], periods: Mapping, metho
 
 
 def smooth_scores(scores: DataFrame, dates: DataFrame, months: int, value: str = "score") -> DataFrame:
-    """Mean of the last ``months`` scores per security; months without a score count as missing."""
-    from quantloom.functions.rolling import history
+    """Mean of the last ``months`` scores per security; months without a score count as missing.
 
-    grid = asof.densify(dates, scores.select("symbol").distinct(), "signal_date")
-    w = history("symbol", "signal_date").rowsBetween(-(months - 1), 0)
-    return grid.join(scores, ["signal_date", "symbol"], "left").withColumn(value, F.avg(value).over(w)).where(F.col(value).isNotNull())
+    A score counts in its own and the next ``months`` - 1 dates, and nowhere else.
+    """
+    place = Window.partitionBy(F.lit(0)).orderBy("signal_date")  # calendar-sized
+    numbered = dates.select("signal_date").distinct().withColumn("__no", F.row_number().over(place))
+    counted = scores.where(F.col(value).isNotNull()).join(numbered, "signal_date")
+    spread = counted.select("symbol", F.col(value).alias("__value"), F.explode(F.sequence(F.col("__no"), F.col("__no") + months - 1)).alias("__no"))
+    return spread.groupBy("symbol", "__no").agg(F.avg("__value").alias(value)).join(numbered, "__no").select("signal_date", "symbol", value)
 
 
 def export_signal(scores: DataFrame, calendar: DataFrame, n: int, *, smooth_months: int = 1, hot: bool = False) -> tuple[DataFrame, DataFrame]:

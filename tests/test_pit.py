@@ -53,6 +53,31 @@ def test_interval_join(spark):
     assert got == {D(2020, 6, 1): "I1", D(2022, 1, 1): "I2", D(2019, 1, 1): None}
 
 
+def test_covering_intervals_equal_brute_force(spark):
+    rng = random.Random(3)
+    day = lambda: D(2019, 1, 1) + dt.timedelta(days=rng.randrange(900))
+    spans = [(rng.choice("ab"), k, day(), None if rng.random() < 0.2 else day()) for k in range(60)]
+    points = sorted({(rng.choice("abc"), day()) for _ in range(80)})
+    left = spark.createDataFrame(points, "symbol string, signal_date date")
+    right = spark.createDataFrame(spans, "symbol string, k int, valid_from date, valid_to date")
+    holds = lambda d, s: s[2] <= d and (s[3] is None or s[3] >= d)
+    got = sorted((r["symbol"], r["signal_date"], r["k"]) for r in asof.covering(left, right, ["symbol"]).collect())
+    assert got == sorted((p[0], p[1], s[1]) for p in points for s in spans if s[0] == p[0] and holds(p[1], s))
+    days = sorted({p[1] for p in points})
+    got = sorted((r["k"], r["signal_date"]) for r in asof.active_on_dates(right, left, ["k"]).collect())
+    assert got == sorted((s[1], d) for d in days for s in spans if holds(d, s))
+    plan = asof.active_on_dates(right, left, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "__bin" in plan
+    assert asof.covering(left.limit(0), right, ["symbol"]).count() == 0
+
+
+def test_latest_rows_on_dates(spark):
+    rows = spark.createDataFrame([("a", D(2024, 1, 2), 1.0), ("a", D(2024, 3, 5), None), ("b", D(2024, 2, 29), 3.0)], "symbol string, trade_date date, x double")
+    dates = spark.createDataFrame([(D(2024, 1, 1),), (D(2024, 2, 29),), (D(2024, 3, 5),), (D(2024, 6, 1),)], "signal_date date")
+    got = sorted(((r["symbol"], r["signal_date"], r["x"]) for r in pit.latest_on_dates(rows, dates, ["x"]).collect()), key=str)
+    assert got == [("a", D(2024, 2, 29), 1.0), ("a", D(2024, 3, 5), None), ("a", D(2024, 6, 1), None), ("b", D(2024, 2, 29), 3.0), ("b", D(2024, 3, 5), 3.0), ("b", D(2024, 6, 1), 3.0)]
+
+
 def test_marks_go_stale(spark):
     cal = spark.createDataFrame([(D(2024, 1, d), True) for d in range(1, 8)], "trade_date date, is_open boolean")
     bars = spark.createDataFrame([("a", D(2024, 1, 1), 5.0), ("a", D(2024, 1, 7), 6.0), ("b", D(2024, 1, 3), 2.0)], "symbol string, trade_date date, adj_open double")
@@ -81,6 +106,55 @@ def test_late_filing_and_revision(spark):
     np.testing.assert_allclose(early["revenue_ttm"], got["revenue_ttm"][:3])
 
 
+def replayed(rows, fields):
+    """Figures after every release day from all filings known by then."""
+    out = {}
+    for s in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == s), key=lambda r: r[2])
+        state = {}
+        for k, r in enumerate(mine):
+            state[str(r[1])] = dict(zip(fields, r[3:]))
+            if k + 1 == len(mine) or mine[k + 1][2] != r[2]:
+                out[s, r[2]] = replay.outcome(state)
+    return out
+
+
+def random_filings(rnd, symbol, periods, revisions, holes):
+    """Quarters with late filings, revisions and withdrawn values."""
+    used = set()
+    for _ in range(revisions):
+        q = rnd.randrange(periods)
+        end = D(2000 + q // 4, 3 * (q % 4) + 3, (31, 30, 30, 31)[q % 4])
+        released = end + dt.timedelta(days=rnd.choice([20, 45, 60, 100, 400, 1500]) + rnd.randrange(15))
+        if (end, released) not in used:
+            used.add((end, released))
+            yield (symbol, end, released, *(None if rnd.random() < holes else float(rnd.randrange(1, 90)) for _ in replay.FIELDS))
+
+
+def compare_with_replay(spark, rows):
+    schema = "symbol string, stat_date date, available_date date, " + ", ".join(f"{f} double" for f in replay.FIELDS)
+    got = fundamentals.financial_events(spark.createDataFrame(rows, schema)).collect()
+    want = replayed(rows, replay.FIELDS)
+    assert {(r["symbol"], r["available_date"]) for r in got} == set(want) and len(got) == len(want)
+    for r in got:
+        for name, value in want[r["symbol"], r["available_date"]].items():
+            assert (np.nan if r[name] is None else r[name]) == pytest.approx(value, nan_ok=True, abs=1e-9), (r, name)
+
+
+@pytest.mark.parametrize("holes", [0.0, 0.2, 0.8])
+def test_states_equal_full_replay(spark, holes):
+    rnd = random.Random(4)
+    compare_with_replay(spark, [r for k in range(8) for r in random_filings(rnd, f"s{k}", 30, rnd.choice([1, 5, 80]), holes)])
+
+
+def test_company_with_many_revisions(spark):
+    rows = list(random_filings(random.Random(6), "busy", 1200, 10_000, 0.0))
+    schema = "symbol string, stat_date date, available_date date, " + ", ".join(f"{f} double" for f in replay.FIELDS)
+    frame = spark.createDataFrame([(s, D(1900, 1, 1) + (e - D(2000, 1, 1)), D(1900, 1, 1) + (a - D(2000, 1, 1)), *v) for s, e, a, *v in rows], schema)
+    sizes = fundamentals.states(frame, replay.FIELDS, 8).agg(F.max(F.size("state")).alias("most"), F.count("state").alias("days")).first()
+    assert sizes["days"] > 5000 and sizes["most"] < 60
+
+
 def test_stream_outcome_matches_batch(spark):
     state, out = {}, []
     for r in sorted(filings(spark).collect(), key=lambda r: r["available_date"]):

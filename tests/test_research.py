@@ -240,6 +240,22 @@ def test_replay_finds_short_positions(spark):
     assert short.count() == 1
 
 
+def test_running_positions_of_one_busy_security(spark):
+    """One security has nearly all fills: its history is cut into slices, and the sums go through."""
+    rng = np.random.default_rng(8)
+    days = pd.date_range("2020-01-01", periods=500).date
+    rows = [(days[rng.integers(500)], "busy" if k % 50 else "idle", "buy" if rng.random() < 0.5 else "sell", float(rng.integers(1, 9)), "filled", k % 3) for k in range(4000)]
+    frame = pd.DataFrame(rows, columns=["trade_date", "symbol", "side", "shares", "status", "sequence"])
+    frame["net"] = frame["shares"].where(frame["side"] == "buy", -frame["shares"])
+    for order in (["trade_date"], ["trade_date", "sequence"]):
+        trades = spark.createDataFrame(rows, "trade_date date, symbol string, side string, shares double, status string, sequence int")
+        got = portfolio.running_positions(trades if len(order) > 1 else trades.drop("sequence")).toPandas().sort_values(["symbol", *order])
+        want = frame.groupby(["symbol", *order])["net"].sum().groupby(level=0).cumsum()
+        assert got["position"].tolist() == want.tolist()
+    short = {r["symbol"]: (r["lowest"], r["places"]) for r in portfolio.short_positions(trades).collect()}
+    assert short == {s: (x.min(), len(x)) for s, x in want[want < 0].groupby(level=0)}
+
+
 def test_fee_schedule_dates(spark):
     rows = [(dt.date(2022, 4, 28), "sell"), (dt.date(2022, 4, 29), "sell"), (dt.date(2023, 8, 28), "sell"), (dt.date(2023, 8, 28), "buy")]
     got = spark.createDataFrame(rows, "d date, side string").select(*[c.alias(n) for n, c in fees("d", "side", F.lit(1e6)).items()]).toPandas()
