@@ -191,9 +191,9 @@ x("X4_wide_zscores", lambda m: (lambda w: cross_section.zscore(cross_section.zsc
   {"wd": "SELECT signal_date, symbol, max(raw_value) FILTER (factor_name = 'MOMENTUM_60D') AS a, max(raw_value) FILTER (factor_name = 'VOLATILITY_20D') AS b FROM pan GROUP BY 1, 2"})
 CORR = {"pairs": "SELECT a.signal_date, a.factor_name AS l, b.factor_name AS r, count(*) AS pairs, CASE WHEN isfinite(corr(a.rx, b.rx)) THEN corr(a.rx, b.rx) END AS c FROM rk a JOIN rk b ON a.signal_date = b.signal_date AND a.symbol = b.symbol AND a.rx IS NOT NULL AND b.rx IS NOT NULL GROUP BY ALL"}
 ORDERED = " AND ".join(["list_position(['" + "', '".join(NAMES) + "'], l) <= list_position(['" + "', '".join(NAMES) + "'], r)"])
-x("X19_mean_correlation", lambda m: evaluate.mean_correlation(evaluate.correlation_by_date(wide(m), NAMES, hot=m.hot(len(NAMES)))).withColumnsRenamed({"left": "factor_a", "right": "factor_b"}), "factor_a factor_b", "correlation",
+x("X19_mean_correlation", lambda m: evaluate.mean_correlation(evaluate.panel_correlation(panel(m), NAMES, "raw_value", hot=m.hot(len(NAMES)))).withColumnsRenamed({"left": "factor_a", "right": "factor_b"}), "factor_a factor_b", "correlation",
   f"SELECT l AS factor_a, r AS factor_b, avg(c) AS correlation FROM pairs WHERE {ORDERED} GROUP BY ALL", {**ICM, **CORR})
-x("X20_selection_correlation", lambda m: evaluate.mean_correlation(evaluate.correlation_by_date(wide(m), NAMES, hot=m.hot(len(NAMES))), 10, m.month_ends.where("signal_date BETWEEN DATE'1998-01-01' AND DATE'1999-12-31'")).withColumnsRenamed({"left": "factor_a", "right": "factor_b"}),
+x("X20_selection_correlation", lambda m: evaluate.mean_correlation(evaluate.panel_correlation(panel(m), NAMES, "raw_value", hot=m.hot(len(NAMES))), 10, m.month_ends.where("signal_date BETWEEN DATE'1998-01-01' AND DATE'1999-12-31'")).withColumnsRenamed({"left": "factor_a", "right": "factor_b"}),
   "factor_a factor_b", "correlation", f"SELECT l AS factor_a, r AS factor_b, avg(CASE WHEN pairs >= 10 THEN c END) AS correlation FROM pairs WHERE signal_date BETWEEN DATE '1998-01-01' AND DATE '1999-12-31' AND {ORDERED} GROUP BY ALL", {**ICM, **CORR})
 
 # --- performance ------------------------------------------------------------------------

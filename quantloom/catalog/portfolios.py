@@ -69,8 +69,7 @@ query("O5_development_factors", lambda m: selection.development_factors(part_sum
 
 def kept_names(m):
     rows = panel(m)
-    wide = rows.groupBy("signal_date", "symbol").pivot("factor_name", NAMES).agg(F.first("raw_value"))
-    mean = evaluate.mean_correlation(evaluate.correlation_by_date(wide, NAMES, hot=m.hot(len(NAMES))))
+    mean = evaluate.mean_correlation(evaluate.panel_correlation(rows, NAMES, "raw_value", hot=m.hot(len(NAMES))))
     priority = evaluate.ic_matrix(rows, hot=m.hot()).groupBy("factor_name").agg(F.avg("rank_ic").alias("priority"))
     kept = selection.low_correlation(mean, priority, NAMES, 0.3)
     return rows.select("factor_name").distinct().where(F.col("factor_name").isin(*kept))
@@ -92,15 +91,16 @@ x("O9_best_group", lambda m: selection.best_by(performance.performance(performan
   VARIANT.split(), "portfolio", "annualized_return", "portfolio"), f"{VARIANT} portfolio", "annualized_return",
   "SELECT factor_name, value_type, orientation, portfolio, pow(g, 12.0 / n) - 1 AS annualized_return FROM (SELECT factor_name, value_type, orientation, portfolio, product(1 + r) AS g, count(*) AS n FROM lr GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY factor_name, value_type, orientation ORDER BY pow(g, 12.0 / n) DESC, portfolio) = 1",
   {**MONTHLY, "lr": "SELECT * FROM mon UNPIVOT (r FOR portfolio IN (group_1, group_2, group_3, group_4, group_5))"}, neutral=True, digits=6)
-query("O10_consistent_factors", lambda m: selection.consistent_factors(part_summary(m).where("index_code = 'R'")), "factor_name", "weakest_ic", extra=SUMM,
-      sql="""SELECT factor_name, CASE WHEN d IS NOT NULL AND v IS NOT NULL THEN least(d, v) END AS weakest_ic FROM (SELECT factor_name, max(rank_ic) FILTER (period = 'development') AS d, max(rank_ic) FILTER (period = 'validation') AS v
-        FROM sm WHERE index_code = 'R' GROUP BY 1) ORDER BY weakest_ic DESC NULLS LAST, factor_name LIMIT 10""")
+query("O10_consistent_factors", lambda m: selection.consistent_factors(part_summary(m)), "index_code factor_name", "weakest_ic place", ints="place", extra=SUMM,
+      sql="""SELECT *, row_number() OVER (PARTITION BY index_code ORDER BY weakest_ic DESC NULLS LAST, factor_name) AS place FROM (
+        SELECT index_code, factor_name, CASE WHEN d IS NOT NULL AND v IS NOT NULL THEN least(d, v) END AS weakest_ic FROM (SELECT index_code, factor_name, max(rank_ic) FILTER (period = 'development') AS d, max(rank_ic) FILTER (period = 'validation') AS v
+        FROM sm GROUP BY 1, 2)) QUALIFY place <= 10""")
 query("O11_keyed_sample", lambda m: selection.keyed_sample(m.table("orders").select("o_orderkey"), 0.25, ["o_orderkey"]), "o_orderkey", ints="o_orderkey",
       sql="SELECT o_orderkey FROM orders WHERE CAST('0x' || substr(md5('42|' || o_orderkey), 1, 8) AS BIGINT) < 1073741824")
 query("O12_family_order", lambda m: selection.in_family_order(parts(m).withColumnRenamed("factor_id", "factor_name").withColumn("family", F.element_at(F.array(*[F.lit(f) for f in selection.FAMILY_ORDER]), (F.col("p_size") % 7 + 1).cast("int")))), "factor_name family", sql="SELECT 'P' || p_partkey AS factor_name, ['value', 'growth', 'momentum', 'liquidity', 'risk', 'quality', 'technical'][p_size % 7 + 1] AS family FROM part")
-query("O13_family_leaders", lambda m: selection.family_leaders(part_summary(m).where("index_code = 'R' AND period = 'validation'").join(part_directions(m).select("factor_name", F.col("hypothesis").alias("family")), "factor_name"), 3), "family factor_name", "rank_ic place", ints="place",
-      extra=SUMM, sql="""SELECT * FROM (SELECT p_type AS family, factor_name, rank_ic, row_number() OVER (PARTITION BY p_type ORDER BY abs(rank_ic) DESC NULLS LAST, factor_name) AS place, count(*) OVER (PARTITION BY p_type) AS n
-        FROM sm JOIN part ON p_partkey::VARCHAR = factor_name WHERE index_code = 'R' AND period = 'validation') WHERE n >= 2 AND place <= 3""")
+query("O13_family_leaders", lambda m: selection.family_leaders(part_summary(m).where("period = 'validation'").join(part_directions(m).select("factor_name", F.col("hypothesis").alias("family")), "factor_name"), 3), "index_code family factor_name", "rank_ic place", ints="place",
+      extra=SUMM, sql="""SELECT * FROM (SELECT index_code, p_type AS family, factor_name, rank_ic, row_number() OVER (PARTITION BY index_code, p_type ORDER BY abs(rank_ic) DESC NULLS LAST, factor_name) AS place, count(*) OVER (PARTITION BY index_code, p_type) AS n
+        FROM sm JOIN part ON p_partkey::VARCHAR = factor_name WHERE period = 'validation') WHERE n >= 2 AND place <= 3""")
 
 # --- weights -----------------------------------------------------------------------------
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # name -> (body, names it needs)
 CTE: dict[str, tuple[str, tuple[str, ...]]] = {}
 
@@ -22,8 +24,14 @@ def with_ctes(body: str, *names: str, extra: dict[str, str] | None = None) -> st
 
     for name in names:
         visit(name)
-    parts = [f"{n} AS ({CTE[n][0]})" for n in ordered]
-    parts += [f"{n} AS ({b})" for n, b in (extra or {}).items()]
+    bodies = {n: CTE[n][0] for n in ordered} | (extra or {})
+    everything = "\n".join([*bodies.values(), body])
+
+    def kept(name: str) -> str:
+        """What is read more than once is computed once."""
+        return "AS MATERIALIZED" if len(re.findall(rf"\b{name}\b", everything)) > 1 else "AS"
+
+    parts = [f"{n} {kept(n)} ({b})" for n, b in bodies.items()]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
@@ -140,18 +148,24 @@ define(
 define(
     "plan",
     """SELECT signal_date, entry_date, lead(entry_date) OVER (ORDER BY signal_date) AS exit_date, row_number() OVER (ORDER BY signal_date) AS period_no
-       FROM (SELECT signal_date, (SELECT min(trade_date) FROM cal WHERE trade_date > signal_date) AS entry_date FROM signals)""",
+       FROM (SELECT signal_date, next_session AS entry_date FROM signals JOIN calnext ON trade_date = signal_date)""",
     "signals",
-    "cal",
+    "calnext",
 )
 define(
-    "forward",
-    """SELECT p.signal_date, e.symbol, p.entry_date, p.exit_date, x.adj_open / e.adj_open - 1 AS forward_return
-       FROM plan p JOIN bars e ON e.trade_date = p.entry_date LEFT JOIN bars x ON x.trade_date = p.exit_date AND x.symbol = e.symbol
-       WHERE p.exit_date IS NOT NULL""",
+    "entries",
+    "SELECT period_no, signal_date, entry_date, exit_date, symbol, adj_open FROM plan JOIN bars ON trade_date = entry_date WHERE exit_date IS NOT NULL",
     "plan",
     "bars",
 )
+define("exits", "SELECT period_no, symbol, adj_open FROM plan JOIN bars ON trade_date = exit_date", "plan", "bars")
+define(
+    "forward",
+    """SELECT e.signal_date, e.symbol, e.entry_date, e.exit_date, x.adj_open / e.adj_open - 1 AS forward_return
+       FROM entries e LEFT JOIN exits x ON x.period_no = e.period_no AND x.symbol = e.symbol""",
+    "entries",
+    "exits",
+)
 
 
 # --- text helpers -----------------------------------------------------------------

@@ -72,36 +72,51 @@ def covering(points: DataFrame, intervals: DataFrame, on: Sequence[str] = (), *,
 
     A range join binned by month (or ``months``): an interval stands once in each bin it crosses,
     meets the points of that bin and its keys by equality, and is then tested exactly. A point so
-    meets the intervals around its own bin only. ``last``, the latest date of the points, is where
-    open intervals end; it is read from the points if not given. Columns of the
-    intervals other than the keys must differ from those of the points. Without keys the points
-    are distinct dates, at most one per day of the calendar, and are sent to all tasks.
+    meets the intervals around its own bin only. Open intervals reach one bin beyond all
+    dates of the intervals, and later points count to that bin; ``last``, a date that no point
+    passes, saves reading the intervals for it. Columns of the intervals other than the keys must differ
+    from those of the points. Without keys the points are distinct dates, at most one per day of
+    the calendar, and are sent to all tasks.
     """
-    if last is None:
-        last = points.agg(F.max(date)).scalar()
-    binned = intervals.where((F.col(start) <= F.col(end)) | F.col(end).isNull()).where(F.col(start) <= last)
-    binned = binned.withColumn("__bin", F.explode(F.sequence(_bin(F.col(start), months), _bin(F.least(F.col(end), last), months))))
-    asked = points.withColumn("__bin", _bin(F.col(date), months))
+    binned, horizon = _binned(intervals, start, end, last, months)
+    asked = points.withColumn("__bin", F.least(_bin(F.col(date), months), horizon))
     asked = asked if on else F.broadcast(asked)
     met = asked.join(binned, [*on, "__bin"]).where((F.col(start) <= F.col(date)) & (F.col(end).isNull() | (F.col(end) >= F.col(date))))
     return met.drop("__bin")
 
 
-def attach_interval(
-    left: DataFrame, intervals: DataFrame, columns: Sequence[str], *, date: str = "signal_date", how: str = "left", last: Column | None = None
-) -> DataFrame:
-    """Values of the interval covering each (symbol, date); the latest start wins an overlap."""
-    keys = ["symbol", date]
+def _binned(intervals: DataFrame, start: str, end: str, last: Column | None, months: int) -> tuple[DataFrame, Column]:
+    """``intervals`` once per bin that they cross, and the last bin."""
+    if last is None:
+        last = F.add_months(intervals.agg(F.greatest(F.max(start), F.max(end))).scalar(), months)
+    horizon = _bin(last, months)
+    held = intervals.where((F.col(start) <= F.col(end)) | F.col(end).isNull()).where(F.col(start) <= last)
+    until = F.least(_bin(F.coalesce(F.col(end), last), months), horizon)
+    return held.withColumn("__bin", F.explode(F.sequence(_bin(F.col(start), months), until))), horizon
+
+
+def attach_interval(left: DataFrame, intervals: DataFrame, columns: Sequence[str], *, date: str = "signal_date", how: str = "left") -> DataFrame:
+    """Values of the interval covering each (symbol, date); the latest start wins an overlap.
+
+    The few intervals of a security that cross a month stand in one row, so each
+    left row meets one row and the left side is read once.
+    """
     spans = intervals.select("symbol", F.col("valid_from").alias("__a"), F.col("valid_to").alias("__b"), F.struct(*columns).alias("__payload"))
-    pairs = covering(left.select(*keys).distinct(), spans, ["symbol"], date=date, start="__a", end="__b", last=last)
-    best = pairs.groupBy(*keys).agg(F.max_by("__payload", "__a").alias("__best"))
-    return left.join(best, keys, how).select(*left.columns, *[F.col(f"__best.{c}").alias(c) for c in columns])
+    binned, horizon = _binned(spans, "__a", "__b", None, 1)
+    held = F.reverse(F.array_sort(F.collect_list(F.struct("__a", "__b", "__payload"))))
+    shelves = binned.groupBy("symbol", "__bin").agg(held.alias("__held"))
+    asked = left.withColumn("__bin", F.least(_bin(F.col(date), 1), horizon))
+    covers = lambda i: (i["__a"] <= F.col(date)) & (i["__b"].isNull() | (i["__b"] >= F.col(date)))
+    found = asked.join(shelves, ["symbol", "__bin"], "left").withColumn("__best", F.try_element_at(F.filter("__held", covers), F.lit(1)))
+    found = found if how == "left" else found.where(F.col("__best").isNotNull())
+    return found.select(*left.columns, *[F.col(f"__best.__payload.{c}").alias(c) for c in columns])
 
 
 def active_on_dates(intervals: DataFrame, dates: DataFrame, columns: Sequence[str], date: str = "signal_date") -> DataFrame:
     """One row per interval row and covered date. ``dates`` is calendar-sized."""
     spans = intervals.select(F.col("valid_from").alias("__a"), F.col("valid_to").alias("__b"), *columns)
-    return covering(dates.select(date).distinct(), spans, date=date, start="__a", end="__b").select(*columns, date)
+    days = dates.select(date).distinct()
+    return covering(days, spans, date=date, start="__a", end="__b", last=days.agg(F.max(date)).scalar()).select(*columns, date)
 
 
 def latest_intervals(rows: DataFrame, columns: Sequence[str], time: str = "trade_date", on: str = "symbol") -> DataFrame:
@@ -334,7 +349,7 @@ def forward_mark_returns(bars: DataFrame, plan: DataFrame, calendar: DataFrame,
     numbered = F.broadcast(numbered_sessions(calendar).select("trade_date", "session"))  # one row per session
     quotes = latest_intervals(bars.where(F.col(price) > 0), [price])
     # The session of a quote is looked up where it is needed: at execution dates.
-    held = covering(dates, quotes, date="entry_date", start="__from", end="__until")
+    held = covering(dates, quotes, date="entry_date", start="__from", end="__until", last=dates.agg(F.max("entry_date")).scalar())
     held = held.join(numbered.toDF("entry_date", "__now"), "entry_date").join(numbered.toDF("__from", "__seen"), "__from")
     mark = F.when(F.col("__now") - F.col("__seen") <= sessions, F.col(price)).otherwise(F.lit(0.0))
     w = Window.partitionBy("symbol").orderBy("entry_date")

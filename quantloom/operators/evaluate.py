@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +23,6 @@ from quantloom.operators import pit
 VALUE_TYPES = ("raw", "neutralized")
 GROUPS = tuple(f"group_{k}" for k in range(1, 6))
 MINIMUM_NAMES = 3
-SLICES = 16
 
 
 def _variant(n: str, rank: str, back: str, quint: str, sign: float) -> Column:
@@ -211,52 +213,73 @@ def ic_matrix(panel: DataFrame, value: str = "raw_value", ids: Sequence[str] = (
 
 
 def correlation_by_date(wide: DataFrame, names: Sequence[str], date: str = "signal_date", hot: bool = False) -> DataFrame:
-    """Pairwise rank correlation of factor columns per date: left, right, pairs, correlation.
+    """``panel_correlation`` of factor columns, one row per date and symbol."""
+    rows = wide.select(date, "symbol", *names).unpivot([date, "symbol"], list(names), "factor_name", "value")
+    return panel_correlation(rows, names, date=date, hot=hot)
 
-    Ranks are taken per factor over the date; each task turns its slice of rows
-    into one matrix of power sums per date (names x names numbers, whatever the
-    number of securities), and the matrices are added up. No row pairs are formed.
+
+def panel_correlation(panel: DataFrame, names: Sequence[str], value: str = "value", date: str = "signal_date", hot: bool = False) -> DataFrame:
+    """Pairwise rank correlation of factors per date over a long panel: left, right, pairs, correlation.
+
+    Rows are shuffled once, by date: ranks are windows in it, and each date's block becomes one
+    matrix of power sums (names x names numbers, whatever the number of securities). With ``hot``, for dates beyond a
+    task, ranks come from range-sorted slices and a date's securities are dealt to all
+    tasks; their matrices, with the pair counts in them, are added up. No row pairs are formed.
     """
     names = list(names)
-    rows = wide.select(date, "symbol", *names)
-    long = rows.unpivot([date, "symbol"], names, "factor_name", "value").where(F.col("value").isNotNull())
-    ranked = groups.ranks(long, [date, "factor_name"], "value", ["symbol"], average="__r", count="__n", hot=hot)
+    rows = panel.select(date, "symbol", "factor_name", F.col(value).cast("double").alias("value")).where(F.col("value").isNotNull() & F.col("factor_name").isin(names))
+    rows = rows if hot else rows.repartition(date)
+    ranked = groups.ranks(rows, [date, "factor_name"], "value", ["symbol"], average="__r", count="__n", hot=hot)
     # centred percentile ranks: the mean rank is known, so sums stay small
-    centred = ranked.withColumn("__p", F.col("__r") / F.col("__n") - (F.col("__n") + 1) / (2 * F.col("__n")))
-    table = centred.groupBy(date, "symbol").pivot("factor_name", names).agg(F.first("__p"))
-    return correlations_of(power_sums(table, names, date), date)
+    centred = ranked.select(date, "symbol", "factor_name", (F.col("__r") / F.col("__n") - (F.col("__n") + 1) / (2 * F.col("__n"))).alias("p"))
+    if hot:
+        centred = centred.repartition(date, "symbol")
+    sums = power_sums(centred.sortWithinPartitions(date), names, date)
+    if hot:
+        sums = sums.groupBy(date, "left", "right").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    return correlations_of(sums, date)
 
 
-def power_sums(table: DataFrame, names: Sequence[str], date: str) -> DataFrame:
-    """Per date and factor pair: pair count, sums and cross products over rows where both are present."""
-    import numpy as np
-    import pandas as pd
+def power_sums(rows: DataFrame, names: Sequence[str], date: str) -> DataFrame:
+    """Per task, date and factor pair: pair count, sums and cross products of ``p`` over securities that have both.
 
+    ``rows`` are sorted by date inside partitions, and one partition holds all rows of a security and date.
+    """
     names = list(names)
+    place = {n: i for i, n in enumerate(names)}
     left, right = np.triu_indices(len(names))
-
-    def partial(batches):
-        total: dict = {}
+    pairs = [pa.array([names[i] for i in left]), pa.array([names[j] for j in right])]
+
+    def sums(day, blocks: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(blocks).combine_chunks()
+        coded = table["symbol"].combine_chunks().dictionary_encode()
+        factors = table["factor_name"].combine_chunks().dictionary_encode()
+        columns = np.array([place[f] for f in factors.dictionary.to_pylist()])[factors.indices.to_numpy()]
+        x, m = np.zeros((2, len(coded.dictionary) + 1, len(names)))
+        # Rows without a symbol share the last place.
+        at = pc.fill_null(coded.indices, len(coded.dictionary)).to_numpy()
+        x[at, columns], m[at, columns] = table["p"].to_numpy(), 1.0
+        stats = [m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x]
+        days = pa.array([day] * len(left), table.schema.field(date).type)
+        return pa.RecordBatch.from_arrays([days, *pairs, *(pa.array(s[left, right]) for s in stats)], names=[date, "left", "right", "n", "x", "y", "xx", "yy", "xy"])
+
+    def run(batches):
+        day, held = None, []
         for batch in batches:
-            for day, block in batch.groupby(date, sort=False):
-                x = block[names].to_numpy("float64")
-                seen = ~np.isnan(x)
-                x = np.where(seen, x, 0.0)
-                m = seen.astype("float64")
-                stats = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
-                total[day] = total.get(day, 0.0) + stats
-        for day, s in total.items():
-            yield pd.DataFrame(
-                {date: day, "left": [names[i] for i in left], "right": [names[j] for j in right],
-                 "n": s[0][left, right], "x": s[1][left, right], "y": s[2][left, right],
-                 "xx": s[3][left, right], "yy": s[4][left, right], "xy": s[5][left, right]}
-            )
+            days = batch.column(date)
+            turns = np.flatnonzero(np.diff(days.cast(pa.int32()).to_numpy())) + 1
+            edges = [0, *turns.tolist(), len(days)] if len(days) else []
+            for a, b in zip(edges, edges[1:]):
+                if held and days[a].as_py() != day:
+                    yield sums(day, held)
+                    held = []
+                day = days[a].as_py()
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield sums(day, held)
 
     schema = f"{date} date, left string, right string, n double, x double, y double, xx double, yy double, xy double"
-    # a few slices per date: a task keeps matrices of few dates, and a large date is shared by several tasks
-    spread = table.repartition(F.col(date), F.pmod(F.xxhash64("symbol"), F.lit(SLICES)))
-    parts = spread.select(date, *names).mapInPandas(partial, schema)
-    return parts.groupBy(date, "left", "right").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    return rows.select(date, "symbol", "factor_name", "p").mapInArrow(run, schema)
 
 
 def correlations_of(sums: DataFrame, date: str = "signal_date") -> DataFrame:

@@ -87,7 +87,8 @@ def revisions(fundamentals: DataFrame, fields: Sequence[str], periods: int = PER
 def states(fundamentals: DataFrame, fields: Sequence[str], periods: int = PERIODS) -> DataFrame:
     """symbol, available_date, state: the periods that can matter on a release day with their newest revision, oldest period first."""
     days = fundamentals.select("symbol", "available_date").where("symbol IS NOT NULL AND available_date IS NOT NULL").distinct()
-    known = asof.covering(days, revisions(fundamentals, fields, periods), ["symbol"], date="available_date", start="__from", end="__until", months=12)
+    last = fundamentals.agg(F.max("available_date")).scalar()
+    known = asof.covering(days, revisions(fundamentals, fields, periods), ["symbol"], date="available_date", start="__from", end="__until", last=last, months=12)
     return known.groupBy("symbol", "available_date").agg(F.array_sort(F.collect_list("entry")).alias("state"))
 
 

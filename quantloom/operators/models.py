@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import groups
 from quantloom.operators import moments, selection
+from quantloom.session import stored
 
 # Model settings on securities and on factor histories.
 STOCK_MODELS = {
@@ -171,12 +172,17 @@ def frozen(
     """Fit once on development rows and score every row, labelled or not."""
     labelled = label_column(features, label_mode, hot)
     train = training_rows(labelled, periods["development"], label_ends)
+    train = stored(train.select("signal_date", "symbol", *names, "label"), "training")
     selection.check_isolation(train, periods["test"][0])
     count = train.count()
     if count < MINIMUM_TRAINING:
         raise ValueError(f"development sample too small: {count}")
     fill = medians(train, names)
-    model = fit(impute(train, names, fill).where(F.col("label").isNotNull()), names, "label", method, settings)
+    if method in LINEAR:
+        found = moments.moments(train, names, "label")
+        model = linear(found, found.before(0), fill, method, settings.get(method, {}))
+    else:
+        model = fit(impute(train, names, fill).where(F.col("label").isNotNull()), names, "label", method, settings)
     scored = model.predict(impute(features, names, fill))
     return scored.select("signal_date", "symbol", "prediction", "forward_return"), {"train_rows": count, "imputation": fill, "model": model}
 
@@ -222,9 +228,9 @@ def walk_forward(
     keep = ["signal_date", "symbol", "prediction", "forward_return"]
     if not refits:
         return features.withColumn("prediction", F.lit(None).cast("double")).select(*keep)
-    past = labelled.where(F.col("signal_date") < F.lit(refits[-1]))
-    selection.check_isolation(past, periods["test"][0])
-    spanned = moments.with_span(past, refits[:-1])
+    past = labelled.where(F.col("signal_date") < F.lit(refits[-1])).select("signal_date", "symbol", *names, "label")
+    spanned = stored(moments.with_span(past, refits[:-1]), "training")
+    selection.check_isolation(spanned, periods["test"][0])
     fills = [dict.fromkeys(names, 0.0) | m for m in moments.medians(spanned, names, len(refits))]
     if method in LINEAR:
         found = moments.moments(spanned, names, "label", len(refits))
@@ -232,7 +238,7 @@ def walk_forward(
         return score_spans(moments.with_span(features, refits), fitted, fills).select(*keep)
     scored = None
     for i, at in enumerate(refits):
-        train = labelled.where(F.col("signal_date") < F.lit(at))
+        train = spanned.where(F.col(moments.SPAN) <= i)
         model = fit(impute(train, names, fills[i]).where(F.col("label").isNotNull()), names, "label", method, settings)
         block = features.where(F.col("signal_date") >= F.lit(at))
         if i + 1 < len(refits):

@@ -60,7 +60,8 @@ def latest_disclosure(fundamentals: DataFrame, date: str) -> DataFrame:
 def latest_on_dates(rows: DataFrame, dates: DataFrame, columns: Sequence[str], time: str = "trade_date") -> DataFrame:
     """The latest visible values of every symbol at every signal date (symbols with any history)."""
     spans = asof.latest_intervals(rows, list(columns), time)
-    found = asof.covering(dates.select("signal_date").distinct(), spans, start="__from", end="__until")
+    days = dates.select("signal_date").distinct()
+    found = asof.covering(days, spans, start="__from", end="__until", last=days.agg(F.max("signal_date")).scalar())
     return found.select("symbol", "signal_date", *columns)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -153,11 +154,12 @@ def best_by(df: DataFrame, keys: Sequence[str], value: str, order: str, tie: str
     return known.groupBy(*keys).agg(pick, F.max(order).alias(order))
 
 
-def consistent_factors(summary: DataFrame, n: int = 10) -> DataFrame:
-    """Report table: the n factors with the largest smaller of development and validation IC."""
-    wide = summary.groupBy("factor_name").pivot("period", ["development", "validation"]).agg(F.first("rank_ic"))
+def consistent_factors(summary: DataFrame, n: int = 10, keys: Sequence[str] = ("index_code",)) -> DataFrame:
+    """Report table: per index the n factors with the largest smaller of development and validation IC."""
+    wide = summary.groupBy(*keys, "factor_name").pivot("period", ["development", "validation"]).agg(F.first("rank_ic"))
     weakest = F.when(F.col("development").isNotNull() & F.col("validation").isNotNull(), F.least("development", "validation"))
-    return wide.withColumn("weakest_ic", weakest).orderBy(F.desc_nulls_last("weakest_ic"), "factor_name").limit(n)
+    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("weakest_ic"), "factor_name")
+    return wide.withColumn("weakest_ic", weakest).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
 def keyed_sample(df: DataFrame, share: float, keys: Sequence[str], seed: int = 42) -> DataFrame:
@@ -178,15 +180,17 @@ def in_family_order(factors: DataFrame) -> DataFrame:
     return factors.orderBy(place, "factor_name")
 
 
-def family_leaders(factors: DataFrame, n: int, minimum: int = 2) -> DataFrame:
-    """The n strongest factors per family by absolute validation IC; small families are skipped.
+def family_leaders(factors: DataFrame, n: int, minimum: int = 2, keys: Sequence[str] = ("index_code",)) -> DataFrame:
+    """Per index the n strongest factors of every family by absolute validation IC; small families are skipped.
 
     Sizes are partial counts, and the limit on places cuts every task's rows before the shuffle.
     """
-    w = Window.partitionBy("family").orderBy(F.abs("rank_ic").desc_nulls_last(), "factor_name")
+    family = [*keys, "family"]
+    w = Window.partitionBy(*family).orderBy(F.abs("rank_ic").desc_nulls_last(), "factor_name")
     leaders = factors.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
-    large = factors.groupBy(F.col("family").alias("__family")).count().where(F.col("count") >= minimum)
-    return leaders.join(large, F.col("family").eqNullSafe(F.col("__family")), "left_semi")
+    large = factors.groupBy(*[F.col(k).alias(f"__{k}") for k in family]).count().where(F.col("count") >= minimum)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in family])
+    return leaders.join(large, same, "left_semi")
 
 
 def check_isolation(rows: DataFrame, test_start: str, date: str = "signal_date") -> None:

@@ -90,9 +90,8 @@ def combination(
     mean = history.groupBy("factor_name").agg(F.avg("rank_ic").alias("priority"))
     sign = F.when(F.col("direction") == "negative", -1.0).when((F.col("direction") == "unknown") & (F.col("priority") < 0), -1.0).otherwise(1.0)
     signs = {r["factor_name"]: r["sign"] for r in mean.join(directions, "factor_name", "left").select("factor_name", sign.alias("sign")).collect()}
-    wide = z.where(F.col("signal_date") <= last).groupBy("signal_date", "symbol").pivot("factor_name", list(names)).agg(F.first("z"))
     recent = history.select("signal_date").distinct().orderBy(F.desc("signal_date")).limit(rolling_months)
-    by_date = evaluate.correlation_by_date(wide.join(recent, "signal_date", "left_semi"), names, hot=hot)
+    by_date = evaluate.panel_correlation(z.join(recent, "signal_date", "left_semi"), names, "z", hot=hot)
     kept = selection.low_correlation(evaluate.mean_correlation(by_date, 10), mean, names, threshold)
     chosen = history.where(F.col("factor_name").isin(*kept))
     weights = None

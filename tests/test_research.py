@@ -217,6 +217,10 @@ def test_pairwise_correlation_against_pandas(spark):
         expected = g[["a", "b", "c"]].astype(float).rank(pct=True).corr()
         for i, j in (("a", "b"), ("a", "c"), ("b", "c")):
             assert got[(d, i, j)] == pytest.approx(expected.loc[i, j], abs=1e-10)
+    spread = evaluate.correlation_by_date(df.repartition(5), ["a", "b", "c"], hot=True).toPandas().set_index(["signal_date", "left", "right"])["correlation"]
+    pd.testing.assert_series_equal(spread.sort_index(), got.sort_index())
+    plan = evaluate.mean_correlation(evaluate.correlation_by_date(df, ["a", "b", "c"]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2
 
 
 def test_relative_performance_starts_at_one(spark):
