@@ -1,17 +1,19 @@
 """Audits D, set and incremental operators U, streams ST, custom operators UF and end-to-end runs E."""
 
+import datetime as dt
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quantloom.catalog.evaluation import CTES, NAMES, PANEL, VARIANT, panel, x
 from quantloom.catalog.panels import FE, REPLAY
-from quantloom.catalog.portfolios import kept_names, scored_documents
+from quantloom.catalog.portfolios import ONE, kept_names
 from quantloom.catalog.registry import query
 from quantloom.catalog.sources import bundle, event_log
-from quantloom.operators import asof, evaluate, fundamentals, incremental, library, models, performance, pit, portfolio, quality
+from quantloom.operators import asof, evaluate, fundamentals, incremental, library, models, performance, pit, portfolio, quality, stored_models
 from quantloom.plans import panels, research
-from quantloom.session import cut, scratch_folder
+from quantloom.session import cut, scratch_folder, stored
 from quantloom.sources import changelog, tables
 from quantloom.sources.market import INDEX_CODE, PERIODS
 from quantloom.streaming import replay, sync
@@ -177,7 +179,22 @@ def custom(m):
 
 
 query("UF1_custom_operator", custom, "symbol", "x", ctes="raw_daily", sql="SELECT symbol, avg(high - low) AS x FROM raw_daily GROUP BY 1")
-query("UF2_model_plugin", scored_documents, "doc_id", "score")
+
+
+def stored_model(m):
+    """A frozen model saved as an object, loaded again, and applied to the rows after its training."""
+    names = ["VOLATILITY_20D"]
+    wide = stored(models.feature_matrix(panel(m, names), names))
+    meta = models.frozen(wide, names, PERIODS, "ols", label_ends=asof.label_end_dates(m.month_ends, m.calendar), hot=m.hot())[1]
+    fitted, end = meta["model"], dt.date.fromisoformat(PERIODS["development"][1])
+    estimator = stored_models.LinearEstimator(np.array(fitted.coefficients), fitted.intercept, np.array([meta["imputation"][n] for n in names]))
+    folder = scratch(m, "models")
+    stored_models.save(m.spark, folder, estimator, "volatility", "1", end, names)
+    model = stored_models.load(m.spark, folder, "volatility", "1")
+    return stored_models.apply(wide.where(F.col("signal_date") > F.lit(end)), model)
+
+
+query("UF2_model_plugin", stored_model, "signal_date symbol", "prediction", ctes=CTES, extra={**PANEL, **ONE}, sql="SELECT signal_date, symbol, a + b * iv AS prediction FROM f2, f3 WHERE signal_date > DATE '1998-12-31'")
 query("UF3_grouped_function", lambda m: m.trades.groupBy("symbol").agg(F.product(1 + F.col("l_tax") / 100).alias("x")), "symbol", "x", ctes="trades", sql="SELECT symbol, product(1 + l_tax / 100) AS x FROM trades GROUP BY 1")
 query("UF4_row_expansion", lambda m: m.table("part").select("p_partkey", F.explode(F.sequence(F.lit(1), (F.col("p_size") % 5 + 1))).alias("layer")), "p_partkey", "layer", ints="layer", sql="SELECT p_partkey, unnest(range(1, p_size % 5 + 2)) AS layer FROM part")
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,9 +35,34 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, folder: str
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors, once per application, so that Python stages run wherever the driver was started."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    place = f"{scratch_folder(spark)}/quantloom.zip"
+    path = context._jvm.org.apache.hadoop.fs.Path(place)
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(packed.getvalue()))
+    finally:
+        out.close()
+    context.addPyFile(place)
+    _SHIPPED.add(context.applicationId)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared checkpoint folder; a private one only on a local master without the setting."""
     context = spark.sparkContext

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.scalar import fees, security_code
 from quantloom.functions.tails import add_hac_t, benjamini_hochberg, two_sided_p
-from quantloom.operators import combine, evaluate, models, moments, performance, portfolio, selection
+from quantloom.operators import combine, evaluate, models, moments, performance, portfolio, selection, stored_models
 
 PERIODS = {"development": ("2014-01-01", "2017-12-31"), "validation": ("2018-01-01", "2018-12-31"), "test": ("2019-01-01", "2019-12-31")}
 
@@ -175,6 +175,41 @@ def test_tree_models_run(features):
         assert scored.where("prediction IS NULL").count() == 0
 
 
+def test_stored_models(spark, features, tmp_path):
+    class Words:
+        """Counts of letters, as a model with both interfaces."""
+
+        def predict(self, texts):
+            return [len(t) for t in texts]
+
+        def transform(self, texts):
+            return [[t.count("a"), t.count("b")] for t in texts]
+
+    folder, end = str(tmp_path), dt.date(2016, 12, 31)
+    estimator = stored_models.LinearEstimator(np.array([2.0, -1.0]), 0.5, np.array([0.0, 3.0]))
+    stored_models.save(spark, folder, estimator, "m", "1", end, ["A", "B"])
+    model = stored_models.load(spark.newSession(), folder, "m", "1")
+    assert model.training_end == end and model.columns == ("A", "B")
+    later = features.where(F.col("signal_date") > F.lit(end))
+    got = stored_models.apply(later, model).toPandas()
+    np.testing.assert_allclose(got["prediction"], 2 * got["A"] - got["B"].fillna(3.0) + 0.5)
+    assert len(got) == later.count()
+    with pytest.raises(Exception, match="trained until 2016-12-31"):
+        stored_models.apply(features, model).collect()
+    with pytest.raises(ValueError, match="columns"):
+        stored_models.apply(later.drop("B"), model)
+    with pytest.raises(Exception, match="exists"):
+        stored_models.save(spark, folder, estimator, "m", "1", end, ["A", "B"])
+    damaged = stored_models.StoredModel(**{**model.__dict__, "payload": b"x"})
+    spark.createDataFrame([("bad", "1", end, ["A"], damaged.digest, bytearray(b"x"))], stored_models.ROW).write.parquet(f"{folder}/bad/1")
+    with pytest.raises(ValueError, match="damaged"):
+        stored_models.load(spark, folder, "bad", "1")
+    texts = spark.createDataFrame([(1, "abba"), (2, "")], "k int, text string")
+    words = stored_models.save(spark, folder, Words(), "words", "2", end, ["text"])
+    assert [(r["k"], r["n"]) for r in stored_models.apply(texts, words, "n", date=None).collect()] == [(1, 4.0), (2, 0.0)]
+    assert [r["v"] for r in stored_models.apply(texts, words, "v", date=None, method="transform").collect()] == [[2.0, 2.0], [0.0, 0.0]]
+
+
 def test_low_correlation_keeps_the_strongest(spark):
     names = ["A", "B", "C"]
     pairs = spark.createDataFrame([("A", "A", 1.0), ("A", "B", 0.9), ("A", "C", 0.1), ("B", "B", 1.0), ("B", "C", 0.2), ("C", "C", 1.0)], "left string, right string, correlation double")
