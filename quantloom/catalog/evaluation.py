@@ -246,8 +246,9 @@ x("X26_layered_nav", lambda m: performance.layered_nav(monthly(m), VARIANT.split
   f"""SELECT signal_date, {PKC}, r AS monthly_return, w AS net_value FROM w0 UNION ALL SELECT (date_trunc('month', min(signal_date)) - INTERVAL 1 DAY)::DATE, {PKC}, NULL, 1.0 FROM pr GROUP BY {PKC}""", {**MONTHLY, **LONG, **perf_sql("pr", PKC)}, neutral=True, digits=7)
 COST = {"cn": "SELECT *, group_1 - coalesce(rank_turnover, 0) * bps / 10000 AS r, coalesce(rank_turnover, 0) AS tv FROM (SELECT *, unnest(['base_5bps', 'stress_10bps']) AS cost_scenario, unnest([5.0, 10.0]) AS bps FROM bo)", **perf_sql("cn", "factor_name, value_type, orientation, period, cost_scenario"),
         "tv": "SELECT factor_name, value_type, orientation, period, cost_scenario, avg(tv) AS mean_turnover FROM cn GROUP BY ALL"}
+COST_ROWS = "SELECT * FROM (SELECT factor_name, value_type, orientation, period, cost_scenario, annualized_return, annualized_volatility, sharpe, sortino, max_drawdown, calmar, monthly_win_rate::DOUBLE AS monthly_win_rate, mean_turnover FROM perf JOIN tv USING (factor_name, value_type, orientation, period, cost_scenario)) UNPIVOT INCLUDE NULLS (metric_value FOR metric_name IN (annualized_return, annualized_volatility, sharpe, sortino, max_drawdown, calmar, monthly_win_rate, mean_turnover))"
 x("X27_cost_metrics", lambda m: performance.cost_metrics(monthly(m), VARIANT.split()), f"{VARIANT} period cost_scenario metric_name", "metric_value",
-  "SELECT * FROM (SELECT factor_name, value_type, orientation, period, cost_scenario, annualized_return, annualized_volatility, sharpe, sortino, max_drawdown, calmar, monthly_win_rate::DOUBLE AS monthly_win_rate, mean_turnover FROM perf JOIN tv USING (factor_name, value_type, orientation, period, cost_scenario)) UNPIVOT INCLUDE NULLS (metric_value FOR metric_name IN (annualized_return, annualized_volatility, sharpe, sortino, max_drawdown, calmar, monthly_win_rate, mean_turnover))",
+  COST_ROWS,
   {**MONTHLY, "bo": SUMMARY["bo"], **COST}, neutral=True, digits=6)
 x("X28_metric_rows", lambda m: performance.metric_rows(evaluate.summary_statistics(monthly(m)).select(*VARIANT.split(), "period", "rank_ic", "icir", "coverage"), [*VARIANT.split(), "period"]), f"{VARIANT} period metric_name", "metric_value",
   "SELECT * FROM (SELECT factor_name, value_type, orientation, period, rank_ic, icir, coverage FROM summ) UNPIVOT INCLUDE NULLS (metric_value FOR metric_name IN (rank_ic, icir, coverage))", {**MONTHLY, **SUMMARY}, neutral=True, digits=6)

@@ -6,9 +6,9 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
-from quantloom.catalog.evaluation import CTES, NAMES, PANEL, VARIANT, panel, x
+from quantloom.catalog.evaluation import COST, COST_ROWS, CTES, LAYER, LONG, MONTHLY, NAMES, PANEL, PKC, SUMMARY, VARIANT, panel, x
 from quantloom.catalog.panels import FE, REPLAY
-from quantloom.catalog.portfolios import ONE, kept_names
+from quantloom.catalog.portfolios import ONE, kept_names, schedule_sql
 from quantloom.catalog.registry import query
 from quantloom.catalog.sources import bundle, event_log
 from quantloom.operators import asof, evaluate, fundamentals, incremental, library, models, performance, pit, portfolio, quality, stored_models
@@ -201,13 +201,16 @@ query("UF4_row_expansion", lambda m: m.table("part").select("p_partkey", F.explo
 # --- end to end ---------------------------------------------------------------------------------
 
 
-def backtest(m):
+def backtest(m, names=("MOMENTUM_60D", "BP_MRQ")):
     m = m.stored()
-    return research.backtest_factors(m.bars, m.fundamentals, m.calendar, ["MOMENTUM_60D", "BP_MRQ"], PERIODS, signals=m.month_ends, forward=m.marked_forward)
+    return research.backtest_factors(m.bars, m.fundamentals, m.calendar, list(names), PERIODS, signals=m.month_ends, forward=m.marked_forward)
 
 
 query("E1_backtest_metrics", lambda m: backtest(m)["metrics"], f"{VARIANT} period cost_scenario metric_name", "metric_value")
-query("E2_panel_backtest", lambda m: research.backtest_panel(panel(m, ["VOLATILITY_20D"]), PERIODS, hot=m.hot())["performance"], f"{VARIANT} period portfolio", "annualized_return information_ratio")
+x("E1_backtest_prices", lambda m: backtest(m, ["MOMENTUM_60D", "REVERSAL_5D"])["metrics"], f"{VARIANT} period cost_scenario metric_name", "metric_value", f"SELECT * FROM ({COST_ROWS}) WHERE value_type = 'raw' AND factor_name IN ('MOMENTUM_60D', 'REVERSAL_5D')",
+  {**MONTHLY, "bo": SUMMARY["bo"], **COST}, neutral=True, digits=6)
+x("E2_panel_backtest", lambda m: research.backtest_panel(panel(m, ["VOLATILITY_20D"]), PERIODS, hot=m.hot())["performance"], f"{VARIANT} period portfolio", "annualized_return information_ratio",
+  f"SELECT *, ph AS period FROM perf JOIN ex USING ({PKC}, ph) WHERE value_type = 'raw' AND factor_name = 'VOLATILITY_20D'", {**MONTHLY, **LONG, **LAYER}, neutral=True, digits=6)
 query("E3_audited_factors", lambda m: research.audited_factors({**bundle(m.stored()), "daily": m.stored().daily}, ["REVERSAL_5D"], m.month_ends), "signal_date symbol factor_name", "raw_value", ctes=CTES, extra=PANEL,
       sql="SELECT signal_date, symbol, factor_name, raw_value FROM lg WHERE factor_name = 'REVERSAL_5D'")
 
@@ -237,8 +240,11 @@ def schedule(m, frequency, per_year):
 
 SCHED = "schedule method scenario period"
 SVALS = "periods annualized_return annualized_excess_return information_ratio annual_turnover annual_slippage_cost"
-query("E6_monthly_schedule", lambda m: schedule(m, "monthly", 12.0), SCHED, SVALS, ints="periods")
-query("E7_weekly_schedule", lambda m: schedule(m, "weekly", 52.0), SCHED, SVALS, ints="periods")
+MONTH_SQL, WEEK_SQL = schedule_sql("monthly", 12.0), schedule_sql("weekly", 52.0)
+FAC = {k: v for k, v in PANEL.items() if k not in ("af", "lg", "pan")}
+TABLES = "rt signals calnext cal bars daily"
+query("E6_monthly_schedule", lambda m: schedule(m, "monthly", 12.0), SCHED, SVALS, ints="periods", ctes=TABLES, extra={**FAC, **MONTH_SQL[0]}, sql=MONTH_SQL[1], digits=6)
+query("E7_weekly_schedule", lambda m: schedule(m, "weekly", 52.0), SCHED, SVALS, ints="periods", ctes=TABLES, extra={**FAC, **WEEK_SQL[0]}, sql=WEEK_SQL[1], digits=6)
 
 
 def comparison(m):
@@ -246,8 +252,10 @@ def comparison(m):
     return schedule(m, "monthly", 12.0).unionByName(schedule(m, "weekly", 52.0))
 
 
-query("E8_schedule_grid", comparison, SCHED, SVALS, ints="periods")
-query("E9_grid_check", lambda m: research.report_check(schedule(m, "monthly", 12.0), SCHED.split(), 24), "complete", "rows unique_rows", ints="rows unique_rows", ctes="cal", sql="SELECT true AS complete, 24 AS rows, 24 AS unique_rows FROM (SELECT count(*) FROM cal)")
+BOTH = {**FAC, **MONTH_SQL[0], **WEEK_SQL[0]}
+query("E8_schedule_grid", comparison, SCHED, SVALS, ints="periods", ctes=TABLES, extra=BOTH, sql=f"SELECT * FROM ({MONTH_SQL[1]}) UNION ALL SELECT * FROM ({WEEK_SQL[1]})", digits=6)
+query("E9_grid_check", lambda m: research.report_check(schedule(m, "monthly", 12.0), SCHED.split(), 24), "complete", "rows unique_rows", ints="rows unique_rows", ctes=TABLES, extra={**FAC, **MONTH_SQL[0], "ta": MONTH_SQL[1]},
+      sql="SELECT count(*) = 24 AND count(DISTINCT (schedule, method, scenario, period)) = 24 AS complete, count(*) AS rows, count(DISTINCT (schedule, method, scenario, period)) AS unique_rows FROM ta")
 
 
 def explored(m):

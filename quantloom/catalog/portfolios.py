@@ -328,7 +328,44 @@ def period_table(m):
     return portfolio.period_table(returns.join(portfolio.cash_benchmark(pool(m)), "signal_date"), PERIODS, [])
 
 
-query("B6_period_scenario_table", period_table, "scenario period", "periods annualized_return annualized_excess_return information_ratio annual_turnover annual_explicit_cost", ints="periods")
+def period_sql(source: str, keys: str, per_year: float) -> str:
+    """Relative performance and yearly costs of ``source`` (portfolio return p, benchmark b, buys, sells and costs) per key and period."""
+    return f"""SELECT {keys}, period, count(*) AS periods, pow(product(1 + p), {per_year} / count(*)) - 1 AS annualized_return, pow(product((1 + p) / (1 + b)), {per_year} / count(*)) - 1 AS annualized_excess_return,
+      avg((1 + p) / (1 + b) - 1) * sqrt({per_year}) / nullif(stddev_samp((1 + p) / (1 + b) - 1), 0) AS information_ratio, sum(buys + sells) * {per_year} / count(*) AS annual_turnover,
+      sum(explicit_cost) * {per_year} / count(*) AS annual_explicit_cost, sum(slippage_cost) * {per_year} / count(*) AS annual_slippage_cost
+      FROM (SELECT *, CASE WHEN signal_date <= DATE '1998-12-31' THEN 'development' WHEN signal_date <= DATE '1999-12-31' THEN 'validation' ELSE 'test' END AS period FROM {source}) GROUP BY {keys}, period"""
+
+
+CASH = "SELECT signal_date, sum(cap * CASE WHEN tradable THEN forward_return ELSE 0 END) / greatest(sum(cap), 1) AS b FROM {} GROUP BY 1"
+x("B6_period_scenario_table", period_table, "scenario period", "periods annualized_return annualized_excess_return information_ratio annual_turnover annual_explicit_cost",
+  period_sql("b6", "scenario", 12.0), {**TOPN, **POOL, "b4": CASH.format("po"), "b6": "SELECT b3.*, gross_return - explicit_cost - slippage_cost AS p, b FROM b3 JOIN b4 USING (signal_date)"}, ints="periods", digits=6)
+
+
+def schedule_sql(frequency: str, per_year: float, methods=("MOMENTUM_60D", "REVERSAL_5D"), n: int = 10) -> tuple[dict, str]:
+    """Top-n returns of some factors on one schedule under all cost scenarios: CTEs, and the period table."""
+    f = frequency[0]
+    dates = "SELECT signal_date FROM signals" if frequency == "monthly" else "SELECT max(trade_date) AS signal_date FROM cal GROUP BY date_trunc('week', trade_date + 2) HAVING date_trunc('week', max(trade_date) + 2) + INTERVAL 4 DAY <= (SELECT max(trade_date) FROM cal)"
+    picked = " UNION ALL ".join(f"SELECT * FROM (SELECT signal_date, symbol, '{k}' AS method FROM {f}_values WHERE {k} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY signal_date ORDER BY {k} DESC, symbol) <= {n})" for k in methods)
+    ctes = {
+        f"{f}_dates": dates,
+        f"{f}_plan": f"SELECT *, lead(entry_date) OVER (ORDER BY signal_date) AS exit_date, row_number() OVER (ORDER BY signal_date) AS no FROM (SELECT signal_date, next_session AS entry_date FROM {f}_dates JOIN calnext ON trade_date = signal_date)",
+        f"{f}_marks": f"""SELECT g.symbol, g.trade_date, CASE WHEN g.session - q.session <= 60 THEN q.adj_open ELSE 0 END AS mark, g.session = q.session AS observed
+          FROM (SELECT symbol, trade_date, session FROM (SELECT DISTINCT symbol FROM bars), calnext WHERE trade_date IN (SELECT entry_date FROM {f}_plan)) g
+          ASOF JOIN (SELECT symbol, trade_date, adj_open, session FROM bars JOIN calnext USING (trade_date) WHERE adj_open > 0) q ON q.symbol = g.symbol AND g.trade_date >= q.trade_date""",
+        f"{f}_forward": f"""SELECT p.signal_date, e.symbol, x.mark / nullif(e.mark, 0) - 1 AS forward_return, e.observed AS tradable FROM {f}_plan p JOIN {f}_marks e ON e.trade_date = p.entry_date
+          JOIN {f}_marks x ON x.trade_date = p.exit_date AND x.symbol = e.symbol WHERE x.mark / nullif(e.mark, 0) IS NOT NULL""",
+        f"{f}_values": f"SELECT s.signal_date, fac.* FROM (SELECT signal_date, symbol FROM {f}_dates, (SELECT DISTINCT symbol FROM fac)) s ASOF JOIN fac ON fac.symbol = s.symbol AND s.signal_date >= fac.trade_date",
+        f"{f}_held": f"SELECT k.*, no, 0.995 / count(*) OVER (PARTITION BY method, signal_date) AS w FROM ({picked}) k JOIN {f}_plan USING (signal_date) WHERE exit_date IS NOT NULL",
+        f"{f}_gross": f"SELECT method, h.signal_date, no, sum(w * coalesce(forward_return, 0)) AS gross_return FROM {f}_held h LEFT JOIN {f}_forward r ON r.signal_date = h.signal_date AND r.symbol = h.symbol GROUP BY ALL",
+        f"{f}_moves": f"SELECT coalesce(a.method, b.method) AS method, coalesce(a.no, b.no + 1) AS no, coalesce(a.w, 0) - coalesce(b.w, 0) AS d FROM {f}_held a FULL OUTER JOIN {f}_held b ON a.method = b.method AND a.no = b.no + 1 AND a.symbol = b.symbol",
+        f"{f}_traded": f"SELECT method, no, sum(greatest(d, 0)) AS buys, sum(greatest(-d, 0)) AS sells FROM {f}_moves GROUP BY 1, 2",
+        f"{f}_pool": f"SELECT r.*, d.float_market_cap AS cap FROM {f}_forward r ASOF JOIN daily d ON d.symbol = r.symbol AND r.signal_date >= d.trade_date",
+        f"{f}_cash": CASH.format(f"{f}_pool"),
+        f"{f}_costs": f"""SELECT *, CASE WHEN bps IS NULL THEN 0 ELSE buys * 0.00032 + sells * 0.00132 END AS explicit_cost, coalesce((buys + sells) * bps / 10000, 0) AS slippage_cost
+          FROM (SELECT *, unnest(['gross', 'base_5bps', 'stress_10bps', 'stress_20bps']) AS scenario, unnest([NULL, 5.0, 10.0, 20.0]) AS bps FROM {f}_gross JOIN {f}_traded USING (method, no))""",
+        f"{f}_net": f"SELECT '{frequency}' AS schedule, c.*, gross_return - explicit_cost - slippage_cost AS p, b FROM {f}_costs c JOIN {f}_cash USING (signal_date)",
+    }
+    return ctes, period_sql(f"{f}_net", "schedule, method, scenario", per_year)
 
 
 def schedules(m):
