@@ -2,14 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from quantloom.catalog.panels import bar_sql
+from quantloom.catalog.panels import MEMBER_LABEL, bar_sql
 from quantloom.catalog.registry import query
 from quantloom.functions import groups
 from quantloom.functions.tails import add_hac_t, benjamini_hochberg, two_sided_p
 from quantloom.operators import asof, cross_section, evaluate, library, performance, pit
 from quantloom.plans import panels
 from quantloom.session import cut
-from quantloom.sources.market import PERIODS
+from quantloom.sources.market import INDEX_CODE, PERIODS
 
 NAMES = ["MOMENTUM_60D", "REVERSAL_5D", "VOLATILITY_20D", "AMIHUD_20D"]
 IDS = ["factor_name"]
@@ -169,8 +169,29 @@ def member_panel(m, names):
 
 
 X16 = ["REVERSAL_5D", "TURNOVER_MEAN_5D"]
+
+
+def member_sql(names) -> dict:
+    """CTEs that end in ``pan``: the standardised, labelled panel of index members for some factors."""
+    listed = ", ".join(f"'{n}'" for n in names)
+    return {
+        **bar_sql(list(names))["extra"], "mm": MEMBER_LABEL.replace("LEFT JOIN forward f", "LEFT JOIN mforward f"),
+        "el": f"""SELECT mm.*, {', '.join(f'fac.{n}' for n in names)} FROM mm JOIN fac ON fac.symbol = mm.symbol AND fac.trade_date = mm.signal_date JOIN status t ON t.symbol = mm.symbol AND t.trade_date = mm.signal_date
+          JOIN securities q ON q.symbol = mm.symbol WHERE NOT is_st AND NOT is_suspended AND (SELECT count(*) FROM cal WHERE cal.trade_date >= q.list_date AND cal.trade_date <= mm.signal_date) >= 250""",
+        "lo": f"SELECT signal_date, symbol, forward_return, unnest([{listed}]) AS factor_name, unnest([{', '.join(names)}]) AS v FROM el",
+        "m1": "SELECT *, median(v) OVER p AS md FROM lo WINDOW p AS (PARTITION BY signal_date, factor_name)",
+        "m2": "SELECT *, median(abs(v - md)) OVER p AS mad FROM m1 WINDOW p AS (PARTITION BY signal_date, factor_name)",
+        "m3": "SELECT *, CASE WHEN coalesce(mad, 0) = 0 THEN v ELSE greatest(md - 5 * mad, least(md + 5 * mad, v)) END AS wv FROM m2",
+        "pan": "SELECT *, (wv - avg(wv) OVER p) / nullif(stddev_pop(wv) OVER p, 0) AS raw_value FROM m3 WINDOW p AS (PARTITION BY signal_date, factor_name)",
+    }
+
+
+MEMBER_CTES = "rt signals members mforward securities status cal"
 query("X16_evaluate_indices", lambda m: evaluate.evaluate_indices(member_panel(m, X16).select("signal_date", "symbol", "index_code", "factor_name", "raw_value", "forward_return"), PERIODS, ["raw"], m.hot(2))[1],
-      f"index_code {VARIANT} period", "rank_ic hac_t p_value bh_q_value development_selection_q_value")
+      f"index_code {VARIANT} period", "rank_ic hac_t p_value bh_q_value development_selection_q_value", ctes=MEMBER_CTES, digits=6,
+      extra={**member_sql(X16), **MONTHLY, "vt": "SELECT signal_date, symbol, factor_name, 'raw' AS value_type, raw_value AS v0, forward_return AS f FROM pan", **SUMMARY,
+             "de": "SELECT factor_name, value_type, orientation, period, least(1, min(p_value * tests / rk) OVER (ORDER BY rk DESC)) AS development_selection_q_value FROM (SELECT *, row_number() OVER (ORDER BY p_value) AS rk, count(*) OVER () AS tests FROM pv WHERE p_value IS NOT NULL AND period = 'development' AND orientation = 'original')"},
+      sql=f"SELECT '{INDEX_CODE}' AS index_code, pv.*, bh_q_value, development_selection_q_value FROM pv LEFT JOIN (SELECT factor_name, value_type, orientation, period, bh_q_value FROM bh) USING (factor_name, value_type, orientation, period) LEFT JOIN de USING (factor_name, value_type, orientation, period)")
 query("X17_merged_panel_evaluation", lambda m: evaluate.summary_statistics(evaluate.monthly_statistics(
       panels.without_repeats(panel(m, NAMES[:2]), panel(m, NAMES[1:3])), IDS, PERIODS, ["raw"], m.hot(3), turnover=False)), f"{VARIANT} period", "rank_ic icir coverage",
       ctes=CTES, extra={**PANEL, **NEUTRAL, **MONTHLY, **SUMMARY}, sql="SELECT * FROM summ WHERE value_type = 'raw' AND factor_name <> 'AMIHUD_20D'", digits=6)

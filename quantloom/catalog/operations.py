@@ -6,9 +6,9 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
-from quantloom.catalog.evaluation import COST, COST_ROWS, CTES, LAYER, LONG, MONTHLY, NAMES, PANEL, PKC, SUMMARY, VARIANT, panel, x
+from quantloom.catalog.evaluation import COST, COST_ROWS, CTES, LAYER, LONG, MEMBER_CTES, MONTHLY, NAMES, PANEL, PKC, SUMMARY, VARIANT, member_sql, panel, x
 from quantloom.catalog.panels import FE, REPLAY
-from quantloom.catalog.portfolios import ONE, kept_names, schedule_sql
+from quantloom.catalog.portfolios import ONE, QUINT, kept_names, schedule_sql
 from quantloom.catalog.registry import query
 from quantloom.catalog.sources import bundle, event_log
 from quantloom.operators import asof, evaluate, fundamentals, incremental, library, models, performance, pit, portfolio, quality, stored_models
@@ -293,7 +293,11 @@ def equity_study(m):
     return portfolio.portfolio_metrics(cut(portfolio.quintile_portfolios(p, signs, asof.benchmark_forward(m.index_daily, m.month_end_plan), PERIODS, minimum=5, hot=m.hot())), ["index_code", "factor_name"])
 
 
-query("E12_equity_study", equity_study, "index_code factor_name period", "months mean_turnover mean_net_return net_information_ratio sharpe", ints="months")
+query("E12_equity_study", equity_study, "index_code factor_name period", "months mean_turnover mean_net_return net_information_ratio sharpe", ints="months", ctes=f"{MEMBER_CTES} plan bars", digits=6,
+      extra={**member_sql(["REVERSAL_5D", "TURNOVER_MEAN_5D", "VOLATILITY_20D"]), **QUINT, "z1": "SELECT *, raw_value AS s FROM pan WHERE raw_value IS NOT NULL AND forward_return IS NOT NULL", "z3": QUINT["z3"].replace("n >= 25", "n >= 5")},
+      sql=f"""SELECT '{INDEX_CODE}' AS index_code, factor_name, ph AS period, count(*) AS months, avg(turnover) AS mean_turnover, avg(group_1 - cost) AS mean_net_return,
+        avg(group_1 - cost - benchmark_return) * 12 / nullif(stddev_samp(group_1 - cost - benchmark_return) * sqrt(12), 0) AS net_information_ratio, avg(group_1 - cost) * 12 / nullif(stddev_samp(group_1 - cost) * sqrt(12), 0) AS sharpe
+        FROM (SELECT *, unnest(['all', CASE WHEN signal_date <= DATE '1998-12-31' THEN 'development' WHEN signal_date <= DATE '1999-12-31' THEN 'validation' ELSE 'test' END]) AS ph FROM q1) GROUP BY factor_name, ph""")
 
 
 def signal(m):

@@ -202,6 +202,18 @@ x("M25_latest_month_scored", lambda m: frozen(m).groupBy("signal_date").agg(F.co
 for name, method in (("M13_frozen_ridge", "ridge"), ("M27_frozen_lasso", "lasso"), ("M27_frozen_tree", "dtree")):
     query(name, lambda m, k=method: frozen(m, k, NAMES), "signal_date symbol", "prediction")
 query("M13_rank_label", lambda m: frozen(m, "ridge", NAMES, label_mode="rank"), "signal_date symbol", "prediction")
+RIDGE = {  # both factors centred and scaled over the training rows; a two by two system in closed form
+    "w1": "SELECT signal_date, symbol, max(raw_value) FILTER (factor_name = 'VOLATILITY_20D') AS a, max(raw_value) FILTER (factor_name = 'REVERSAL_5D') AS b, max(forward_return) AS y FROM pan GROUP BY 1, 2",
+    "w2": f"SELECT signal_date, symbol, y, coalesce(a, (SELECT median(a) FROM w1 WHERE {DEV})) AS a, coalesce(b, (SELECT median(b) FROM w1 WHERE {DEV})) AS b FROM w1",
+    "w3": f"SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, corr(a, b) AS r, covar_pop(a, y) / stddev_pop(a) AS ca, covar_pop(b, y) / stddev_pop(b) AS cb, 1 + 1.0 / count(*) AS d FROM w2 WHERE y IS NOT NULL AND {DEV}",
+    "w4": "SELECT *, (d * ca - r * cb) / (d * d - r * r) / sa AS wa, (d * cb - r * ca) / (d * d - r * r) / sb AS wb FROM w3",
+}
+TWO = ["VOLATILITY_20D", "REVERSAL_5D"]
+x("M13_ridge_two_factors", lambda m: frozen(m, "ridge", TWO), "signal_date symbol", "prediction", "SELECT signal_date, symbol, my + wa * (a - ma) + wb * (b - mb) AS prediction FROM w2, w4", RIDGE)
+x("M18_least_squares_two_factors", lambda m: frozen(m, "ols", TWO), "signal_date symbol", "prediction", "SELECT signal_date, symbol, my + wa * (a - ma) + wb * (b - mb) AS prediction FROM w2, w4", {**RIDGE, "w3": RIDGE["w3"].replace("1 + 1.0 / count(*)", "1.0")})
+x("M13_rank_label_one_factor", lambda m: frozen(m, label_mode="rank"), "signal_date symbol", "prediction", "SELECT signal_date, symbol, a + b * iv AS prediction FROM f2, f5",
+  {**ONE, "f4": "SELECT *, (rank() OVER (PARTITION BY signal_date ORDER BY forward_return) + (count(*) OVER (PARTITION BY signal_date, forward_return) - 1) / 2.0) / count(*) OVER (PARTITION BY signal_date) AS y FROM f2 WHERE forward_return IS NOT NULL",
+   "f5": f"SELECT regr_slope(y, iv) AS b, regr_intercept(y, iv) AS a FROM f4 WHERE {DEV}"})
 query("M18_full_training", lambda m: frozen(m, "ols", NAMES), "signal_date symbol", "prediction")
 WALK_ONE = {"f1": ONE["f1"], "mo": "SELECT signal_date, row_number() OVER (ORDER BY signal_date) - 1 AS p FROM (SELECT DISTINCT signal_date FROM f1)",
             "re0": f"SELECT * FROM mo WHERE p >= 24 AND signal_date >= DATE '{PERIODS['development'][0]}' + {models.GRACE_DAYS} AND signal_date <= DATE '{PERIODS['validation'][1]}'",
