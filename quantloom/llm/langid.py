@@ -19,6 +19,7 @@ is every text if there is nothing to learn from; repeated rows are predicted eac
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,10 +35,12 @@ WINDOW = 512
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBEDDING = 8
-#: Bounds of the training sample, and of the number of languages.
+#: Bounds of the training sample: documents of a language, documents in all, windows of a document.
 DOCS_PER_LANGUAGE = 500
+SAMPLE_DOCS = 200_000
 WINDOWS_PER_DOC = 6
-MAX_LANGUAGES = 400
+#: Languages whose counts are sent to all tasks; more are joined by a shuffle.
+SENT_LANGUAGES = 100_000
 EPOCHS = 12
 BATCH = 64
 UNKNOWN = "und"
@@ -172,14 +175,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A network trained on a bounded sample of labelled rows that are not held out; null without any."""
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     labelled = plain.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out("id"))
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    n_languages = counts.count()
+    if not n_languages:
         return None
-    share = F.coalesce(*(F.when(F.col("lang") == name, F.lit(docs_per_language / n)) for name, n in counts.items()))
+    # Many languages share the sample; none is a reason to stop.
+    each = min(docs_per_language, SAMPLE_DOCS / n_languages)
     draw = (F.xxhash64("id", F.lit(1)).cast("double") + 2.0**63) / 2.0**64
-    sample = labelled.withColumn("draw", draw / share).filter(F.col("draw") < 1)
+    met = labelled.join(F.broadcast(counts) if n_languages <= SENT_LANGUAGES else counts, "lang")
+    sample = met.withColumn("draw", draw / (F.lit(float(each)) / F.col("n"))).filter(F.col("draw") < 1)
 
     def start():
         def pick(texts: pa.Array):
@@ -193,10 +197,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return pick
 
     cut = map_texts(sample, "text", ["id", "lang", "draw"], [("windows", T.ArrayType(T.BinaryType()))], start, arrow=True)
-    bound = docs_per_language * len(counts) * 2
+    bound = math.ceil(each * n_languages * 2)
     taken = cut.orderBy("draw", "id").limit(bound).select("lang", "windows").toArrow().to_pylist()
-    languages = sorted(counts)
-    pairs = [(w, languages.index(r["lang"])) for r in taken for w in r["windows"]]
+    place = {name: k for k, name in enumerate(sorted({r["lang"] for r in taken}))}
+    languages = list(place)
+    pairs = [(w, place[r["lang"]]) for r in taken for w in r["windows"]]
+    if not pairs:
+        return None
     rows = np.frombuffer(b"".join(w for w, _ in pairs), np.uint8).reshape(-1, WINDOW)
     return train(rows, np.array([y for _, y in pairs], np.int64), languages)
 

@@ -227,6 +227,18 @@ def test_language_frames(spark, hard, empty):
     assert langid.fit(empty) is None and langid.predict(hard, None).filter("lang_pred != 'und'").count() == 0
 
 
+def test_many_languages_are_learned_from_a_bounded_sample(spark, monkeypatch):
+    rows = [(k, " ".join(words(40, k)), f"l{k % 450:03d}", "s", 0) for k in range(1400)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    monkeypatch.setattr(langid, "EPOCHS", 1)
+    assert len(langid.fit(docs).languages) > 400
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 100)
+    monkeypatch.setattr(langid, "SENT_LANGUAGES", 1)
+    net = langid.fit(docs)
+    assert 1 <= len(net.languages) <= 250
+    assert {r.lang_pred for r in langid.predict(docs, net).collect()} <= {*net.languages, "und"}
+
+
 def test_empty_tables(spark, empty):
     items = spark.createDataFrame([], "item_id long, text string")
     assert lines.drop_repeated_lines(empty).count() == quality.assess(empty).count() == quality.keep_good(empty).count() == 0
