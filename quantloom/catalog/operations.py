@@ -335,7 +335,7 @@ def feature_store(m):
     """Features written by year and read back."""
     folder = scratch(m, "features")
     wide = models.feature_matrix(panel(m, ["VOLATILITY_20D"]), ["VOLATILITY_20D"]).withColumn("year", F.year("signal_date"))
-    wide.join(asof.label_end_dates(m.month_ends, m.calendar), "signal_date", "left").repartition("year", F.pmod(F.xxhash64("symbol"), F.lit(4))).write.partitionBy("year").parquet(folder)
+    wide.join(asof.label_end_dates(m.month_ends, m.calendar), "signal_date", "left").hint("rebalance", "year").write.partitionBy("year").parquet(folder)
     return m.spark.read.parquet(folder)
 
 

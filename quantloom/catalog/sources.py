@@ -102,6 +102,8 @@ query("S9_compacted_by_sequence", lambda m: compacted_log(m, "sequence").read(["
       sql="SELECT * FROM pub QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 query("S10_compacted_count", lambda m: compacted_log(m, "version").read(["user_id"], as_of=3, columns=["user_id"]).agg(F.count(F.lit(1)).alias("n")), (), "n", ints="n", extra=PUB,
       sql=f"SELECT count(*) AS n FROM ({NEWEST})")
+query("S27_footer_bounds", lambda m: tables.footer_summary(m.spark, f"{m.folder}/lineitem.parquet", ["l_orderkey", "l_quantity"]), (), "rows first_l_orderkey last_l_orderkey first_l_quantity last_l_quantity", ints="rows first_l_orderkey last_l_orderkey",
+      sql="SELECT count(*) AS rows, min(l_orderkey) AS first_l_orderkey, max(l_orderkey) AS last_l_orderkey, min(l_quantity) AS first_l_quantity, max(l_quantity) AS last_l_quantity FROM lineitem")
 query("S11_pinned_version", lambda m: changelog.pinned({"events": event_log(m)}, {"events": ["user_id", "event_type"]}, 12)["events"],
       "user_id event_type", "value", extra={"log": LOG["log"]}, sql="""SELECT * FROM log WHERE ver <= 12 AND ver >= 10
         QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ver DESC, event_id DESC) = 1""")

@@ -84,8 +84,9 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str, family: Sequence[str] =
 
 def _hot_benjamini_hochberg(df: DataFrame, p: str, out: str, family: Sequence[str], ties: Sequence[str]) -> DataFrame:
     ranked = groups.ranks(df, family, p, ties, first="__rank", count="__tests", hot=True)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # rows without p have no place; they are spread over slices of their own
-    piece = F.coalesce(F.floor((F.col("__rank") - 1) / groups.ROWS_PER_TASK), -1 - F.pmod(F.xxhash64(*ties), F.lit(997)))
+    piece = F.coalesce(F.floor((F.col("__rank") - 1) / groups.ROWS_PER_TASK), -1 - F.pmod(F.xxhash64(*ties), F.lit(parts)))
     ranked = ranked.withColumns({"__q": F.col(p) * F.col("__tests") / F.col("__rank"), "__piece": piece})
     later = Window.partitionBy(*family).orderBy("__piece").rowsBetween(1, Window.unboundedFollowing)
     least = ranked.groupBy(*family, "__piece").agg(F.min("__q").alias("__least"))

@@ -72,14 +72,15 @@ def upsert_values(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]
     return both.groupBy(*keys).agg(best).select(*keys, "__row.*").select(*existing.columns)
 
 
-def store_values(spark: SparkSession, incoming: DataFrame, path: str, spread: int = 4) -> None:
+def store_values(spark: SparkSession, incoming: DataFrame, path: str) -> None:
     """Write values partitioned by factor, revision and month, replacing only the partitions present.
 
     A written partition is complete for its month, so a rerun or a lost task ends in the same files.
-    ``spread`` tasks share the rows of one partition.
+    Rows are dealt by partition and then by size: a large partition is shared by several
+    tasks, small ones share a task, and the number of files follows the data.
     """
     rows = incoming.withColumn("month", F.date_format("signal_date", "yyyy-MM"))
-    rows.repartition("factor_name", "revision", "month", F.pmod(F.xxhash64("symbol"), F.lit(spread))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+    rows.hint("rebalance", "factor_name", "revision", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "factor_name", "revision", "month"
     ).parquet(path)
 

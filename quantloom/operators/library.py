@@ -104,6 +104,7 @@ def _filing(name, hypothesis, family, fields, make, per=None) -> None:
     register(Factor(name, hypothesis, family, "positive", 1, filing=make, per=per, fields=tuple(fields)))
 
 
+# Names, windows, directions and formulas of the registered factors.
 def _register_all() -> None:
     _filing("EP_TTM", "value_ep", "value", ["eps"], lambda: ttm("eps"), "close")
     _filing("BP_MRQ", "value_bp", "value", ["bps"], lambda: latest("bps"), "close")

@@ -35,6 +35,7 @@ KEYS: dict[str, tuple[str, ...]] = {
 }
 # Vendor column names accepted for canonical ones.
 ALIASES = {"date": "trade_date", "code": "symbol", "avail_date": "available_date"}
+# Columns of the data contract by kind.
 DATE_COLUMNS = ("trade_date", "list_date", "delist_date", "stat_date", "available_date", "valid_from", "valid_to")
 FLAG_COLUMNS = ("is_open", "is_st", "is_pt", "is_suspended", "limit_up", "limit_down")
 TEXT_COLUMNS = ("symbol", "index_code", "industry_code", "industry_name", "source", "version")
@@ -220,3 +221,29 @@ def padded_range(c: str, start: str, end: str, before: int, after: int) -> Colum
 
 def date_bounds(df: DataFrame, c: str = "trade_date") -> DataFrame:
     return df.agg(F.min(c).alias("first_date"), F.max(c).alias("last_date"))
+
+
+# --- footers --------------------------------------------------------------------
+
+#: Types whose smallest and largest values Parquet footers hold exactly and Spark takes from there.
+FOOTER_TYPES = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DateType)
+
+
+def footer_summary(spark: SparkSession, path: str, columns: Sequence[str] = ()) -> DataFrame:
+    """One row: ``rows`` and, per column, ``first_`` and ``last_`` value of Parquet files, taken from their footers alone.
+
+    The version 2 reader pushes the aggregates down, so no row is read however large the files
+    are. Columns of other types than FOOTER_TYPES are refused: for them rows would be read.
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.sources.useV1SourceList", "avro,csv,json,kafka,orc,text")
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    files = session.read.parquet(path)
+    unknown = [c for c in columns if c not in files.columns]
+    if unknown:
+        raise ContractError(f"unknown columns {unknown}")
+    unheld = [c for c in columns if not isinstance(files.schema[c].dataType, FOOTER_TYPES)]
+    if unheld:
+        raise ContractError(f"footers do not hold bounds of {unheld}")
+    bounds = [a for c in columns for a in (F.min(c).alias(f"first_{c}"), F.max(c).alias(f"last_{c}"))]
+    return files.agg(F.count(F.lit(1)).alias("rows"), *bounds)

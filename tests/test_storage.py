@@ -128,6 +128,22 @@ def test_snapshot_and_frames(spark, tmp_path):
         assert tables.read_frame(spark, path).count() == 1
 
 
+def test_footers_answer_without_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    days = [(D(2024, 1, k + 1), k, f"s{k}", None if k == 3 else k / 2) for k in range(9)]
+    spark.createDataFrame(days, "trade_date date, k long, symbol string, x double").repartition(3).write.parquet(path)
+    found = tables.footer_summary(spark, path, ["trade_date", "k", "x"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan" in plan and "PushedAggregation: [COUNT(*), MIN(trade_date), MAX(trade_date)" in plan
+    r = found.first()
+    assert (r["rows"], r["first_trade_date"], r["last_trade_date"], r["first_k"], r["last_k"], r["first_x"], r["last_x"]) == (9, D(2024, 1, 1), D(2024, 1, 9), 0, 8, 0.0, 4.0)
+    assert tables.footer_summary(spark, path).first()["rows"] == 9
+    with pytest.raises(tables.ContractError, match="symbol"):
+        tables.footer_summary(spark, path, ["symbol"])
+    with pytest.raises(tables.ContractError, match="unknown"):
+        tables.footer_summary(spark, path, ["none"])
+
+
 def test_listings_and_units(spark):
     part = spark.createDataFrame([("600000.SH", "19991110", None), ("200001.SZ", "19990101", None)], "symbol string, list_date string, delist_date string")
     assert [(r["symbol"], r["list_date"]) for r in vendor.listings([part]).collect()] == [("600000.SH", D(1999, 11, 10))]
