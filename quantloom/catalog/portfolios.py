@@ -214,6 +214,19 @@ x("M18_least_squares_two_factors", lambda m: frozen(m, "ols", TWO), "signal_date
 x("M13_rank_label_one_factor", lambda m: frozen(m, label_mode="rank"), "signal_date symbol", "prediction", "SELECT signal_date, symbol, a + b * iv AS prediction FROM f2, f5",
   {**ONE, "f4": "SELECT *, (rank() OVER (PARTITION BY signal_date ORDER BY forward_return) + (count(*) OVER (PARTITION BY signal_date, forward_return) - 1) / 2.0) / count(*) OVER (PARTITION BY signal_date) AS y FROM f2 WHERE forward_return IS NOT NULL",
    "f5": f"SELECT regr_slope(y, iv) AS b, regr_intercept(y, iv) AS a FROM f4 WHERE {DEV}"})
+
+def tree_errors(m, method):
+    """Errors of a tree model at its documented settings on its development rows, beside a constant's."""
+    wide = stored(models.feature_matrix(panel(m), NAMES))
+    ends = asof.label_end_dates(m.month_ends, m.calendar)
+    scored = models.frozen(wide, NAMES, PERIODS, method, label_ends=ends, hot=m.hot())[0]
+    errors = models.fit_errors(models.training_rows(scored, PERIODS["development"], ends), "forward_return")
+    return errors.withColumn("better", (F.col("model_error") < F.col("constant_error")).cast("int"))
+
+
+for name, method in (("M27_forest_errors", "rf"), ("M27_boosted_errors", "xgb")):
+    x(name, lambda m, k=method: tree_errors(m, k), (), "rows constant_error better", f"SELECT count(y) AS rows, stddev_pop(y) AS constant_error, 1 AS better FROM w1 WHERE {DEV}", {"w1": RIDGE["w1"]}, ints="rows better")
+query("M6_learned_forest", lambda m: combine.learned_weights(stored(ic_history(m)), "rf"), "factor_name", "weight")
 query("M18_full_training", lambda m: frozen(m, "ols", NAMES), "signal_date symbol", "prediction")
 WALK_ONE = {"f1": ONE["f1"], "mo": "SELECT signal_date, row_number() OVER (ORDER BY signal_date) - 1 AS p FROM (SELECT DISTINCT signal_date FROM f1)",
             "re0": f"SELECT * FROM mo WHERE p >= 24 AND signal_date >= DATE '{PERIODS['development'][0]}' + {models.GRACE_DAYS} AND signal_date <= DATE '{PERIODS['validation'][1]}'",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import groups
 from quantloom.operators import moments, selection
-from quantloom.session import stored
+from quantloom.session import cut, stored
 
 # Model settings on securities and on factor histories.
 STOCK_MODELS = {
@@ -141,10 +141,34 @@ def fit(train: DataFrame, names: Sequence[str], label: str, method: str, setting
     if method not in kinds:
         raise ValueError(f"unknown model {method}")
     estimator = kinds[method](featuresCol="__features", labelCol=label, seed=SEED, **options)
-    ready = VectorAssembler(inputCols=list(names), outputCol="__features").transform(train).select("__features", label)
+    ready = VectorAssembler(inputCols=list(names), outputCol="__features").transform(settled(train, names, label)).select("__features", label)
     return Trees(names, estimator.fit(ready))
 
 
+#: Columns that tell training rows apart.
+ROW_KEYS = ("signal_date", "symbol", "factor_name", "index_code")
+
+
+def settled(train: DataFrame, names: Sequence[str], label: str) -> DataFrame:
+    """``train`` stored in a layout that follows from its rows alone.
+
+    Trees draw rows and columns with one seed per partition, in the order of rows. Dealt by a
+    hash of their key and sorted, the same rows give the same draws however they came.
+    """
+    keys = [c for c in ROW_KEYS if c in train.columns]
+    columns = list(dict.fromkeys([*keys, *names, label]))
+    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = train.select(*columns).repartition(parts, *(keys or columns))
+    return cut(dealt.sortWithinPartitions(*columns))
+
+
+def fit_errors(rows: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """One row: rows with a label, and the root mean squared errors of the predictions and of the labels' mean."""
+    known = rows.where(F.col(label).isNotNull() & F.col(prediction).isNotNull())
+    error = F.col(label) - F.col(prediction)
+    return known.agg(F.count(F.lit(1)).alias("rows"), F.sqrt(F.avg(error * error)).alias("model_error"), F.stddev_pop(label).alias("constant_error"))
+
+
 MINIMUM_TRAINING = 60
 
 

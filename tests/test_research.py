@@ -175,6 +175,19 @@ def test_tree_models_run(features):
         assert scored.where("prediction IS NULL").count() == 0
 
 
+def test_trees_do_not_depend_on_the_layout(features):
+    small = {"rf": {"numTrees": 6, "maxDepth": 4}, "xgb": {"maxIter": 4, "maxDepth": 2, "subsamplingRate": 0.8}}
+    for method in small:
+        both = []
+        for rows in (features, features.repartition(7, "B").orderBy(F.desc("A"))):
+            scored, meta = models.frozen(rows, ["A", "B"], PERIODS, method, settings=small)
+            both.append(scored.orderBy("signal_date", "symbol").toPandas()["prediction"].tolist())
+            inside = scored.where(F.col("signal_date") <= PERIODS["development"][1]).withColumnRenamed("forward_return", "label")
+            errors = models.fit_errors(inside).first()
+            assert errors["rows"] == 36 * 30 and errors["model_error"] < 0.8 * errors["constant_error"]
+        assert both[0] == both[1]
+
+
 def test_stored_models(spark, features, tmp_path):
     class Words:
         """Counts of letters, as a model with both interfaces."""
