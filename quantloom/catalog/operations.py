@@ -300,9 +300,9 @@ query("E12_equity_study", equity_study, "index_code factor_name period", "months
         FROM (SELECT *, unnest(['all', CASE WHEN signal_date <= DATE '1998-12-31' THEN 'development' WHEN signal_date <= DATE '1999-12-31' THEN 'validation' ELSE 'test' END]) AS ph FROM q1) GROUP BY factor_name, ph""")
 
 
-def signal(m):
+def signal(m, upto="9999-12-31"):
     scores = panel(m, ["VOLATILITY_20D"]).select("signal_date", "symbol", F.col("raw_value").alias("score"))
-    return research.export_signal(scores, m.calendar, 20, hot=m.hot())
+    return research.export_signal(scores.where(F.col("signal_date") <= F.lit(upto).cast("date")), m.calendar, 20, hot=m.hot())
 
 
 def signal_files(m):
@@ -321,6 +321,12 @@ query("S18_signal_record", lambda m: signal_files(m)[1], "signal_date effective_
       sql="SELECT max(signal_date) AS signal_date, NULL::DATE AS effective_date, NULL::DATE AS next_signal_date, max(trade_date) AS latest_data, 20 AS names, max(trade_date) - max(signal_date) AS stale_days FROM signals, cal")
 
 
+x("S18_signal_record_past", lambda m: signal(m, "1999-06-30")[1], "signal_date effective_date next_signal_date latest_data", "names stale_days",
+  """SELECT s.signal_date, next_session AS effective_date, (SELECT min(signal_date) FROM signals WHERE signal_date > s.signal_date) AS next_signal_date, (SELECT max(trade_date) FROM cal) AS latest_data,
+    (SELECT least(20, count(*)) FROM pan WHERE factor_name = 'VOLATILITY_20D' AND raw_value IS NOT NULL AND signal_date = s.signal_date) AS names, (SELECT max(trade_date) FROM cal) - s.signal_date AS stale_days
+    FROM (SELECT max(signal_date) AS signal_date FROM signals WHERE signal_date <= DATE '1999-06-30') s JOIN calnext ON trade_date = s.signal_date""", ints="names stale_days")
+
+
 def layers(m):
     m = m.stored()
     values = library.compute_factors(m.bars, None, m.month_ends, ["VOLATILITY_20D"])
