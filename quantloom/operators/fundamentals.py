@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.scalar import prior_year_end, ratio, year_earlier
 from quantloom.operators import asof
+from quantloom.session import stored
 
 
 def check_disclosures(fundamentals: DataFrame) -> DataFrame:
@@ -69,26 +70,26 @@ def revisions(fundamentals: DataFrame, fields: Sequence[str], periods: int = PER
         "next": F.lead("available_date").over(period.orderBy("available_date")),
         "torn": F.max(F.when(~F.col("whole"), F.col("available_date"))).over(period),
     })
-    for_good = F.min(F.when(F.col("torn").isNull() | (F.col("available_date") > F.col("torn")), F.col("available_date")))
-    known = rows.groupBy("symbol", "stat_date").agg(for_good.alias("good"))
-    place = F.count("good").over(company.orderBy("stat_date").rowsBetween(Window.unboundedPreceding, 0))
-    known = known.withColumns({"place": place, "day": -F.unix_date("stat_date")})
+    for_good = F.min(F.when(F.col("torn").isNull() | (F.col("available_date") > F.col("torn")), F.col("available_date"))).over(period)
+    # A period counts once: on its first revision.
+    rows = rows.withColumns({"good": for_good, "leads": F.row_number().over(period.orderBy("available_date")) == 1})
+    counts = F.col("leads") & F.col("good").isNotNull()
+    place = F.count_if(counts).over(company.orderBy("stat_date").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumns({"place": place, "day": -F.unix_date("stat_date"), "last": F.max("available_date").over(company)})
     newer = company.orderBy("place").rangeBetween(1, periods)
     year_newer = company.orderBy("day").rangeBetween(Window.unboundedPreceding, -BEYOND_A_YEAR)
-    enough = F.when(F.count("good").over(newer) >= periods, F.max("good").over(newer))
-    beyond = F.min("good").over(year_newer)
-    known = known.select("symbol", "stat_date", F.when(enough.isNotNull() & beyond.isNotNull(), F.greatest(enough, beyond)).alias("over"))
-    until = F.date_sub(F.least("next", "over"), 1)
-    return rows.join(known, ["symbol", "stat_date"]).select(
-        "symbol", F.struct("stat_date", "available_date", "v.*").alias("entry"), F.col("available_date").alias("__from"), until.alias("__until")
-    )
+    rows = rows.withColumns({"newer": F.count_if(counts).over(newer), "enough": F.max("good").over(newer), "beyond": F.min("good").over(year_newer)})
+    over = F.when((F.col("newer") >= periods) & F.col("beyond").isNotNull(), F.greatest("enough", "beyond"))
+    until = F.least(F.date_sub(F.least("next", over), 1), F.col("last"))
+    return rows.select("symbol", F.struct("stat_date", "available_date", "v.*").alias("entry"), F.col("available_date").alias("__from"), until.alias("__until"))
 
 
 def states(fundamentals: DataFrame, fields: Sequence[str], periods: int = PERIODS) -> DataFrame:
     """symbol, available_date, state: the periods that can matter on a release day with their newest revision, oldest period first."""
-    days = fundamentals.select("symbol", "available_date").where("symbol IS NOT NULL AND available_date IS NOT NULL").distinct()
-    last = fundamentals.agg(F.max("available_date")).scalar()
-    known = asof.covering(days, revisions(fundamentals, fields, periods), ["symbol"], date="available_date", start="__from", end="__until", last=last, months=12)
+    spans = stored(revisions(fundamentals, fields, periods), "revisions")
+    days = spans.select("symbol", F.col("__from").alias("available_date")).distinct()
+    # Spans end with the company's last release day: none is open.
+    known = asof.covering(days, spans, ["symbol"], date="available_date", start="__from", end="__until", last=F.lit("9999-12-31").cast("date"), months=12)
     return known.groupBy("symbol", "available_date").agg(F.array_sort(F.collect_list("entry")).alias("state"))
 
 
