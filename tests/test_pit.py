@@ -53,6 +53,15 @@ def test_interval_join(spark):
     assert got == {D(2020, 6, 1): "I1", D(2022, 1, 1): "I2", D(2019, 1, 1): None}
 
 
+def test_binned_intervals_are_not_broadcast(spark):
+    """A few intervals fill many months: what stands in the bins is no small table."""
+    spans = spark.range(50).select(F.concat(F.lit("s"), "id").alias("symbol"), F.col("id").alias("k"), F.lit(D(1990, 1, 1)).alias("valid_from"), F.lit(D(2009, 12, 31)).alias("valid_to"))
+    rows = spark.range(50).select(F.concat(F.lit("s"), "id").alias("symbol"), F.lit(D(2001, 5, 1)).alias("signal_date"))
+    for found in (asof.attach_interval(rows, spans, ["k"]), asof.covering(rows, spans, ["symbol"])):
+        assert sorted((r["symbol"], r["k"]) for r in found.collect()) == sorted((f"s{k}", k) for k in range(50))
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_covering_intervals_equal_brute_force(spark):
     rng = random.Random(3)
     day = lambda: D(2019, 1, 1) + dt.timedelta(days=rng.randrange(900))
