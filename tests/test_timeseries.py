@@ -37,6 +37,17 @@ def test_observations_skip_nulls(spark):
     np.testing.assert_allclose(ret, [np.nan, np.nan, np.nan, 1.0, 1.0, 1.0, 1.0])
 
 
+def test_averages_leave_other_columns_alone(spark):
+    """Histories stay Arrow tables: a long beside a null is not sent through a double."""
+    start = dt.date(2024, 1, 1)
+    rows = [(e, start + dt.timedelta(i), float(i), None if i == 1 else 2**53 + i) for e in (None, "a", "b") for i in (2, 0, 3, 1)]
+    df = spark.createDataFrame(rows, "symbol string, trade_date date, x double, k long")
+    got = add_averages(df, [Step("e", "x", 1, span=3), Step("f", "e", 1, span=3, minus="x")])
+    assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(((r["symbol"] or "", r["trade_date"], r["x"], r["k"]) for r in got.collect()), key=str) == sorted(((e or "", d, x, k) for e, d, x, k in rows), key=str)
+    assert [(r["e"], r["f"]) for r in got.where("symbol = 'a'").orderBy("trade_date").collect()] == [(0.0, 0.0), (0.5, -0.25), (1.25, -0.5), (2.125, -0.6875)]
+
+
 def test_averages_decay_over_gaps(spark):
     values = [np.nan, 1.0, 2.0, np.nan, 4.0, 3.0]
     start = dt.date(2024, 1, 1)
