@@ -65,7 +65,11 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int) -> int:
     """The signed 64-bit SimHash of a text's word shingles, repeats included."""
-    h = shingles(text, words)
+    return simhash(shingles(text, words))
+
+
+def simhash(h: np.ndarray) -> int:
+    """The signed 64-bit SimHash of hashes."""
     n = len(h)
     if not n:
         return 0

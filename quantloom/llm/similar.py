@@ -4,17 +4,20 @@ Two texts are linked if their sets of five-word shingles (fewer words make one
 shingle), as 64-bit hashes, have a Jaccard similarity of 0.8 or more:
 
 1. Texts with equal sets share a 64-bit hash of the set and count once.
-2. Each set gives one key for each of 40 bands of six minima. Sets with similarity 0.8
+2. SimHash: each set has a 64-bit fingerprint of its shingles. Sets whose fingerprints are
+   equal or differ in four bits or less (``simhash.near_edges``: Golay keys) are candidates,
+   compared by the shingles themselves like those of the next step.
+3. Four bits alone miss most pairs at 0.8, so the bands add the others. Each set gives one key for each of 40 bands of six minima. Sets with similarity 0.8
    share no key in 5 of a million cases, more similar ones less often. 64 SimHash bits
    would have to be met at 14 to 19 differing bits for this, where keys are so short
    that all documents share them.
-3. The first set of a key is compared with all others of it, by the shingles
+4. The first set of a key is compared with all others of it, by the shingles
    themselves, and what is linked joined to components.
-4. Where the sets of a key are still in different components, they meet in the task of that
+5. Where the sets of a key are still in different components, they meet in the task of that
    key, and each is compared with all that it is not connected with by then. No rows of
    pairs are formed: a key gives fewer links than it has sets.
 
-The first step leaves out pairs whose sizes alone rule the similarity out. Components
+The first comparison leaves out pairs whose sizes alone rule the similarity out. Components
 follow from the verified links.
 
 Defined cases: texts without words (null, empty or blank) are copies of each other;
@@ -34,7 +37,7 @@ from pyspark.sql import types as T
 
 from quantloom.llm.common import LAST_ID, map_texts, shield, spread
 from quantloom.llm.components import components
-from quantloom.llm.simhash import shingles
+from quantloom.llm.simhash import near_edges, shingles, simhash
 from quantloom.session import stored
 
 WORDS = 5
@@ -165,6 +168,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return met.select("a", "b", "first", "second").mapInArrow(check, "a long, b long")
 
 
+def _simhash_pairs(distinct: DataFrame) -> DataFrame:
+    """Candidates by SimHash: of each fingerprint the least set with the others, and the least
+    sets of fingerprints that ``near_edges`` links. At most one row a set and an edge."""
+    marks = distinct.filter("size > 0").select("fingerprint", "node", "size")
+    heads = marks.groupBy("fingerprint").agg(F.min(F.struct("node", "size")).alias("head")).select("fingerprint", F.col("head.node").alias("head"), F.col("head.size").alias("head_size"))
+    heads = stored(heads, "heads")
+    same = marks.join(heads, "fingerprint").filter(F.col("node") != F.col("head"))
+    edges = near_edges(heads.select("fingerprint")).join(heads.withColumnRenamed("fingerprint", "a"), "a")
+    near = edges.join(heads.select(F.col("fingerprint").alias("b"), F.col("head").alias("node"), F.col("head_size").alias("size")), "b")
+    columns = ["head", "head_size", "node", "size"]
+    return same.select(*columns).unionByName(near.select(*columns))
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Per row of ``docs``: ``doc_id`` and ``component_id``, the smallest id reachable over links of ``similarity`` or more."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
@@ -172,7 +188,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def mark():
         def run(texts: list[str | None]) -> list[list]:
             sets = [shingle_set(t, words) for t in texts]
-            return [[set_hash(x) for x in sets], [len(x) for x in sets], [band_keys(x) for x in sets]]
+            return [[set_hash(x) for x in sets], [len(x) for x in sets], [band_keys(x) for x in sets], [simhash(x) for x in sets]]
 
         return run
 
@@ -183,19 +199,20 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         return run
 
-    new = [("node", T.LongType()), ("size", T.IntegerType()), ("keys", T.ArrayType(T.LongType()))]
+    new = [("node", T.LongType()), ("size", T.IntegerType()), ("keys", T.ArrayType(T.LongType())), ("fingerprint", T.LongType())]
     marked = stored(map_texts(plain, "text", ["id", "th"], new, mark), "marked")
     of = F.struct(F.coalesce("id", F.lit(LAST_ID)).alias("id"), "th").alias("of")
-    distinct = stored(marked.groupBy("node").agg(F.min("id").alias("least"), F.min(of).alias("of"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys")), "distinct")
+    distinct = stored(marked.groupBy("node").agg(F.min("id").alias("least"), F.min(of).alias("of"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"), F.any_value("fingerprint").alias("fingerprint")), "distinct")
     keyed = distinct.select(F.explode("keys").alias("key"), "node", "size").repartition("key").sortWithinPartitions("key", "node")
     runs = stored(keyed.mapInArrow(_heads, "key long, head long, head_size int, node long, size int"), "runs")
-    nodes = runs.select(F.explode(F.array("head", "node")).alias("node")).distinct()
+    close = stored(_simhash_pairs(distinct), "close")
+    nodes = runs.select(F.explode(F.array("head", "node")).alias("node")).unionByName(close.select(F.explode(F.array("head", "node")).alias("node"))).distinct()
     wanted = distinct.join(nodes, "node").select(F.col("of.id").alias("own_id"), F.col("of.th").alias("th"))
     texts = plain.withColumn("own_id", F.coalesce("id", F.lit(LAST_ID))).join(wanted, ["own_id", "th"], "left_semi")
     sets = stored(map_texts(texts, "text", [], [("node", T.LongType()), ("own", T.BinaryType())], keep_set).dropDuplicates(["node"]), "sets")
 
     small, large = F.least("head_size", "size"), F.greatest("head_size", "size")
-    first = runs.filter(small >= similarity * large - 1e-9).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    first = runs.drop("key").unionByName(close).filter(small >= similarity * large - 1e-9).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     found = stored(components(_verified(first, sets, similarity), "a", "b"), "found")
     members = runs.select("key", "node", "size").unionByName(runs.select("key", F.col("head").alias("node"), F.col("head_size").alias("size")).distinct())
     named = members.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -50,3 +50,21 @@ def test_near_dedup_links_what_the_first_of_a_key_does_not(spark):
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "").collect()
     assert sorted(r.doc_id for r in got) == [k for k, x in enumerate(label) if x == k]
     assert 1 < len(got) < len(texts)
+
+
+def test_near_dedup_meets_by_simhash(spark, monkeypatch):
+    from quantloom.llm import similar
+
+    seen = []
+    found = similar._simhash_pairs
+    monkeypatch.setattr(similar, "_simhash_pairs", lambda distinct: seen.append(found(distinct)) or seen[-1])
+    rows = [(10, 5, 0b0), (11, 6, 0b0), (12, 7, 0b1111), (13, 8, -1), (14, 9, -2), (15, 0, 0b11)]
+    distinct = spark.createDataFrame(rows, "node long, size int, fingerprint long")
+    # Equal fingerprints, and four bits or fewer apart; the empty set meets no other.
+    got = {frozenset((r["head"], r["node"])): (r["head_size"], r["size"]) for r in found(distinct).collect()}
+    assert set(got) == {frozenset(x) for x in ((10, 11), (10, 12), (13, 14))}
+    assert sorted(got[frozenset((13, 14))]) == [8, 9]
+    texts = [" ".join(f"w{k}" for k in range(200)), " ".join(f"w{k}" for k in range(201)), "another text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2]
+    assert len(seen) == 1 and seen[0].count() <= 1
