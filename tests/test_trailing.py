@@ -30,6 +30,17 @@ def test_statistics_of_the_last_rows(spark):
     np.testing.assert_array_equal(got["__last_back_v_2_1"], v.shift(2))
 
 
+def test_window_functions_give_the_same(spark):
+    wanted = Wanted()
+    for kind in ("count", "mean", "spread", "highest"):
+        wanted.last(kind, "v", 3, 2)
+    for before in (0, 2):
+        wanted.last("back", "v", before)
+    df = spark.createDataFrame(ROWS, "symbol string, trade_date int, v double")
+    over = df.withColumns({n: one.column() for n, one in wanted.asked.items()}).drop("v").toPandas().sort_values(["symbol", "trade_date"], ignore_index=True)
+    pd.testing.assert_frame_equal(over.astype({n: float for n in wanted.asked}), trailing(spark, wanted))
+
+
 def test_only_the_rows_asked_for_are_computed(spark):
     wanted = Wanted()
     wanted.last("mean", "v", 3, 2)
@@ -55,3 +66,5 @@ def test_factors_at_signal_dates_have_no_window_per_row(spark):
     plan = library.wide(m.bars, None, ["VOLATILITY_120D", "IDIO_VOL_60D"], m.month_ends)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan
     assert "stddev_samp" not in plan and "-119" not in plan
+    every = library.wide(m.bars, None, ["VOLATILITY_120D"], m.month_ends, traded=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in every
