@@ -276,7 +276,7 @@ def scored_documents(m):
 
 
 query("A25_text_score", scored_documents, "doc_id", "score")
-query("A26_embedding", lambda m: models.document_vectors(m.table("documents"), "text").select("doc_id", F.posexplode("embedding").alias("place", "weight")).where("weight > 0"), "doc_id place", "weight", ints="place",
+query("A26_embedding", lambda m: models.document_vectors(m.table("documents"), "text").select("doc_id", F.posexplode_outer("embedding").alias("place", "weight")).where("weight > 0"), "doc_id place", "weight", ints="place",
       sql=r"""SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS place, count(*) AS weight
         FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS w FROM documents) WHERE w <> '' GROUP BY 1, 2""")
 query("A27_document_agg", lambda m: formula.document_agg(m.table("documents"), "source", "n_chars", "mean", "mean_chars"), "source", "mean_chars", sql="SELECT source, avg(n_chars) AS mean_chars FROM documents GROUP BY 1")

@@ -68,3 +68,11 @@ def test_factors_at_signal_dates_have_no_window_per_row(spark):
     assert "stddev_samp" not in plan and "-119" not in plan
     every = library.wide(m.bars, None, ["VOLATILITY_120D"], m.month_ends, traded=False)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" not in every
+
+
+def test_word_counts_are_computed_once(spark):
+    """A filter on the exploded array repeated the whole expression beneath it."""
+    from quantloom.catalog import load
+
+    df = load()["A26_embedding"].run(spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("md5") == 1
