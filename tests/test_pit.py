@@ -199,3 +199,14 @@ def test_disclosure_rules(spark):
 def test_revisions_are_deduplicated_as_of(spark):
     seen = pit.disclosures_on(filings(spark), "2023-09-15").collect()
     assert len(seen) == 3 and {r["revenue"] for r in seen} == {40.0, 60.0, 140.0}
+
+
+def test_disclosure_operators_read_the_periods_once(spark):
+    """Repeated reads, worst inside lambdas, made the work grow with the square of the periods."""
+    operators = [fundamentals.ttm("roe"), fundamentals.yoy("roe"), fundamentals.qoq("roe")]
+    operators += [fundamentals.stability("roe", 8, 6, growth=g).column for g in (False, True)]
+    assert [str(c._jc.toString()).count("state") for c in operators] == [1] * len(operators)
+    empty = spark.createDataFrame([("a", D(2020, 3, 31), D(2020, 5, 1), None)], "symbol string, stat_date date, available_date date, roe double")
+    named = {"x": fundamentals.stability("roe", 8, 6), "y": fundamentals.stability("roe", 9, 7, growth=True), "z": operators[0], "w": operators[1], "q": operators[2]}
+    row = fundamentals.events(empty, named, ["roe"]).first()
+    assert all(row[c] is None for c in named)
