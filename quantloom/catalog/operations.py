@@ -216,6 +216,7 @@ query("E3_audited_factors", lambda m: research.audited_factors({**bundle(m.store
 
 
 def report(m):
+    m = m.stored()
     names = sorted(r["factor_name"] for r in kept_names(m).collect())
     if not names:
         raise ValueError("no factor is left to report")
@@ -249,6 +250,7 @@ query("E7_weekly_schedule", lambda m: schedule(m, "weekly", 52.0), SCHED, SVALS,
 
 def comparison(m):
     """Two schedules in one table: the exploratory grid."""
+    m = m.stored()
     return schedule(m, "monthly", 12.0).unionByName(schedule(m, "weekly", 52.0))
 
 

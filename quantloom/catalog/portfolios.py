@@ -177,6 +177,7 @@ x("M11_feature_matrix", lambda m: models.feature_matrix(panel(m), NAMES), "signa
 
 
 def trained_medians(m):
+    m = m.stored()
     wide = cut(models.feature_matrix(panel(m), NAMES))
     fill = models.medians(models.training_rows(wide, PERIODS["development"], asof.label_end_dates(m.month_ends, m.calendar)), NAMES)
     return wide.agg(*[F.lit(v).alias(n) for n, v in fill.items()])
@@ -187,6 +188,7 @@ x("M12_training_medians", trained_medians, (), NAMES, "SELECT " + ", ".join(f"me
 
 
 def frozen(m, method="ols", names=("VOLATILITY_20D",), **kw):
+    m = m.stored()
     wide = cut(models.feature_matrix(panel(m), names))
     return models.frozen(wide, list(names), PERIODS, method, label_ends=asof.label_end_dates(m.month_ends, m.calendar), hot=m.hot(), **kw)[0]
 
@@ -217,6 +219,7 @@ x("M13_rank_label_one_factor", lambda m: frozen(m, label_mode="rank"), "signal_d
 
 def tree_errors(m, method):
     """Errors of a tree model at its documented settings on its development rows, beside a constant's."""
+    m = m.stored()
     wide = stored(models.feature_matrix(panel(m), NAMES))
     ends = asof.label_end_dates(m.month_ends, m.calendar)
     scored = models.frozen(wide, NAMES, PERIODS, method, label_ends=ends, hot=m.hot())[0]
@@ -247,6 +250,7 @@ query("M14_walk_forward", lambda m: walked(m, NAMES), "signal_date symbol", "pre
 
 
 def model_panel(m, methods=("ols", "ridge")):
+    m = m.stored()
     wide = cut(models.feature_matrix(panel(m), NAMES))
     return research.model_run(wide, NAMES, PERIODS, methods, label_ends=asof.label_end_dates(m.month_ends, m.calendar), hot=m.hot())
 
@@ -285,6 +289,7 @@ query("A27_document_agg", lambda m: formula.document_agg(m.table("documents"), "
 
 
 def quintiles(m):
+    m = m.stored()
     p = panel(m).withColumn("index_code", F.lit(INDEX_CODE))
     signs = p.select("factor_name").distinct().withColumn("sign", F.when(F.col("factor_name").like("VOL%"), -1.0).otherwise(1.0))
     return portfolio.quintile_portfolios(p, signs, asof.benchmark_forward(m.index_daily, m.month_end_plan), PERIODS, hot=m.hot())
@@ -334,8 +339,8 @@ x("B5_spread_nav", lambda m: portfolio.spread_nav(monthly(m), VARIANT.split()),
 
 
 def topn(m, n=10):
-    scores = panel(m, ["MOMENTUM_60D"]).select("signal_date", "symbol", F.col("raw_value").alias("score"))
     m = m.stored()
+    scores = panel(m, ["MOMENTUM_60D"]).select("signal_date", "symbol", F.col("raw_value").alias("score"))
     return portfolio.top_n_backtest(scores, m.marked_forward, m.month_end_plan, n, hot=m.hot())
 
 

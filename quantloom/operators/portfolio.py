@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quantloom.functions import groups, prefix
 from quantloom.functions.scalar import fee_rates, ratio, turnover_cost
 from quantloom.operators import performance, pit, selection
+from quantloom.session import cut
 
 SCENARIOS = {"gross": None, "base_5bps": 5.0, "stress_10bps": 10.0, "stress_20bps": 20.0}
 MINIMUM_NAMES = 25
@@ -55,13 +56,15 @@ def quintile_portfolios(
         rows = rows.join(signs, on).withColumn(value, F.col(value) * F.col("sign")).drop("sign")
     rows = groups.ranks(rows, keys, value, ["symbol"], first="__r", count="constituents", hot=hot)
     rows = rows.where(F.col("constituents") >= minimum).withColumn("layer", groups.quintile("__r", "constituents"))
+    # read for the returns of all layers and for the moves of the top one
+    rows = cut(rows.select(*keys, "symbol", "forward_return", "constituents", "layer"))
     table = rows.groupBy(*keys).agg(
         F.first("constituents").alias("constituents"),
         *[F.avg(F.when(F.col("layer") == k, F.col("forward_return"))).alias(f"group_{k}") for k in range(1, 6)],
         F.count_if(F.col("layer") == 1).alias("__top"),
     )
     w = Window.partitionBy(*ids).orderBy("signal_date")
-    table = table.withColumn("period_no", F.row_number().over(w))
+    table = cut(table.withColumn("period_no", F.row_number().over(w)))
     top = rows.where(F.col("layer") == 1).select(*keys, "symbol").join(
         table.select(*keys, "period_no", (1.0 / F.col("__top")).alias("weight")), keys
     )
@@ -160,7 +163,7 @@ def top_n_backtest(
     ids = list(ids)
     dates = plan.where(F.col("exit_date").isNotNull()).select("signal_date", "entry_date", "exit_date", "period_no")
     held = selection.top_names(scores, n, [*ids, "signal_date"], reserve=reserve, hot=hot).select(*ids, "signal_date", "symbol", "target_weight")
-    held = held.join(dates, "signal_date")
+    held = cut(held.join(dates, "signal_date"))  # n rows per date
     gross = held.join(forward.select("signal_date", "symbol", "forward_return"), ["signal_date", "symbol"], "left").groupBy(
         *ids, "signal_date", "entry_date", "exit_date", "period_no"
     ).agg(F.sum(F.col("target_weight") * F.coalesce("forward_return", F.lit(0.0))).alias("gross_return"), F.count(F.lit(1)).alias("names"))

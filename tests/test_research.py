@@ -327,3 +327,27 @@ def test_holding_changes(spark):
     df = spark.createDataFrame(rows, "period_no int, symbol string, weight double")
     got = {r["period_no"]: (r["buys"], r["sells"]) for r in portfolio.turnover(df, []).collect()}
     assert got == {1: (1.0, 0.0), 2: (0.5, 0.5)}
+
+
+def test_bars_are_stored_once_for_all_steps_of_a_query(spark, monkeypatch):
+    """The parts of a query used to write the bars again, and to read the trades again for the calendar."""
+    from quantloom import session
+    from quantloom.catalog import load
+    from quantloom.operators import portfolio
+    from quantloom.sources.market import Market
+
+    written, cut = [], session.cut
+    monkeypatch.setattr(session, "cut", lambda df: written.append(df.columns) or cut(df))
+    m = Market(spark, "/root/testdata/sf0.001")
+    kept = m.stored()
+    assert m.stored() is kept and kept.stored() is kept
+    assert sorted(map(tuple, kept.calendar.collect())) == sorted(map(tuple, m.calendar.collect()))
+    assert not kept.month_ends.inputFiles()
+    written.clear()
+    load()["B6_period_scenario_table"].build(Market(spark, "/root/testdata/sf0.001"))
+    assert sum("adj_close" in columns for columns in written) == 1
+
+    reads, made = [], portfolio.cut
+    monkeypatch.setattr(portfolio, "cut", lambda df: reads.append(df.columns) or made(df))
+    load()["B1_quintile_portfolios"].build(Market(spark, "/root/testdata/sf0.001"))
+    assert any("layer" in columns and "symbol" in columns for columns in reads)
