@@ -201,9 +201,8 @@ def ic_matrix(panel: DataFrame, value: str = "raw_value", ids: Sequence[str] = (
     df = groups.ranks(df, keys, "forward_return", ["symbol"], average="__y", hot=hot)
     pair = F.col("__x").isNotNull() & F.col("__y").isNotNull()
     df = df.withColumns({"__px": F.when(pair, F.col("__x")), "__py": F.when(pair, F.col("__y"))})
-    mx, my, px, py = F.avg("__x"), F.avg("__y"), F.avg("__px"), F.avg("__py")
-    means = df.groupBy(*keys).agg(mx.alias("mx"), my.alias("my"), px.alias("px"), py.alias("py"))
-    df = df.join(means, keys)
+    # ranks are halves, so their sums are exact in any order
+    df = groups.stats(df, keys, {"mx": F.avg("__x"), "my": F.avg("__y"), "px": F.avg("__px"), "py": F.avg("__py")}, hot=hot)
     x, y = F.col("__px") - F.col("px"), F.col("__py") - F.col("py")
     cx, cy = F.col("__x") - F.col("mx"), F.col("__y") - F.col("my")
     return df.groupBy(*keys).agg(

@@ -82,8 +82,7 @@ def combination(
     Signs, the correlation filter and the weights only see dates up to the
     validation end; the composites are then evaluated over all dates.
     """
-    panel = cut(panel)
-    z = cross_section.zscore(panel, ["signal_date", "factor_name"], "raw_value", "z", hot=hot)
+    z = cut(cross_section.zscore(panel, ["signal_date", "factor_name"], "raw_value", "z", hot=hot))
     ic = cut(evaluate.ic_matrix(z, "z", hot=hot))
     last = F.lit(periods["validation"][1]).cast("date")
     history = ic.where(F.col("signal_date") <= last)
@@ -103,7 +102,7 @@ def combination(
     sign_map = F.create_map(*[x for n, s in signs.items() for x in (F.lit(n), F.lit(s))])
     signed = z.where(F.col("factor_name").isin(*kept)).select("signal_date", "symbol", "factor_name", "forward_return", (F.col("z") * sign_map[F.col("factor_name")]).alias("value"))
     scores = combine.combine_scores(signed, weights, ["signal_date"])
-    labels = panel.groupBy("signal_date", "symbol").agg(F.first("forward_return", ignorenulls=True).alias("forward_return"))
+    labels = z.groupBy("signal_date", "symbol").agg(F.first("forward_return", ignorenulls=True).alias("forward_return"))
     composite = scores.where(F.col("score").isNotNull()).join(labels, ["signal_date", "symbol"]).select(
         "signal_date", "symbol", F.col("method").alias("factor_name"), F.col("score").alias("raw_value"), "forward_return")
     composite = cut(composite)

@@ -351,3 +351,16 @@ def test_bars_are_stored_once_for_all_steps_of_a_query(spark, monkeypatch):
     monkeypatch.setattr(portfolio, "cut", lambda df: reads.append(df.columns) or made(df))
     load()["B1_quintile_portfolios"].build(Market(spark, "/root/testdata/sf0.001"))
     assert any("layer" in columns and "symbol" in columns for columns in reads)
+
+
+def test_ic_matrix_ranks_its_panel_once(spark):
+    """The means of the ranks came from a second computation of all ranks, joined back."""
+    import datetime
+
+    from quantloom.operators import evaluate
+
+    rows = [(datetime.date(2024, 1, 31), f"s{i}", "a", float(i * 7 % 11) if i % 5 else None, float(i % 4) if i % 6 else None) for i in range(30)]
+    panel = spark.createDataFrame(rows, "signal_date date, symbol string, factor_name string, raw_value double, forward_return double")
+    got = evaluate.ic_matrix(panel)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.first()["rank_ic"] == pytest.approx(evaluate.ic_matrix(panel, hot=True).first()["rank_ic"])
