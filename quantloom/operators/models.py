@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -147,17 +148,20 @@ def fit(train: DataFrame, names: Sequence[str], label: str, method: str, setting
 
 #: Columns that tell training rows apart.
 ROW_KEYS = ("signal_date", "symbol", "factor_name", "index_code")
+#: Training rows of one task: boosting runs some hundred jobs over them, one after the other.
+ROWS_PER_PART = 50_000
 
 
 def settled(train: DataFrame, names: Sequence[str], label: str) -> DataFrame:
     """``train`` stored in a layout that follows from its rows alone.
 
     Trees draw rows and columns with one seed per partition, in the order of rows. Dealt by a
-    hash of their key and sorted, the same rows give the same draws however they came.
+    hash of their key to as many parts as they fill and sorted, the same rows give the same draws
+    however they came, whatever the session's number of shuffle partitions.
     """
     keys = [c for c in ROW_KEYS if c in train.columns]
     columns = list(dict.fromkeys([*keys, *names, label]))
-    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, math.ceil(train.count() / ROWS_PER_PART))
     dealt = train.select(*columns).repartition(parts, *(keys or columns))
     return cut(dealt.sortWithinPartitions(*columns))
 

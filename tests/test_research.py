@@ -364,3 +364,23 @@ def test_ic_matrix_ranks_its_panel_once(spark):
     got = evaluate.ic_matrix(panel)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert got.first()["rank_ic"] == pytest.approx(evaluate.ic_matrix(panel, hot=True).first()["rank_ic"])
+
+
+def test_training_layout_follows_from_the_rows_not_from_the_session(spark, monkeypatch):
+    monkeypatch.setattr(models, "ROWS_PER_PART", 100)
+    rng = np.random.default_rng(8)
+    train = spark.createDataFrame(
+        [(dt.date(2014, 1, 1) + dt.timedelta(days=i // 20), f"S{i % 20}", *map(float, rng.normal(size=3))) for i in range(450)],
+        "signal_date date, symbol string, a double, b double, y double")
+    layouts = []
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    for setting in ("3", "11"):
+        spark.conf.set("spark.sql.shuffle.partitions", setting)
+        try:
+            dealt = models.settled(train, ["a", "b"], "y")
+            assert dealt.rdd.getNumPartitions() == 5
+            rows = dealt.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id())
+            layouts.append(sorted(map(tuple, rows.collect())))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert layouts[0] == layouts[1] and len(layouts[0]) == 450
