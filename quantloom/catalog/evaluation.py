@@ -40,11 +40,17 @@ NEUTRAL = {
 CTES = "rt signals mforward industries"
 
 
+def labelled_rows(m, names=NAMES):
+    """The labelled panel, not stored: for one reader."""
+    m = m.stored()
+    values = library.compute_factors(m.bars, m.fundamentals, m.month_ends, names)
+    return library.labelled_panel(values, m.marked_forward, plan=m.month_end_plan)
+
+
 def panel(m, names=NAMES, neutral=False):
     """The labelled panel, stored once: evaluation reads it several times."""
     m = m.stored()
-    values = library.compute_factors(m.bars, m.fundamentals, m.month_ends, names)
-    rows = library.labelled_panel(values, m.marked_forward, plan=m.month_end_plan)
+    rows = labelled_rows(m, names)
     if not neutral:
         return cut(rows)
     cap = pit.latest_on_dates(m.daily, m.month_ends, ["float_market_cap"])
@@ -114,7 +120,8 @@ VARIANT = "factor_name value_type orientation"
 
 
 def monthly(m):
-    return evaluate.monthly_statistics(panel(m, neutral=True), IDS, PERIODS, hot=m.hot(len(NAMES)))
+    """Monthly statistics, stored: a few rows per factor and date, which summaries and portfolios read several times."""
+    return cut(evaluate.monthly_statistics(panel(m, neutral=True), IDS, PERIODS, hot=m.hot(len(NAMES))))
 
 
 def hac(source: str, keys: str, value: str, date: str = "signal_date") -> dict:

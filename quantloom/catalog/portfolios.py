@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quantloom.catalog.evaluation import CTES, ICM, MONTHLY, NAMES, PANEL, VARIANT, monthly, panel, x
+from quantloom.catalog.evaluation import CTES, ICM, MONTHLY, NAMES, PANEL, VARIANT, labelled_rows, monthly, panel, x
 from quantloom.catalog.registry import query
 from quantloom.operators import asof, combine, evaluate, formula, models, performance, pit, portfolio, selection
 from quantloom.plans import research
@@ -162,7 +162,7 @@ x("M9_walk_forward_weights", walk_weights, "decision_date factor_name frozen", "
 
 
 def walk_portfolios(m, names=NAMES[:3], methods=("equal", "ic_decay")):
-    p = cut(panel(m, names).withColumn("index_code", F.lit("ALL_A")))
+    p = panel(m, names).withColumn("index_code", F.lit("ALL_A"))
     mon = evaluate.monthly_statistics(p, ["index_code", "factor_name"], PERIODS, ["raw"], m.hot(), turnover=False)
     chosen = p.select("index_code", "factor_name").distinct()
     return research.walk_forward_combination(p, cut(mon), chosen, chosen.withColumn("sign", F.lit(1.0)), None, PERIODS, methods=methods, freeze_from="1999-12-01", test_start="2000-01-01", hot=m.hot())
@@ -189,7 +189,7 @@ x("M12_training_medians", trained_medians, (), NAMES, "SELECT " + ", ".join(f"me
 
 def frozen(m, method="ols", names=("VOLATILITY_20D",), **kw):
     m = m.stored()
-    wide = cut(models.feature_matrix(panel(m), names))
+    wide = cut(models.feature_matrix(labelled_rows(m), names))
     return models.frozen(wide, list(names), PERIODS, method, label_ends=asof.label_end_dates(m.month_ends, m.calendar), hot=m.hot(), **kw)[0]
 
 
@@ -220,7 +220,7 @@ x("M13_rank_label_one_factor", lambda m: frozen(m, label_mode="rank"), "signal_d
 def tree_errors(m, method):
     """Errors of a tree model at its documented settings on its development rows, beside a constant's."""
     m = m.stored()
-    wide = stored(models.feature_matrix(panel(m), NAMES))
+    wide = stored(models.feature_matrix(labelled_rows(m), NAMES))
     ends = asof.label_end_dates(m.month_ends, m.calendar)
     scored = models.frozen(wide, NAMES, PERIODS, method, label_ends=ends, hot=m.hot())[0]
     errors = models.fit_errors(models.training_rows(scored, PERIODS["development"], ends), "forward_return")
@@ -251,7 +251,7 @@ query("M14_walk_forward", lambda m: walked(m, NAMES), "signal_date symbol", "pre
 
 def model_panel(m, methods=("ols", "ridge")):
     m = m.stored()
-    wide = cut(models.feature_matrix(panel(m), NAMES))
+    wide = cut(models.feature_matrix(labelled_rows(m), NAMES))
     return research.model_run(wide, NAMES, PERIODS, methods, label_ends=asof.label_end_dates(m.month_ends, m.calendar), hot=m.hot())
 
 

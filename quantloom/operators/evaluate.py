@@ -19,6 +19,7 @@ from quantloom.functions import groups
 from quantloom.functions.scalar import ratio
 from quantloom.functions.tails import add_hac_t, benjamini_hochberg, two_sided_p
 from quantloom.operators import pit
+from quantloom.session import cut
 
 VALUE_TYPES = ("raw", "neutralized")
 GROUPS = tuple(f"group_{k}" for k in range(1, 6))
@@ -171,8 +172,11 @@ def evaluate_batch(
     value_types: Sequence[str] = VALUE_TYPES,
     hot: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Monthly and summary tables of every factor with one correction over the whole batch."""
-    monthly = monthly_statistics(panel, ids, periods, value_types, hot)
+    """Monthly and summary tables of every factor with one correction over the whole batch.
+
+    The monthly rows, a few per factor and date, are stored: the summary reads them several times.
+    """
+    monthly = cut(monthly_statistics(panel, ids, periods, value_types, hot))
     summary = summary_statistics(monthly, ids).withColumn("p_value", two_sided_p("hac_t"))
     return monthly, benjamini_hochberg(summary, "p_value", "bh_q_value")
 

@@ -6,6 +6,7 @@ import datetime as dt
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -186,6 +187,35 @@ def training_rows(rows: DataFrame, period: tuple[str, str], label_ends: DataFram
     return train
 
 
+@dataclass(frozen=True)
+class Sample:
+    """Development rows, stored, with what the models of one run share."""
+
+    names: tuple[str, ...]
+    rows: DataFrame
+    count: int
+    fill: dict[str, float]
+
+    @cached_property
+    def moments(self) -> moments.Moments:
+        return moments.moments(self.rows, self.names, "label")
+
+
+def frozen_sample(
+    features: DataFrame, names: Sequence[str], periods: Mapping[str, tuple[str, str]], *,
+    label_mode: str = "return", label_ends: DataFrame | None = None, hot: bool = False,
+) -> Sample:
+    """The training sample of ``frozen``: written and counted once for any number of models."""
+    labelled = label_column(features, label_mode, hot)
+    train = training_rows(labelled, periods["development"], label_ends)
+    train = stored(train.select("signal_date", "symbol", *names, "label"), "training")
+    selection.check_isolation(train, periods["test"][0])
+    count = train.count()
+    if count < MINIMUM_TRAINING:
+        raise ValueError(f"development sample too small: {count}")
+    return Sample(tuple(names), train, count, medians(train, names))
+
+
 def frozen(
     features: DataFrame,
     names: Sequence[str],
@@ -196,23 +226,21 @@ def frozen(
     label_ends: DataFrame | None = None,
     hot: bool = False,
     settings: Mapping = STOCK_MODELS,
+    sample: Sample | None = None,
 ) -> tuple[DataFrame, dict]:
-    """Fit once on development rows and score every row, labelled or not."""
-    labelled = label_column(features, label_mode, hot)
-    train = training_rows(labelled, periods["development"], label_ends)
-    train = stored(train.select("signal_date", "symbol", *names, "label"), "training")
-    selection.check_isolation(train, periods["test"][0])
-    count = train.count()
-    if count < MINIMUM_TRAINING:
-        raise ValueError(f"development sample too small: {count}")
-    fill = medians(train, names)
+    """Fit once on development rows and score every row, labelled or not.
+
+    ``sample``, the training rows of the same arguments, saves preparing them for every model.
+    """
+    if sample is None:
+        sample = frozen_sample(features, names, periods, label_mode=label_mode, label_ends=label_ends, hot=hot)
+    fill = sample.fill
     if method in LINEAR:
-        found = moments.moments(train, names, "label")
-        model = linear(found, found.before(0), fill, method, settings.get(method, {}))
+        model = linear(sample.moments, sample.moments.before(0), fill, method, settings.get(method, {}))
     else:
-        model = fit(impute(train, names, fill).where(F.col("label").isNotNull()), names, "label", method, settings)
+        model = fit(impute(sample.rows, names, fill).where(F.col("label").isNotNull()), names, "label", method, settings)
     scored = model.predict(impute(features, names, fill))
-    return scored.select("signal_date", "symbol", "prediction", "forward_return"), {"train_rows": count, "imputation": fill, "model": model}
+    return scored.select("signal_date", "symbol", "prediction", "forward_return"), {"train_rows": sample.count, "imputation": fill, "model": model}
 
 
 #: Fixed value: days after the start of development before the first fit.

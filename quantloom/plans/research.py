@@ -21,7 +21,6 @@ def backtest_panel(panel: DataFrame, periods: Mapping, *, hot: bool | None = Non
     panel = cut(panel)
     hot = groups.is_hot(panel, ["signal_date", "factor_name"]) if hot is None else hot
     monthly, summary = evaluate.evaluate_batch(panel, periods, value_types=value_types, hot=hot)
-    monthly = cut(monthly)
     return {
         "panel": panel,
         "monthly": monthly,
@@ -106,7 +105,7 @@ def combination(
     composite = scores.where(F.col("score").isNotNull()).join(labels, ["signal_date", "symbol"]).select(
         "signal_date", "symbol", F.col("method").alias("factor_name"), F.col("score").alias("raw_value"), "forward_return")
     composite = cut(composite)
-    monthly = evaluate.monthly_statistics(composite, periods=periods, value_types=("raw",), hot=hot, turnover=False)
+    monthly = cut(evaluate.monthly_statistics(composite, periods=periods, value_types=("raw",), hot=hot, turnover=False))
     return {"kept": kept, "signs": signs, "weights": weights, "scores": composite, "monthly": monthly, "summary": evaluate.summary_statistics(monthly)}
 
 
@@ -148,9 +147,10 @@ def walk_forward_combination(
 def model_run(features: DataFrame, names: Sequence[str], periods: Mapping, methods: Sequence[str], *, protocol: str = "frozen", settings: Mapping = models.STOCK_MODELS, label_ends=None, hot: bool = False) -> DataFrame:
     """Predictions of several models in the shape of a factor panel."""
     out = None
+    sample = models.frozen_sample(features, names, periods, label_ends=label_ends, hot=hot) if protocol == "frozen" else None
     for method in methods:
-        if protocol == "frozen":
-            scored, _ = models.frozen(features, names, periods, method, label_ends=label_ends, settings=settings, hot=hot)
+        if sample is not None:
+            scored, _ = models.frozen(features, names, periods, method, settings=settings, sample=sample)
         else:
             scored = models.walk_forward(features, names, periods, method, settings=settings, hot=hot)
         one = models.predictions_panel(scored, method)

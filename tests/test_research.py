@@ -384,3 +384,31 @@ def test_training_layout_follows_from_the_rows_not_from_the_session(spark, monke
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", partitions)
     assert layouts[0] == layouts[1] and len(layouts[0]) == 450
+
+
+def test_a_run_of_models_prepares_its_sample_once(spark, monkeypatch):
+    from quantloom.plans import research
+
+    rng = np.random.default_rng(9)
+    rows = [(d, f"S{k}", *map(float, rng.normal(size=3))) for d in pd.date_range("2014-01-31", periods=24, freq="ME").date for k in range(6)]
+    features = spark.createDataFrame(rows, "signal_date date, symbol string, A double, B double, forward_return double")
+    alone = [models.frozen(features, ["A", "B"], PERIODS, k)[0].collect() for k in ("ols", "ridge")]
+    calls = []
+    whole, middle = moments.moments, moments.medians
+    monkeypatch.setattr(moments, "moments", lambda *a, **k: calls.append("moments") or whole(*a, **k))
+    monkeypatch.setattr(moments, "medians", lambda *a, **k: calls.append("medians") or middle(*a, **k))
+    panel = research.model_run(features, ["A", "B"], PERIODS, ["ols", "ridge"])
+    assert sorted(calls) == ["medians", "moments"]
+    for name, scored in zip(("ols", "ridge"), alone):
+        got = {(r.signal_date, r.symbol): r.raw_value for r in panel.where(F.col("factor_name") == name).collect()}
+        assert got == pytest.approx({(r.signal_date, r.symbol): r.prediction for r in scored})
+
+
+def test_summaries_read_stored_monthly_rows(spark):
+    rng = np.random.default_rng(10)
+    rows = [(d, f"S{k}", "f", *map(float, rng.normal(size=2))) for d in pd.date_range("2017-01-31", periods=30, freq="ME").date for k in range(8)]
+    panel = spark.createDataFrame(rows, "signal_date date, symbol string, factor_name string, raw_value double, forward_return double")
+    monthly, summary = evaluate.evaluate_batch(panel, PERIODS, value_types=["raw"])
+    assert monthly.count() == 60 and summary.count() > 4
+    for df in (monthly, summary):
+        assert "forward_return" not in df._jdf.queryExecution().optimizedPlan().toString()
