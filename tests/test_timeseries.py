@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.functions.ewm import Deviation, Step, add_averages
+from quantloom.functions.ewm import Deviation, Quotient, Rolling, Step, add_averages
 from quantloom.operators import asof, formula, library, technical
 
 
@@ -69,6 +69,33 @@ def test_averages_decay_over_gaps(spark):
     np.testing.assert_allclose(got["d"], [np.nan, np.nan, 0.5, 0.5, 1.0, 0.5])
 
 
+def test_windows_over_averages_are_steps(spark):
+    rows = [("a", dt.date(2024, 1, 1) + dt.timedelta(i), v, i % 2 == 1) for i, v in enumerate([2.0, 0.0, None, 4.0, 8.0, 4.0])]
+    df = spark.createDataFrame(rows, "symbol string, trade_date date, x double, asked boolean")
+    steps = [Quotient("q", "x", "x", back=1, less=1.0), Rolling("m", "x", 3, 2), Rolling("s", "q", 3, 2, total=True)]
+    got = add_averages(df, steps).orderBy("trade_date").toPandas()
+    np.testing.assert_allclose(got["q"], [np.nan, -1.0, np.nan, np.nan, 1.0, -0.5])
+    np.testing.assert_allclose(got["m"], [np.nan, 1.0, 1.0, 2.0, 6.0, 16 / 3])
+    np.testing.assert_allclose(got["s"], [np.nan, np.nan, np.nan, np.nan, np.nan, 0.5])
+    some = add_averages(df, steps, at="asked").orderBy("trade_date").toPandas()
+    pd.testing.assert_frame_equal(some, got[got["asked"]].reset_index(drop=True))
+
+
+def test_all_indicators_need_one_shuffle(bars):
+    """Windows over averages shuffled every bar a second time, with all early columns in it."""
+    plan = technical.indicators(bars.localCheckpoint().repartition(2), technical.ALL_NAMES)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1 and plan.count("Exchange hashpartitioning(symbol") == 1
+
+
+def test_technical_factors_at_signal_dates_equal_those_of_all_bars(bars):
+    names = ["TRIX_SIGNAL_12_9", "MASS_MA_9_25_6", "DMI_ADXR_14_6", "ASIT_26_10", "MACD_HIST_12_26_9_PCT"]
+    signals = bars.select(F.col("trade_date").alias("signal_date")).distinct().orderBy("signal_date").limit(150).where(F.day("signal_date") > 25)
+    some = library.wide(bars, None, names, signals).orderBy("trade_date", "symbol").toPandas()
+    every = technical.indicators(bars, names).join(signals, F.col("trade_date") == F.col("signal_date"), "left_semi").orderBy("trade_date", "symbol").toPandas()
+    pd.testing.assert_frame_equal(some, every[some.columns])
+    assert len(some) > 20 and some.iloc[-1].notna().all()
+
+
 def test_registry_is_complete():
     assert len(technical.ALL_NAMES) == 98
     assert len(library.REGISTRY) == 169
