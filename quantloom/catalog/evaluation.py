@@ -8,7 +8,7 @@ from quantloom.functions import groups
 from quantloom.functions.tails import add_hac_t, benjamini_hochberg, two_sided_p
 from quantloom.operators import asof, cross_section, evaluate, library, performance, pit
 from quantloom.plans import panels
-from quantloom.session import cut
+from quantloom.session import IN_PLACE, cut, settings
 from quantloom.sources.market import INDEX_CODE, PERIODS
 
 NAMES = ["MOMENTUM_60D", "REVERSAL_5D", "VOLATILITY_20D", "AMIHUD_20D"]
@@ -50,12 +50,17 @@ def labelled_rows(m, names=NAMES):
 def panel(m, names=NAMES, neutral=False):
     """The labelled panel, stored once: evaluation reads it several times."""
     m = m.stored()
+    with settings(m.spark, IN_PLACE):  # values, labels and caps all lie by security
+        return cut(_panel_rows(m, names, neutral))
+
+
+def _panel_rows(m, names, neutral):
     rows = labelled_rows(m, names)
     if not neutral:
-        return cut(rows)
+        return rows
     cap = pit.latest_on_dates(m.daily, m.month_ends, ["float_market_cap"])
     rows = asof.attach_interval(rows.drop("neutralized_value").join(cap, ["signal_date", "symbol"], "left"), m.industries, ["industry_code"])
-    return cut(cross_section.neutralize(rows, PF, hot=m.hot()))
+    return cross_section.neutralize(rows, PF, hot=m.hot())
 
 
 def x(name, build, keys, values, sql, extra=None, neutral=False, **kw):

@@ -412,3 +412,43 @@ def test_summaries_read_stored_monthly_rows(spark):
     assert monthly.count() == 60 and summary.count() > 4
     for df in (monthly, summary):
         assert "forward_return" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split()
+    return {f.rsplit("/", 1)[-1] for f in files if "/shuffle_" in f}
+
+
+@pytest.mark.parametrize("write", ["cut", "stored"])
+def test_a_stored_frame_leaves_no_shuffle_files(spark, write):
+    """They stayed until the driver collected its garbage, so a query kept the shuffles of all its parts."""
+    from quantloom import session
+
+    before = shuffle_files(spark)
+    df = spark.range(2000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("n"))
+    kept = getattr(session, write)(df)
+    assert not shuffle_files(spark) - before
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, df.collect()))
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_stored_bars_are_not_shuffled_again(spark):
+    """Windows over bars and the joins of a panel shuffled by security and date what lay by security."""
+    import re
+
+    from quantloom import session
+    from quantloom.catalog import evaluation
+    from quantloom.functions.rolling import lag
+    from quantloom.sources.market import Market
+
+    m = Market(spark, "/root/testdata/sf0.001")
+    kept = m.stored()
+    assert kept.bars.columns == m.bars.columns
+    keys = ["symbol", "trade_date"]
+    assert list(map(tuple, kept.bars.orderBy(*keys).collect())) == list(map(tuple, m.bars.orderBy(*keys).collect()))
+    window = kept.bars.withColumn("x", lag("adj_close"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in window and "Sort" not in window
+    with session.settings(spark, session.IN_PLACE):
+        plan = evaluation._panel_rows(m.stored(), evaluation.NAMES, True)._jdf.queryExecution().executedPlan().toString()
+    shuffled = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert shuffled and not [keys for keys in shuffled if "symbol" in keys and "date" in keys]
